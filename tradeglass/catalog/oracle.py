@@ -209,8 +209,8 @@ ORACLE_VIEWS.update({
                    FROM ora_late30 GROUP BY ALL) l ON l.report_id = a.report_id AND l.entity_key = a.entity_key
         LEFT JOIN ora_dup d ON d.report_id = a.report_id AND d.number = a.number""",
     "ora_rule": f"""
-        SELECT x.*, (co_amt > 0 OR pd_amt > 0 OR coll OR regexp_matches(lower(s), 'past due|charge off|collection')) AS derog,
-            (co_amt > 0 OR pd_amt > 0 OR coll OR regexp_matches(lower(s), 'past due|charge off|collection')
+        SELECT x.*, (co_amt > 0 OR pd_amt > 0 OR coll OR regexp_matches(lower(s), 'past due|charge off|collection|repo')) AS derog,
+            (co_amt > 0 OR pd_amt > 0 OR coll OR regexp_matches(lower(s), 'past due|charge off|collection|repo')
              OR bankrupt OR n_der > 0) AS neg,
             n_seen > 0 AS present, n_cur > 0 AND n_other = 0 AS only_cur,
             (original_creditor IS NOT NULL OR (NOT regexp_matches(lower(name || ' ' || s || ' ' || cm), 'midland|collection')
