@@ -163,10 +163,10 @@ def number_tail(c: str, n: int = 4) -> str:
 
 
 def solid_tail(c: str) -> str:
-    """Tail of an unmasked number: last six of a long one, else last four; '' when masked."""
-    digits = f"regexp_replace({norm_text(c)}, '[^0-9]', '')"
-    return (f"CASE WHEN {norm_text(c)} RLIKE '[*#xX]' THEN '' WHEN length({digits}) >= 8 THEN right({digits}, 6) "
-            f"ELSE right({digits}, 4) END")
+    """Last six (else four) characters of a number without its mask characters."""
+    whole = f"regexp_replace({match_text(c)}, '[^a-z0-9]', '')"
+    token = f"coalesce(nullif(replace({whole}, 'x', ''), ''), {whole})"
+    return f"CASE WHEN length({token}) >= 6 THEN right({token}, 6) WHEN length({token}) >= 4 THEN right({token}, 4) ELSE {token} END"
 
 
 def incomplete_number(c: str) -> str:
@@ -175,9 +175,14 @@ def incomplete_number(c: str) -> str:
             f"OR length(regexp_replace({text}, '(?i)[^a-z0-9]', '')) < 6)")
 
 
-def provenance_id(*parts: str) -> str:
-    slugs = [f"regexp_replace({match_text(p)}, '[^a-z0-9]+', '-')" for p in parts]
-    return f"concat_ws(':', {', '.join(slugs)})"
+def field_provenance_id(name: str, number: str, field: str) -> str:
+    return (f"concat('account:', {match_text(name)}, '::', {clean_account_number(number)}, ':field:', "
+            f"{norm_text(field)})")
+
+
+def month_provenance_id(name: str, number: str, field: str, year: str, month: str) -> str:
+    return (f"concat('account:', {match_text(name)}, '::', {clean_account_number(number)}, ':history:', "
+            f"{norm_text(field)}, ':', {norm_text(year)}, ':', {match_text(month)})")
 
 
 def exhibit_label(position: str, style: str = "number") -> str:
@@ -215,3 +220,8 @@ def address_parts(c: str) -> str:
     return (f"named_struct('line', if({tail} RLIKE {shape}, get({parts}, 0), {whole}), "
             f"'city', if({tail} RLIKE {shape}, get({parts}, 1), ''), "
             f"'state', upper(regexp_extract({tail}, {shape}, 1)), 'zip', regexp_extract({tail}, {shape}, 2))")
+
+
+def fill_missing(base: str, fallback: str) -> str:
+    """Null-filling merge of two scalar leaves: the base wins unless it is null or empty."""
+    return f"coalesce(nullif({base}, ''), {fallback})"

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tradeglass import vocab
 from tradeglass.functions import codes, dates
-from tradeglass.functions.money import amount, amount_max
+from tradeglass.functions.money import amount, amount_max, values_equal
 from tradeglass.functions.text import add, add_needed, lookup, names_in, match_text, missing, norm_text, one_of, rx
 
 KEY = ["report_id", "entity_key"]
@@ -229,14 +229,146 @@ CONFLICTS = {
 }
 
 
+def conflict_tests() -> dict[str, str]:
+    """CONFLICTS as they count for an account: over features with profile_id and opened_m."""
+    tests = {k: f"coalesce({v}, false)" for k, v in CONFLICTS.items()}
+    for kind in ("first_30", "first_severe"):
+        tests[kind] = f"({tests[kind]} AND coalesce(m - opened_m >= 1, false))"
+    tests["backfill"] = (f"({tests['backfill']} AND (coalesce(profile_id, '') <> 'experian_acr_v1' "
+                         "OR gap_provable >= gap_len))")
+    return tests
+
+
 def conflicts(features: DataFrame) -> DataFrame:
-    """Long conflict table (account, kind, m, prev_m, gap length), one pass over the features."""
-    source = {"regression": "prev_der.m", "reaging": "prev_cur.m"}
-    kinds = ", ".join(
-        f"if(coalesce({test}, false), named_struct('kind', '{kind}', 'prev_m', {source.get(kind, 'prev.m')}), NULL)"
-        for kind, test in CONFLICTS.items())
-    return features.selectExpr(*KEY, "m", "code", "gap_len", f"explode(array_compact(array({kinds}))) AS k") \
-        .selectExpr(*KEY, "k.kind AS kind", "m", "code", "k.prev_m AS prev_m", "gap_len")
+    """Long conflict table, one pass over features that carry profile_id and opened_m.
+
+    prev_* describe the earlier cell the conflict is measured against, if any.
+    """
+    source = {"regression": "NULL", "first_30": "NULL", "first_severe": "NULL", "reaging": "prev_cur"}
+    month = {"regression": "prev_der.m"}
+    kinds = []
+    for kind, test in conflict_tests().items():
+        link = source.get(kind, "prev")
+        parts = {"m": "NULL", "balance_amt": "NULL", "active": "NULL"} if link == "NULL" else {
+            x: f"{link}.{x}" for x in ("m", "balance_amt", "active")}
+        kinds.append(
+            f"if({test}, named_struct('kind', '{kind}', 'prev_m', cast({month.get(kind, parts['m'])} AS int), "
+            f"'prev_balance', cast({parts['balance_amt']} AS decimal(18,2)), "
+            f"'prev_active', cast({parts['active']} AS boolean)), NULL)")
+    return features.selectExpr(*KEY, "m", "code", "gap_len", "balance_amt AS balance", "active",
+                               f"explode(array_compact(array({', '.join(kinds)}))) AS k") \
+        .selectExpr(*KEY, "k.kind AS kind", "m", "code", "k.prev_m AS prev_m", "gap_len", "balance", "active",
+                    "k.prev_balance AS prev_balance", "k.prev_active AS prev_active")
+
+
+def payment_activity_conflicts(found: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Conflicts other than regression that payment activity contradicts.
+
+    accounts carries last_payment_m and recent_payment per account; activity counts in
+    the conflict month, in the month it is measured against, within two months of the
+    last payment, or as a positive recent payment.
+    """
+    joined = found.where("kind <> 'regression'").join(accounts, KEY)
+    return joined.where(
+        "active OR coalesce(prev_active, false) OR coalesce(abs(m - last_payment_m) <= 2, false) "
+        f"OR coalesce({amount('recent_payment')} > 0, false)").select(*found.columns)
+
+
+def balance_reduction_conflicts(found: DataFrame) -> DataFrame:
+    """Conflicts other than regression over which the balance fell by 25 or more."""
+    return found.where("kind <> 'regression' AND prev_balance - balance >= 25")
+
+
+# --- months picked out of the features -------------------------------------------------
+
+
+def _range(features: DataFrame) -> DataFrame:
+    whole = Window.partitionBy(*KEY).orderBy("year", "m").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    return features.withColumns({
+        "first_seen": F.min(F.expr("if(seen, m, NULL)")).over(whole),
+        "last_seen": F.max(F.expr("if(seen, m, NULL)")).over(whole),
+    })
+
+
+def recent_current_cells(features: DataFrame, months: int = 2) -> DataFrame:
+    """Current cells at most that many months before the latest meaningful one."""
+    return _range(features).where(f"cur AND m >= last_seen - {months}").select(*KEY, "m")
+
+
+def missing_months(features: DataFrame) -> DataFrame:
+    """Blank cells strictly inside the meaningful range."""
+    return _range(features).where("blank AND m > first_seen AND m < last_seen").select(*KEY, "m")
+
+
+def internal_gap_months(months: DataFrame) -> DataFrame:
+    """Months without a cell between consecutive meaningful ones; months is one row per (account, m)."""
+    w = Window.partitionBy(*KEY).orderBy("m")
+    gaps = months.withColumn("before", F.lag("m").over(w)).where("m - before > 1")
+    return gaps.selectExpr(*KEY, "explode(sequence(before + 1, m - 1)) AS m")
+
+
+def neighbours(features: DataFrame) -> DataFrame:
+    """Nearest meaningful months before and after every blank cell."""
+    w = Window.partitionBy(*KEY).orderBy("year", "m")
+    seen = F.expr("if(seen, m, NULL)")
+    both = features.withColumns({
+        "older_m": F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
+        "newer_m": F.first(seen, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+    })
+    return both.where("blank").select(*KEY, "m", "older_m", "newer_m")
+
+
+def flat_balance_months(features: DataFrame) -> DataFrame:
+    """Months paid whose next month's balance dropped by less than max(25, 25% of the payment)."""
+    return features.where(
+        "paid_amt > 0 AND next_m = m + 1 AND balance_amt - next_balance < greatest(25, paid_amt * 0.25)"
+    ).selectExpr(*KEY, "m", "paid_amt AS paid", "balance_amt AS balance", "next_balance")
+
+
+def printed_gap_slots(cells: DataFrame, series: str = "status") -> DataFrame:
+    """Months of a printed year that have no cell."""
+    grid = month_grid(cells.where(F.col("series") == series))
+    return dense_grid(grid).where("cell AND status IS NULL").select(*KEY, "m")
+
+
+def interpolated_slots(rows: DataFrame, page: list[str]) -> DataFrame:
+    """Positions of rows missing between two measured rows of a page.
+
+    rows carry y per measured row. The pitch of an adjacent pair is its distance
+    divided by the row count it should hold; a pair is filled only when that pitch is
+    within 0.6 to 1.4 of the page median. Windows are bounded by a printed page.
+    """
+    w = Window.partitionBy(*page).orderBy("row_no")
+    pairs = rows.withColumns({"prev_no": F.lag("row_no").over(w), "prev_y": F.lag("y").over(w)}).where(
+        "prev_no IS NOT NULL")
+    steps = add(pairs, {"pitch": "(y - prev_y) / (row_no - prev_no)"})
+    steps = steps.withColumn("median", F.expr("percentile(pitch, 0.5)").over(Window.partitionBy(*page)))
+    return steps.where("row_no - prev_no > 1 AND pitch BETWEEN 0.6 * median AND 1.4 * median").selectExpr(
+        *page, "explode(sequence(prev_no + 1, row_no - 1)) AS row_no", "prev_no", "prev_y", "pitch",
+    ).selectExpr(*page, "row_no", "prev_y + pitch * (row_no - prev_no) AS y")
+
+
+def resolved_cells(cells: DataFrame) -> DataFrame:
+    """Latest and largest cell per (account, series); ties of the largest go to the earliest month."""
+    c = add(one_cell_per_month(cells), {"amt": amount("value_text")})
+    return c.groupBy(*KEY, "series").agg(
+        F.expr("max(m) AS latest_m"), F.expr("max_by(value_text, m) AS latest_value"),
+        F.expr("max_by(m, if(amt IS NULL, NULL, struct(amt, -m))) AS top_m"), F.expr("max(amt) AS top_amt"))
+
+
+def cells_matching(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cells of an account whose value equals a requested value in any spelling."""
+    pairs = cells.join(requests, [*KEY, "series"])
+    return pairs.where(values_equal("value_text", "wanted")).select(*KEY, "series", "m", "value_text")
+
+
+def legend_codes(cells: DataFrame) -> DataFrame:
+    """Distinct recognised status codes of an account in legend order."""
+    order = {code: i for i, code in enumerate(vocab.STATUS_LEGEND)}
+    status = add(cells.where("series = 'status'"), {"code": "upper(value_text)"})
+    known = add(status, {"pos": lookup("code", order)}).where("pos IS NOT NULL")
+    return known.groupBy(*KEY).agg(F.expr("transform(array_sort(collect_set(struct(pos, code))), x -> x.code) AS codes"))
 
 
 def runs(months: DataFrame, partition: list[str]) -> DataFrame:
@@ -269,11 +401,7 @@ def history_facts(features: DataFrame, wanted: set[str] | None = None) -> DataFr
     features must carry profile_id, opened_m and closure_m (null when unknown).
     Collected month arrays hold at most one int per month of the account.
     """
-    tests = {k: f"coalesce({v}, false)" for k, v in CONFLICTS.items()}
-    for kind in ("first_30", "first_severe"):
-        tests[kind] = f"({tests[kind]} AND coalesce(m - opened_m >= 1, false))"
-    tests["backfill"] = (f"({tests['backfill']} AND (coalesce(profile_id, '') <> 'experian_acr_v1' "
-                         "OR gap_provable >= gap_len))")
+    tests = conflict_tests()
     rows = [
         {f"is_{k}": v for k, v in tests.items()},
         {"with_prev": "is_severe_jump OR is_blank_gap OR is_backfill OR is_no_build_up"},
@@ -372,7 +500,11 @@ def latest_balance(cells: DataFrame) -> DataFrame:
         F.expr(f"max_by(value_text, {known}) AS balance_last"))
 
 
+def anchored_features(cells: DataFrame, anchors: DataFrame) -> DataFrame:
+    """month_features of cells with the account's profile_id, opened_m and closure_m."""
+    return month_features(dense_grid(month_grid(provable_slots(cells)))).join(anchors, KEY, "left")
+
+
 def account_facts(cells: DataFrame, anchors: DataFrame, wanted: set[str] | None = None) -> DataFrame:
     """history_facts of cells; anchors is one row per account (profile_id, opened_m, closure_m)."""
-    features = month_features(dense_grid(month_grid(provable_slots(cells))))
-    return history_facts(features.join(anchors, KEY, "left"), wanted)
+    return history_facts(anchored_features(cells, anchors), wanted)

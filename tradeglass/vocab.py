@@ -212,3 +212,53 @@ ESCALATED_ISSUES = ["multiple_social_security_numbers"]
 
 MONEY_PATTERN = r"-?\$?\d[\d,]*(?:\.\d{2})?"
 PHONE_PATTERN = r"(?:\+?1[\s.-]*)?(?:\(\d{3}\)|\d{3})[\s.-]*\d{3}[\s.-]*\d{4}"
+
+# --- fixed values: evidence labels, most specific keyword first -----------------
+COMPARISON_KEYWORDS = {
+    "actual payment": "actualPaymentHistory",
+    "table activity": "actualPaymentHistory",
+    "amount paid": "actualPaymentHistory",
+    "scheduled payment": "scheduledPaymentHistory",
+    "amount past due": "amountPastDueHistory",
+    "past due": "amountPastDueHistory",
+    "past-due": "amountPastDueHistory",
+    "credit limit": "creditLimitHistory",
+    "high credit": "highCreditHistory",
+    "payment history": "paymentHistory",
+    "rating": "paymentHistory",
+    "balance": "balanceHistory",
+}
+HISTORY_FIELDS = ["balanceHistory", "balanceHistoryGapSlots", "scheduledPaymentHistory", "actualPaymentHistory",
+                  "creditLimitHistory", "amountPastDueHistory", "paymentHistory", "paymentHistoryGapSlots"]
+PRINTED_LABELS = {
+    "dateclosed": "Date Closed", "closeddate": "Date Closed", "recentpayment": "Actual Payment Amount",
+    "actualpaymentamount": "Actual Payment Amount", "scheduledpaymentamount": "Scheduled Payment Amount",
+    "lastpaymentdate": "Date of Last Payment", "lastpayment": "Date of Last Payment",
+    "statusupdated": "Date Reported", "datereported": "Date Reported", "status": "Account Status",
+    "accountstatus": "Account Status", "balanceupdated": "", "balance": "Reported Balance",
+    "currentbalance": "Reported Balance", "amountpastdue": "Amount Past Due",
+    "chargeoffamount": "Charge Off Amount", "accountnumber": "Account Number", "dateopened": "Date Opened",
+    "closuretiming": "Date of Last Payment", "paymentamount": "Actual Payment Amount",
+    "dateoffirstdelinquency": "Date of First Delinquency", "monthsreviewed": "Months Reviewed",
+    "indicatorcode": "", "indicatordescription": "", "indicatorcategory": "", "legalcategory": "",
+    "linkedaccountlegalcategory": "", "linkedaccountname": "",
+}
+CITATION_KEYWORDS = {
+    "closed date": "dateclosed", "closure timing": "closuretiming", "last-payment": "lastpaymentdate",
+    "last payment": "lastpaymentdate", "balance-updated": "balanceupdated", "balance updated": "balanceupdated",
+    "status-update": "statusupdated", "status update": "statusupdated", "status updated": "statusupdated",
+    "date reported": "datereported", "status": "status", "actual payment": "actualpaymentamount",
+    "scheduled payment": "scheduledpaymentamount", "past due": "amountpastdue", "past-due": "amountpastdue",
+    "charge off": "chargeoffamount", "charge-off": "chargeoffamount", "account number": "accountnumber",
+    "payment amount": "paymentamount", "first delinquency": "dateoffirstdelinquency",
+    "months reviewed": "monthsreviewed", "indicator code": "indicatorcode",
+    "indicator description": "indicatordescription", "indicator category": "indicatorcategory",
+    "legal category": "legalcategory", "linked account name": "linkedaccountname", "balance": "balance",
+}
+LOW_SIGNAL_TOKENS = ["", "-", "--", "---", "blank", "n/a", "n/r", "none", "none reported", "not available",
+                     "not provided", "not reported", "unknown"]
+PLACEHOLDERS = ["", "-", "not reported", "not available", "none", "null"]
+EXPORT_SOURCES = ["layout", "inferred_gap", "pdf", "inferred_blank"]
+FACT_DATE_PATTERN = (r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)"
+                     r"[a-z]*[\s,.-]+\d{1,2}(?:[\s,.-]+\d{2,4})?)\b")
+MASKED_NUMBER_PATTERN = r"(?i)(?:x|#|\*){2,}[-\s]?(?:x|#|\*){2,}[-\s]?(\d{2,6})"
