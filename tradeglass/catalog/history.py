@@ -246,15 +246,16 @@ def h30(b):
 
 
 @query("h31_closure_facts", """
-    SELECT report_id, entity_key, clo_m AS closure_m, upper(clo_code) AS closure_status, clo_paid AS closure_paid,
+    SELECT report_id, entity_key, CASE WHEN is_closed THEN clo_m END AS closure_m, CASE WHEN is_closed THEN upper(clo_code) END AS closure_status,
+           CASE WHEN is_closed THEN clo_paid END AS closure_paid,
            CASE WHEN pay_rep THEN 'actual_payment_amount' WHEN last_payment IS NOT NULL THEN 'last_payment_date' ELSE '' END AS signal
-    FROM ora_rule WHERE is_closed""")
+    FROM ora_rule""")
 def h31(b):
     v = account_view(b.tradelines(), b.cells(), {
         "is_closed", "closure_m", "closure_status", "closure_paid", "payment_reported", "stated_last_payment"})
-    return v.where("is_closed").selectExpr(
-        *KEY, "closure_m", "closure_status", "closure_paid",
-        f"CASE WHEN payment_reported THEN 'actual_payment_amount' WHEN NOT {h.missing('stated_last_payment')} "
+    closed = [f"if(is_closed, {c}, NULL) AS {c}" for c in ("closure_m", "closure_status", "closure_paid")]
+    return v.selectExpr(
+        *KEY, *closed, f"CASE WHEN payment_reported THEN 'actual_payment_amount' WHEN NOT {h.missing('stated_last_payment')} "
         "THEN 'last_payment_date' ELSE '' END AS signal")
 
 
@@ -300,7 +301,7 @@ def h36(b):
     return h.printed_gap_slots(b.cells())
 
 
-PRINTED_ROWS = "SELECT doc_id, page, line_no AS row_no, CAST(line_no * 12.0 + (line_no % 3) AS double) AS y FROM fx_line WHERE line <> ''"
+PRINTED_ROWS = "SELECT doc_id, page, line_no AS row_no, CAST(line_no * 12.0 + (line_no % 3) AS double) AS y FROM fx_line WHERE length(line) > 60"
 
 
 @query("h36_interpolated_slots", f"""
