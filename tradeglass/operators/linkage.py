@@ -157,19 +157,34 @@ def link_indicators(indicators_: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def match_accounts(views: DataFrame, mapped: DataFrame) -> DataFrame:
-    """Mapped account per view: same entity key, most shared pages, most structured fields, first ordinal."""
-    pairs = views.join(mapped, ["report_id", "entity_key"])
-    return pairs.groupBy("report_id", "view_ord").agg(F.expr(
-        "max_by(mapped_ord, struct(size(array_intersect(pages, mapped_pages)) AS p, n_fields AS f, -mapped_ord AS o)) AS mapped_ord"))
+    """Mapped account per view: same entity key, most shared pages, most structured fields, first ordinal.
+
+    Both sides are first reduced to one row per (report, entity, page list), so copies
+    of an account never pair up with copies of a view.
+    """
+    key = ["report_id", "entity_key"]
+    best = mapped.groupBy(*key, "mapped_pages").agg(F.expr(
+        "max(struct(n_fields AS f, -mapped_ord AS o)) AS best"))
+    pairs = views.select(*key, "pages").distinct().join(best, key)
+    chosen = pairs.groupBy(*key, "pages").agg(F.expr(
+        "-max(struct(size(array_intersect(pages, mapped_pages)) AS p, best.f AS f, best.o AS o)).o AS mapped_ord"))
+    return views.join(chosen, [*key, "pages"]).select("report_id", "view_ord", "mapped_ord")
 
 
 def lookup_accounts(wanted: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Evidence account: same name; same number tail when any has it; then overlap, coverage, fewer pages."""
+    """Evidence account: same name; same number tail when any has it; then overlap, coverage, fewer pages.
+
+    Only distinct (name, tail, pages) classes of both sides are compared.
+    """
+    key = ["report_id", "name_key"]
     w = add(wanted, {"name_key": "regexp_replace(lower(name), '[^a-z0-9]', '')", "tail": solid_tail("number")})
     a = add(accounts, {"name_key": "regexp_replace(lower(account_name), '[^a-z0-9]', '')", "a_tail": solid_tail("account_number")})
-    pairs = w.join(a, ["report_id", "name_key"])
-    rank = "struct(tail <> '' AND a_tail = tail AS t, size(array_intersect(pages, a_pages)) AS p, coverage AS c, -size(a_pages) AS n, -account_ord AS o)"
-    return pairs.groupBy("report_id", "want_ord").agg(F.expr(f"max_by(account_ord, {rank}) AS account_ord"))
+    best = a.groupBy(*key, "a_tail", "a_pages").agg(F.expr("max(struct(coverage AS c, -account_ord AS o)) AS best"))
+    pairs = w.select(*key, "tail", "pages").distinct().join(best, key)
+    chosen = pairs.groupBy(*key, "tail", "pages").agg(F.expr(
+        "-max(struct(tail <> '' AND a_tail = tail AS t, size(array_intersect(pages, a_pages)) AS p, best.c AS c, "
+        "-size(a_pages) AS n, best.o AS o)).o AS account_ord"))
+    return w.join(chosen, [*key, "tail", "pages"]).select("report_id", "want_ord", "account_ord")
 
 
 def public_record_key() -> str:
