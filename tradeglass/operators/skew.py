@@ -35,26 +35,27 @@ def contains_join(needles: DataFrame, haystacks: DataFrame, keys: list[str], nee
     """Distinct (keys, needle, hay) where hay contains needle, exactly and without pairing a whole group.
 
     A needle looks only at haystacks that hold its rarest q-gram of the same keys;
-    needles shorter than q are joined on themselves. Emission grows with the length of
-    the texts, never with needles x haystacks.
+    needles shorter than q are joined on themselves. Gram rows carry a digest instead of
+    the text, so emission grows with the length of the texts, never with
+    needles x haystacks, and the texts themselves meet only for surviving candidates.
     """
-    n = needles.select(*keys, needle).where(F.length(needle) > 0).distinct()
-    h = haystacks.select(*keys, hay).where(F.length(hay) > 0).distinct()
+    n = needles.select(*keys, needle).where(F.length(needle) > 0).distinct().withColumn("_n", F.sha2(needle, 256))
+    h = haystacks.select(*keys, hay).where(F.length(hay) > 0).distinct().withColumn("_h", F.sha2(hay, 256))
 
-    def grams(text: str, size: str) -> str:
+    def grams(text: str, size: int) -> str:
         return (f"if(length({text}) >= {size}, array_distinct(transform(sequence(1, length({text}) - {size} + 1), "
                 f"i -> substring({text}, i, {size}))), cast(array() AS array<string>))")
 
-    short = ", ".join(grams(hay, str(i)) for i in range(1, q))
-    hay_grams = h.selectExpr(*keys, hay, f"explode({grams(hay, str(q))}) AS gram")
-    long_needles = n.where(F.length(needle) >= q)
+    hay_grams = h.selectExpr(*keys, "_h", f"explode({grams(hay, q)}) AS gram")
     frequency = hay_grams.groupBy(*keys, "gram").agg(F.count("*").alias("freq"))
     rarest = (
-        long_needles.selectExpr(*keys, needle, f"explode({grams(needle, str(q))}) AS gram")
+        n.where(F.length(needle) >= q).selectExpr(*keys, "_n", f"explode({grams(needle, q)}) AS gram")
         .join(frequency, [*keys, "gram"], "left")
-        .groupBy(*keys, needle).agg(F.expr("min_by(gram, struct(coalesce(freq, 0), gram)) AS gram"))
+        .groupBy(*keys, "_n").agg(F.expr("min_by(gram, struct(coalesce(freq, 0), gram)) AS gram"))
     )
-    found = rarest.join(hay_grams, [*keys, "gram"]).where(F.contains(F.col(hay), F.col(needle)))
-    short_hay = h.selectExpr(*keys, hay, f"explode(flatten(array({short}))) AS {needle}")
-    exact = n.where(F.length(needle) < q).join(short_hay, [*keys, needle])
-    return found.select(*keys, needle, hay).unionByName(exact.select(*keys, needle, hay))
+    short_grams = ", ".join(grams(hay, i) for i in range(1, q))
+    short_hay = h.selectExpr(*keys, "_h", f"explode(flatten(array({short_grams}))) AS {needle}")
+    short = n.where(F.length(needle) < q).join(short_hay, [*keys, needle]).select(*keys, "_n", "_h")
+    candidates = rarest.join(hay_grams, [*keys, "gram"]).select(*keys, "_n", "_h").unionByName(short)
+    texts = candidates.join(n, [*keys, "_n"]).join(h, [*keys, "_h"])
+    return texts.where(F.contains(F.col(hay), F.col(needle))).select(*keys, needle, hay)

@@ -17,17 +17,3 @@ INTAKE = "report_id string, full_legal_name string, line1 string, line2 string,
 WORD = ("report_id string, page int, line_no int, word_no int, text string, token string, "
         "x double, y double, width double, height double")
 
-# One extraction payload per JSON line; accounts stay maps because an absent key
-# and a present empty one mean different things.
-ACCOUNT_PAYLOAD = ("raw map<string,string>, comments array<string>, sourcePages array<int>, "
-                   "history array<struct<series:string,year:string,values:array<string>>>")
-RESULT = f"""
-  profile string, fileName string, sourceFile string, pageImages array<string>, version timestamp,
-  result struct<
-    reportId:string, reportDate:string, bureau:string,
-    components:map<string,struct<status:string,pages:array<int>>>,
-    counts:map<string,int>,
-    accounts:array<struct<{ACCOUNT_PAYLOAD.replace('raw map', 'raw:map').replace('comments array', 'comments:array')
-                           .replace('sourcePages array', 'sourcePages:array').replace('history array', 'history:array')}>>
-  >
-"""

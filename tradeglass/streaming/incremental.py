@@ -23,7 +23,7 @@ def expired_sessions(events: DataFrame, seconds: int) -> DataFrame:
     last = events.groupBy("user_id").agg(F.max("ts").alias("updated_at"))
     newest = last.agg(F.max("updated_at").alias("now"))
     return last.join(F.broadcast(newest)).where(
-        F.expr(f"unix_micros(now) - unix_micros(updated_at) > {seconds} * 1000000L")).select("user_id", "updated_at")
+        F.expr(f"now - updated_at > make_dt_interval(0, 0, 0, {seconds})")).select("user_id", "updated_at")
 
 
 def idle_windows(events: DataFrame, gap: str, lateness: str) -> DataFrame:
