@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tradeglass import vocab
 from tradeglass.functions.text import contains_any, institution_key, joined, lit, match_text, missing, norm_text, rx
 
@@ -98,7 +100,16 @@ def layout_of(text: str) -> str:
             f"WHEN {new_form} THEN 'equifax_new_v1' WHEN {all_of('equifax')} THEN 'equifax_old_v1' END")
 
 
+def _literal_cores(pattern: str) -> list[str]:
+    """A literal every match of each alternative must contain, in lower case; [] when one has none."""
+    cores = [re.split(r".\?|[(\[^$*+]", alt.replace(r"\b", ""))[0].strip().lower() for alt in pattern.split("|")]
+    return cores if all(cores) else []
+
+
 def section_present(text: str, section: str) -> str:
+    """Section heading test; plain substring tests run first, so most texts never meet the pattern."""
     pattern = vocab.SECTION_PATTERNS[section]
     flags = "(?im)" if pattern.startswith("^") else "(?i)"
-    return f"({text} RLIKE {rx(flags + pattern)})"
+    cores = _literal_cores(pattern) or ["additional information"]
+    maybe = " OR ".join(f"contains(lower({text}), {lit(c)})" for c in cores)
+    return f"(({maybe}) AND {text} RLIKE {rx(flags + pattern)})"

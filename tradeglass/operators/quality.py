@@ -66,11 +66,12 @@ def ground_values(fields: DataFrame, pages: DataFrame) -> DataFrame:
     p = add(pages, {"norm": match_text("page_text"), "plain": evidence.simple("page_text")})
     values = fields.select("report_id", "value").distinct()
     spelled = values.selectExpr("report_id", "value", f"explode({evidence.value_candidates('value')}) AS spelling")
-    hits = []
-    for text in ("norm", "plain"):
-        found = contains_join(spelled, p, ["report_id"], "spelling", text)
-        hits.append(found.join(p.select("report_id", "page", text), ["report_id", text]).join(
-            spelled, ["report_id", "spelling"]).select("report_id", "value", "page"))
+    texts = p.selectExpr("report_id", "page", "explode(array_distinct(array(norm, plain))) AS body").withColumn(
+        "body_id", F.sha2("body", 256))
+    found = contains_join(spelled, texts, ["report_id"], "spelling", "body").select(
+        "report_id", "spelling", F.sha2("body", 256).alias("body_id"))
+    exact = found.join(texts.select("report_id", "page", "body_id"), ["report_id", "body_id"]).join(
+        spelled, ["report_id", "spelling"]).select("report_id", "value", "page")
     tokens = f"array_distinct(filter(regexp_extract_all({{0}}, {rx('[a-z0-9]+')}, 0), t -> length(t) >= 2))"
     page_tokens = p.selectExpr("report_id", "page", f"{tokens.format('norm')} AS page_tokens")
     token_pages = page_tokens.selectExpr("report_id", "page", "explode(page_tokens) AS token")
@@ -85,7 +86,7 @@ def ground_values(fields: DataFrame, pages: DataFrame) -> DataFrame:
     missing = "size(array_except(tokens, page_tokens))"
     fuzzy = near.join(value_tokens, ["report_id", "value"]).join(page_tokens, ["report_id", "page"]).where(
         f"{missing} = 0 OR (size(tokens) >= 4 AND {missing} = 1)").select("report_id", "value", "page")
-    return hits[0].unionByName(hits[1]).unionByName(fuzzy).distinct()
+    return exact.unionByName(fuzzy).distinct()
 
 
 def grounded_fields(fields: DataFrame, pages: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def contains_join(needles: DataFrame, haystacks: DataFrame, keys: list[str], nee
     h = haystacks.select(*keys, hay).where(F.length(hay) > 0).distinct().withColumn("_h", F.sha2(hay, 256))
 
     def grams(text: str, size: int) -> str:
-        return (f"if(length({text}) >= {size}, array_distinct(transform(sequence(1, length({text}) - {size} + 1), "
-                f"i -> substring({text}, i, {size}))), cast(array() AS array<string>))")
+        """Overlapping substrings of one length, read in a single pass over the text."""
+        return f"array_distinct(regexp_extract_all({text}, r'(?s)(?=(.{{{size}}}))', 1))"
 
     hay_grams = h.selectExpr(*keys, "_h", f"explode({grams(hay, q)}) AS gram")
     frequency = hay_grams.groupBy(*keys, "gram").agg(F.count("*").alias("freq"))
