@@ -8,7 +8,7 @@ import pytest
 from tradeglass.functions import codes, dates, text
 from tradeglass.operators import history as h
 from tradeglass.operators import layout, linkage, quality
-from tradeglass.operators.skew import contains_join, grouped_rank
+from tradeglass.operators.skew import contains_join, grouped_rank, salted_join
 from tradeglass.sources import payloads
 from tradeglass.streaming import incremental
 
@@ -37,6 +37,12 @@ def test_grouped_rank_numbers_a_hot_group(spark):
         assert [seen[(g, a, b)] for a, b in ordered] == list(range(1, len(ordered) + 1))
 
 
+def test_salted_join_keeps_every_row_of_a_hot_key(spark):
+    big = spark.createDataFrame([("hot" if i % 3 else f"g{i}", i) for i in range(300)], "k string, i int")
+    small = spark.createDataFrame([("hot", 1), ("g0", 2)], "k string, v int")
+    assert values(salted_join(big, small, ["k"], "i")) == values(big.join(small, ["k"], "left"))
+
+
 def test_box_clusters_equal_connected_components(spark):
     rnd = random.Random(3)
     boxes = [(1, 1 + i % 2, i, float(rnd.randint(0, 600)), float(rnd.randint(0, 700)), 40.0, 10.0) for i in range(80)]

@@ -111,6 +111,12 @@ def key_case(names) -> str:
     return "CASE lay " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names) if n) + " END"
 
 
+@query("s8_written_findings", f"SELECT report_id, entity_key, profile_id, CASE WHEN k % 10 IN (0, 1, 2) THEN 'triggered' ELSE 'not_triggered' END AS status FROM fx_account")
+def s8(b):
+    rows = rule_outcomes(b.tradelines(), b.cells(), ["r02"], keep=[*KEY, "profile_id"])
+    return s.written(rows.select(*KEY, "profile_id", "status"), "findings")
+
+
 RAW_ROWS = " UNION ALL ".join(f"SELECT report_id, k, lay, name, number, {key_case(names)} AS key, {c} AS v FROM fx_account" for c, names in RAW_KEYS.items())
 
 

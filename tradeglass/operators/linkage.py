@@ -15,7 +15,7 @@ from tradeglass.functions.text import (
     account_number_key, add, canonical_subscriber, first_meaningful, identity_key, is_missing, match_text, norm_text,
     number_tail, solid_tail,
 )
-from tradeglass.operators.skew import contains_join, grouped_rank
+from tradeglass.operators.skew import contains_join, grouped_rank, salted_join
 
 
 def keep_first(df: DataFrame, key: dict[str, str], ord_: str = "ord") -> DataFrame:
@@ -75,7 +75,7 @@ def dedup_collections(collections: DataFrame, expected: DataFrame, scored: list[
     firsts = [F.expr(f"coalesce(min_by({f}, if(coalesce({f}, '') <> '', ord, NULL)), '') AS {f}") for f in scored]
     merged = keyed.groupBy("report_id", "identity").agg(F.min("ord").alias("ord"), *firsts)
     merged = add(merged, {"score": collection_score(scored), "worst_first": f"-({collection_score(scored)})"})
-    ranked = grouped_rank(merged, ["report_id"], ["worst_first", "ord"]).join(expected, "report_id", "left")
+    ranked = salted_join(grouped_rank(merged, ["report_id"], ["worst_first", "ord"]), expected, ["report_id"], "identity")
     return ranked.where("coalesce(expected_count, 0) <= 0 OR rank <= expected_count").drop(
         "worst_first", "rank", "expected_count")
 
@@ -205,4 +205,4 @@ def with_account_counts(accounts: DataFrame) -> DataFrame:
     totals = accounts.groupBy("report_id").agg(
         F.expr("cast(count_if(NOT is_closed) AS int) AS n_open"), F.expr("cast(count_if(is_closed) AS int) AS n_closed"),
         F.expr("cast(count(*) AS int) AS n_total"))
-    return accounts.join(totals, "report_id")
+    return salted_join(accounts, totals, ["report_id"], "entity_key", "inner")

@@ -30,6 +30,18 @@ def grouped_rank(df: DataFrame, group: list[str], order: list[str], name: str =
         "_part", "_local", "_offset")
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "left",
+                salts: int = 16) -> DataFrame:
+    """Equi join of a side where one key may own a large share of rows with a side of one row per key.
+
+    Rows of the big side are spread over salts by a hash of another column; the small
+    side is repeated once per salt, so a hot key is joined in as many tasks.
+    """
+    left = big.withColumn("_salt", F.expr(f"cast(pmod(xxhash64({spread_by}), {salts}) AS int)"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def contains_join(needles: DataFrame, haystacks: DataFrame, keys: list[str], needle: str, hay: str,
                   q: int = 4) -> DataFrame:
     """Distinct (keys, needle, hay) where hay contains needle, exactly and without pairing a whole group.

@@ -15,6 +15,7 @@ from tradeglass import vocab
 from tradeglass.functions.money import amount
 from tradeglass.functions.text import contains_any, lit, missing, names_in, one_of, rx
 from tradeglass.operators.history import KEY, count_runs, latest_balance
+from tradeglass.operators.skew import salted_join
 from tradeglass.plans.account_view import account_view, money_state, with_anchors
 
 
@@ -265,7 +266,7 @@ def rule_outcomes(tradeline: DataFrame, cells: DataFrame, ids: list[str] | None
         sql for r in rules for sql in (r.triggered, r.applies, r.evaluable, r.runs, *keep)) | {"number"})
     if any(r.id == "r01" for r in rules):
         shared = duplicate_conflicts(tradeline, cells).selectExpr("report_id", "number", "true AS duplicate_conflict")
-        data = data.join(shared, ["report_id", "number"], "left").fillna(False, ["duplicate_conflict"])
+        data = salted_join(data, shared, ["report_id", "number"], "entity_key").fillna(False, ["duplicate_conflict"])
     wide = data.selectExpr(*keep, *[f"{status_of(r)} AS s_{r.id}" for r in rules],
                            *[f"{r.runs} AS f_{r.id}" for r in rules if r.runs != "1"])
     items = ", ".join(

@@ -9,6 +9,7 @@ from tradeglass import vocab
 from tradeglass.functions import dates
 from tradeglass.functions.text import add, contains_any, identity_key, is_missing, joined, match_text
 from tradeglass.operators.linkage import link_indicators, public_record_key
+from tradeglass.operators.skew import salted_join
 
 RECORD_TEXT = joined("record_type", "court", "reference_number", "status", "amount", "date_filed", "date_resolved")
 
@@ -34,7 +35,7 @@ def obsolete_records(records: DataFrame, reports: DataFrame) -> DataFrame:
     limit = f"if({contains_any(RECORD_TEXT, vocab.BANKRUPTCY_WORDS)}, 120, 84)"
     dated = add(records, {"anchor_m": dates.month_index(anchor), "max_months": limit})
     report = reports.selectExpr("report_id", f"{dates.month_index(dates.parse_date('report_date'))} AS report_m")
-    return dated.join(report, "report_id").where("report_m - anchor_m >= max_months")
+    return salted_join(dated, report, ["report_id"], "record_ord", "inner").where("report_m - anchor_m >= max_months")
 
 
 def restricted_records(records: DataFrame) -> DataFrame:

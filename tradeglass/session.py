@@ -21,13 +21,12 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder spark.checkpoint.dir names.
 
-    Only a local session may fall back to a temporary folder; on a cluster an
-    unset folder is an error, because executors could not read it back.
+    Only a local session may fall back to a temporary folder; on a cluster an unset
+    folder is an error, because executors could not read it back.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,4 +35,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="tradeglass-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tradeglass.functions.text import (
     add, cell_state, field_provenance_id, lit, lookup, match_text, norm_text, one_of, page_list, rx,
 )
 from tradeglass.operators.linkage import keep_first
+from tradeglass.operators.skew import salted_join
+from tradeglass.session import checkpoint_folder
 from tradeglass.plans.account_view import ANCHOR_LAYERS, FIELD_CHAINS, field, with_anchors
 
 ACCOUNT = ("struct<accountOrd:int,accountName:string,accountNumber:string,raw:map<string,string>,"
@@ -69,7 +73,7 @@ def attach_sources(accounts: DataFrame, sources: DataFrame, sections: DataFrame)
     """Pages (and printed years) of an account by identity key, else the pages of its section."""
     s = sources.groupBy("report_id", "entity_key").agg(
         F.expr("max_by(pages, ord) AS pages"), F.expr("max_by(years, if(size(years) > 0, ord, NULL)) AS years"))
-    joined = accounts.join(s, ["report_id", "entity_key"], "left").join(sections, "report_id", "left")
+    joined = salted_join(accounts.join(s, ["report_id", "entity_key"], "left"), sections, ["report_id"], "entity_key")
     return joined.selectExpr("report_id", "entity_key", "coalesce(pages, section_pages) AS source_pages", "years")
 
 
@@ -83,6 +87,14 @@ def write_by_layout(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").partitionBy("profile_id").format(fmt).save(path)
 
 
+def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
+    """Write a table under the shared checkpoint folder and read it back with its declared schema."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    write_by_layout(df, path, fmt)
+    return spark.read.schema(df.schema).format(fmt).load(path)
+
+
 def flatten_scalars(accounts: DataFrame) -> DataFrame:
     """(path, component, value) of every raw scalar worth grounding on a page.
 
