@@ -243,7 +243,6 @@ def expand_month(sql: str) -> str:
 ORACLE_VIEWS.update({name: expand_month(sql) for name, sql in ORACLE_VIEWS.items()})
 
 OPEN = "NOT coll AND NOT is_closed"
-NOPAY_TEXT = {0: "scheduled, payment", 1: "scheduled", 2: "payment, scheduled", 3: "scheduled"}
 PAY_AMOUNT = ("CASE lay WHEN 0 THEN coalesce(nullif(scheduled, ''), nullif(payment, ''), CASE WHEN n_sched_pos + n_paid_pos > 0 THEN '$1' END) "
               "WHEN 1 THEN coalesce(nullif(scheduled, ''), CASE WHEN n_sched_pos > 0 THEN '$1' END) "
               "WHEN 2 THEN coalesce(nullif(payment, ''), nullif(scheduled, ''), CASE WHEN n_paid_pos > 0 THEN '$1' END) "
@@ -252,7 +251,7 @@ PAY_AMOUNT = ("CASE lay WHEN 0 THEN coalesce(nullif(scheduled, ''), nullif(payme
 RECENT_TEXT = "coalesce(nullif(payment, ''), CASE WHEN n_paid_pos > 0 THEN '$1' END)"
 RECENT_CUR = "coalesce(cur_m >= last_m - 2, false)"
 TERMS_MISSING = "terms IS NULL AND duration IS NULL"
-SIGNAL = f"(pay_rep OR last_payment IS NOT NULL)"
+SIGNAL = "(pay_rep OR last_payment IS NOT NULL)"
 CLO_ACT = "(coalesce(clo_code, '') NOT IN ('', 'x', 'nd') OR coalesce(clo_paid, '-') <> '-' OR (lay = 2 AND coalesce(clo_lpd, '--') <> '--'))"
 CLO_AMT = "(clo_m IS NOT NULL AND pay_rep AND coalesce(clo_paid, '-') <> '-')"
 HIGH_AMT = f"coalesce({omoney('high')}, bal_max)"
@@ -334,6 +333,5 @@ def status_sql(rule_id: str) -> str:
 
 
 ORACLE_VIEWS["ora_outcome"] = " UNION ALL ".join(
-    f"SELECT report_id, entity_key, lay, k, name, neg, '{r}' AS rule_id, {status_sql(r)} AS status FROM ora_wide"
+    f"SELECT report_id, entity_key, lay, k, name, neg, '{r}' AS rule_id, {status_sql(r)} AS status FROM ora_rule"
     for r in RULE_SQL)
-ORACLE_VIEWS["ora_wide"] = "SELECT * FROM ora_rule"
