@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,24 +21,30 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     )
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names; where it is unset, one under the session's warehouse.
 
-    Only a local session may fall back to a temporary folder; on a cluster an unset
-    folder is an error, because executors could not read it back.
+    Both are shared by the driver and all executors.
     """
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder; nothing is made yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="tradeglass-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as Parquet under the shared folder and read back."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

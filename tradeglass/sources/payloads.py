@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from tradeglass.functions.text import (
 )
 from tradeglass.operators.linkage import keep_first
 from tradeglass.operators.skew import salted_join
-from tradeglass.session import checkpoint_folder
+from tradeglass.session import scratch_folder
 from tradeglass.plans.account_view import ANCHOR_LAYERS, FIELD_CHAINS, field, with_anchors
 
 ACCOUNT = ("struct<accountOrd:int,accountName:string,accountNumber:string,raw:map<string,string>,"
@@ -90,7 +89,7 @@ def write_by_layout(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def written(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Write a table under the shared checkpoint folder and read it back with its declared schema."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, name)
     write_by_layout(df, path, fmt)
     return spark.read.schema(df.schema).format(fmt).load(path)
 
