@@ -21,8 +21,8 @@ import pyarrow as pa
 
 from tradeglass.llm.words import LOWER, SPACE, _marks, chunks, ranges, span_hashes
 
-TABLE_PIECES = 1_000_000
-PIECE_CHUNK = 2 << 20
+TABLE_PIECES = 300_000
+PIECE_CHUNK = 1 << 20
 
 _LETTER, _PUNCT, _FREE, _DIGIT = 1, 2, 3, 4
 _KIND = np.full(256, _FREE, np.uint8)
@@ -113,7 +113,8 @@ class PieceTable:
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = first[missing]
             whole = raw.tobytes()
-            free = np.concatenate([[0], np.cumsum(kind == _FREE)])
+            free = np.zeros(len(kind) + 1, np.int32)
+            np.cumsum(kind == _FREE, out=free[1:])
             texts = [whole[a:b].decode("utf-8") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
             plain = (free[ends[at]] == free[starts[at]]) & folded
             rows[missing] = self._add([known[i] for i in missing.tolist()], texts, plain)

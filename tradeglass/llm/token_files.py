@@ -184,10 +184,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     bytes_of = files.select("part", "content")
     sizes = bytes_of.mapInArrow(totals, "part long, ids_in long").groupBy("part").agg(F.sum("ids_in").alias("ids_in"))
-    # one short row per file
+    # one short row per file: small enough to broadcast at any number of documents
     begins = sizes.select("part", (F.sum("ids_in").over(Window.orderBy("part")) - F.col("ids_in")).alias("begin"))
     rows = bytes_of.mapInArrow(documents, "part long, doc_id long, start long, n_tokens long, ids binary")
-    return rows.join(begins, "part").select("doc_id", (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(begins), "part").select("doc_id", (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids")
 
 
 def _ids_in(content: bytes) -> int:

@@ -46,10 +46,12 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.
     """(first row, bytes, offsets of len(rows)+1) of runs of whole documents; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if texts.null_count:
+        texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
     raw = texts.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     first = 0
@@ -85,7 +87,7 @@ def span_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends:
     powers = _power_table(int(lengths.max()))
     packed = data[inside]
     own = np.cumsum(lengths) - lengths
-    place = np.arange(len(packed)) - np.repeat(own, lengths)
+    place = np.arange(len(packed), dtype=np.int32) - np.repeat(own.astype(np.int32), lengths)
     sums = np.add.reduceat(_CODES[packed] * powers[place], own)
     return mix(sums ^ (lengths.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
