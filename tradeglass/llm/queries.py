@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeglass.llm import bpe, packing, token_files
+from tradeglass.llm import bpe, exact_dedup, hilbert, minhash, packing, token_files
 from tradeglass.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,22 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     done = bpe.round_trip(documents(spark, folder).select("doc_id", "text"), tokenizer_path())
     return done.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+@query("op8_exact_dedup", """
+    SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
+           doc_id = max(doc_id) OVER t AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.mark(documents(spark, folder))
+
+
+@query("op10_hilbert_shards")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return hilbert.assign(documents(spark, folder), ["source", "lang"])
+
+
+@query("op9_near_duplicates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, folder))
