@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeglass.llm import bpe, exact_dedup, hilbert, minhash, packing, token_files
+from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, minhash, packing, token_files
 from tradeglass.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder))
+
+
+@query("op1_embedding_duplicates", """
+    WITH RECURSIVE good AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    link AS (
+        SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (
+        SELECT vec_id AS node, vec_id AS seen FROM embeddings
+        UNION SELECT r.node, l.v FROM reach r JOIN link l ON l.u = r.seen)
+    SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.u = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e JOIN (SELECT node, min(seen) AS component_id FROM reach GROUP BY node) c ON c.node = e.vec_id
+""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.near_duplicates(spark.read.parquet(f"{folder}/embeddings.parquet"))
