@@ -1,22 +1,44 @@
-"""A corpus pipeline: language, exact copies, near copies, packing."""
+"""A corpus pipeline: language, exact copies, near copies, packing into token windows.
+
+Each stage reads what the one before it kept, as Parquet under the shared folder, and all but the last
+return the columns of documents. A text without any letter has no language and goes; so do all copies
+but one, exact ones by text, near ones by 5-word shingles.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeglass.llm import packing
+from tradeglass.llm import exact_dedup, langid, minhash, packing
 from tradeglass.llm.queries import documents, tokenizer_path
 from tradeglass.session import stored
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; the model is fitted on labelled documents of this table."""
+    model = langid.fit(docs)
+    return docs.where(langid.predict(F.col("text").cast("string"), model).getField("lang_pred") != langid.UNKNOWN)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every text: that with the largest doc_id."""
+    return exact_dedup.unique(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group of near copies: that with the smallest doc_id."""
+    return minhash.unique(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token windows of the documents that are left."""
     return packing.pack(docs, tokenizer_path(), end_id=1)
 
 
-STAGES = [("packing", packed)]
+STAGES = [("language ID", language), ("exact dedup", without_copies), ("MinHash near-dedup", without_near_copies), ("packing", packed)]
 
-#: No stage that trains a model or compares documents by similarity has a plain SQL form.
+#: The kernel classifier, the components of similar texts and the packing have no plain SQL form.
 ORACLE_SQL = None
 
 

@@ -283,3 +283,9 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
         return labels
     merged = connected(across).select(F.col("node").alias("label"), F.col("label").alias("to"))
     return stored(labels.join(merged, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows of docs that stay, all columns unchanged: the smallest doc_id of every component, and rows without one."""
+    gone = near_duplicates(docs, doc_id, text, percent).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

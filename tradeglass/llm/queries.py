@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, html_text, langid, minhash, packing, token_files
+from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, hmm, html_text, langid, minhash, packing, token_files
 from tradeglass.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     return pages.select("page_id", "url", html_text.extract(F.col("html")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op4_hidden_markov")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return hmm.score(documents(spark, folder))
