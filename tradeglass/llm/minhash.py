@@ -38,7 +38,7 @@ from tradeglass.llm.grouped import by_cell, emit, roots
 from tradeglass.llm.words import mix, ranges, words_of
 from tradeglass.session import stored
 
-SHINGLE, COORDINATES, BANDS, ROWS, BLOCK, PERCENT = 5, 256, 32, 6, 256, 85
+SHINGLE, COORDINATES, BANDS, ROWS, BLOCK, PERCENT = 5, 256, 32, 6, 1024, 85
 #: Best partners a node names in a cell, by round; the last round names all.
 PARTNERS = (1, 4, 16, None)
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, (2 * COORDINATES + SHINGLE,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
