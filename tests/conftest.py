@@ -4,8 +4,8 @@ from tradeglass.session import local_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(cores=4, memory="4g")
+def spark(tmp_path_factory):
+    session = local_session(cores=4, memory="4g", shared=str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A session for tests and local benchmarks; a cluster brings its own."""
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("tradeglass")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
