@@ -10,8 +10,8 @@ full drop out, so a set of n elements costs about max(n, COORDINATES log COORDIN
 
 BANDS bands of ROWS coordinates name buckets. Documents with equal sets are one node. Within a bucket
 (cut into cells of bounded blocks) the sketches estimate the similarity of pairs whose nodes are not yet
-joined; each node names its best partners, those pairs are confirmed on full sets, and confirmed links
-are joined into components. The number of partners grows by rounds, and the last round takes every pair
+joined; each component names its best partners, those pairs are confirmed on full sets, and confirmed
+links are joined into components. The number of partners grows by rounds, and the last round takes every pair
 left, so no pair above the estimate's bound goes unconfirmed while its nodes are apart.
 
 Miss probability at similarity 0.85: 3e-7 for the bands, about 1e-5 for the estimate's bound (4.3
@@ -34,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeglass.llm.components import cells, connected
-from tradeglass.llm.grouped import by_cell, emit, roots
+from tradeglass.llm.grouped import by_cell, emit
 from tradeglass.llm.words import mix, ranges, words_of
 from tradeglass.session import stored
 
 SHINGLE, COORDINATES, BANDS, ROWS, BLOCK, PERCENT = 5, 256, 32, 6, 1024, 85
 #: Best partners a node names in a cell, by round; the last round names all.
-PARTNERS = (1, 4, 16, None)
+PARTNERS = (1, 8, None)
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, (2 * COORDINATES + SHINGLE,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -117,50 +117,67 @@ _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cell", pa.int64())])
 LEAST_EQUAL = int(COORDINATES * 0.85 - 4.3 * (COORDINATES * 0.85 * 0.15) ** 0.5)
 
 
-def _best(first: np.ndarray, second: np.ndarray, equal: np.ndarray, k: int | None) -> np.ndarray:
-    """Places of the pairs among the k best of either end."""
+def _best(ends: list[np.ndarray], cell: np.ndarray, equal: np.ndarray, k: int | None) -> np.ndarray:
+    """Places of the pairs among the k best of either end (an end of -1 names none)."""
     if k is None:
-        return np.arange(len(first))
+        return np.arange(len(equal))
     chosen = []
-    for end in (first, second):
-        order = np.lexsort((-equal, end))
-        begin = np.concatenate([[True], end[order][1:] != end[order][:-1]])
+    for end in ends:
+        order = np.lexsort((-equal, end, cell))
+        order = order[end[order] >= 0]
+        own, where = end[order], cell[order]
+        begin = np.ones(len(order), bool)
+        begin[1:] = (own[1:] != own[:-1]) | (where[1:] != where[:-1])
         place = np.arange(len(order)) - np.maximum.accumulate(np.where(begin, np.arange(len(order)), 0))
         chosen.append(order[place < k])
     return np.unique(np.concatenate(chosen))
 
 
 def _candidates(k: int | None):
-    """Pairs worth confirming of sorted rows (cell, mine, low, high, node, label, sketch)."""
+    """Pairs worth confirming of sorted rows (cell, mine, low, high, band, node, label, sketch).
+
+    A pair counts in the first band that its two nodes share. The k best pairs of a label are named by
+    the labels other than the cell's largest: one end of every pair is such a label.
+    """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in by_cell(batches, "cell"):
-            node, label, cell = (table.column(c).to_numpy() for c in ("node", "label", "cell"))
+            node, label, cell, band = (table.column(c).to_numpy() for c in ("node", "label", "cell", "band"))
             mine, low, high = (table.column(c).to_numpy() for c in ("mine", "low", "high"))
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            small_u, small_v = [], []
+            named = np.unique(label, return_inverse=True)[1]
+            found, small = [], []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if low[a] != high[a]:
-                    left, right = a + np.flatnonzero(mine[a:b] == low[a]), a + np.flatnonzero(mine[a:b] == high[a])
-                elif b - a > 32:
-                    left = right = np.arange(a, b)
-                else:
+                if low[a] == high[a] and b - a <= 32:
                     i, j = np.triu_indices(b - a, 1)
-                    small_u.append(a + i)
-                    small_v.append(a + j)
+                    small.append((a + i, a + j))
                     continue
-                yield from _named(*_across(left, right, sketch, label, left is right), node, cell, k)
-            if small_u:
-                u, v = np.concatenate(small_u), np.concatenate(small_v)
+                left, right = a + np.flatnonzero(mine[a:b] == low[a]), a + np.flatnonzero(mine[a:b] == high[a])
+                found.append(_across(left, right, sketch, label, low[a] == high[a]))
+                own, counts = np.unique(named[a:b], return_counts=True)
+                if counts.max() > 1:
+                    named[a:b][named[a:b] == own[counts.argmax()]] = -1
+            if small:
+                u, v = (np.concatenate(x) for x in zip(*small, strict=True))
                 apart = label[u] != label[v]
                 u, v = u[apart], v[apart]
                 equal = np.concatenate([(sketch[u[i:i + 8192]] == sketch[v[i:i + 8192]]).sum(1) for i in range(0, len(u), 8192)] or [np.zeros(0, int)])
                 keep = equal >= LEAST_EQUAL
-                yield from _named(u[keep], v[keep], equal[keep], node, cell, k)
+                found.append((u[keep], v[keep], equal[keep]))
+            u, v, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+            if len(u):
+                bands = sketch[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
+                shared = np.concatenate([(bands[u[i:i + 8192]] == bands[v[i:i + 8192]]).all(2).argmax(1) for i in range(0, len(u), 8192)])
+                first = shared == band[u]
+                u, v, equal = u[first], v[first], equal[first]
+                best = _best([named[u], named[v]], cell[u], equal, k)
+                u, v = u[best], v[best]
+                yield emit(_PAIRS, np.minimum(node[u], node[v]), np.maximum(node[u], node[v]), cell[u])
     return pairs
 
 
 def _across(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, label: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    found = []
+    """Pairs of different labels whose sketches are near enough, and their equal coordinates."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for place, i in enumerate(left.tolist()):
         others = right[place + 1:] if same else right
         others = others[label[others] != label[i]]
@@ -168,17 +185,9 @@ def _across(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, label: np.n
             equal = (sketch[others] == sketch[i]).sum(1)
             keep = equal >= LEAST_EQUAL
             found.append((np.full(int(keep.sum()), i), others[keep], equal[keep]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _named(u: np.ndarray, v: np.ndarray, equal: np.ndarray, node: np.ndarray, cell: np.ndarray, k: int | None) -> Iterator[pa.RecordBatch]:
-    if len(u):
-        best = _best(u, v, equal, k)
-        yield emit(_PAIRS, np.minimum(node[u[best]], node[v[best]]), np.maximum(node[u[best]], node[v[best]]), cell[u[best]])
-
-
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("linked", pa.bool_())])
 
 
@@ -217,12 +226,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_key = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("set_key") % F.lit(1 << 61)))
     sets = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(by_key.alias("node"), F.min("doc_id").alias("low_id"), F.min("sketch").alias("sketch")), "sets")
 
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * ROWS + 1, F.lit(ROWS)))))
-    keys = sets.select("node", band.alias("key"))
-    shape = keys.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("low")).where("n > 1")
-    # buckets with the same members say the same
-    chosen = shape.groupBy("n", "mix", "low").agg(F.min("key").alias("key")).select("key")
-    members = stored(keys.join(chosen, "key").distinct(), "members")
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * ROWS + 1, F.lit(ROWS)))))
+    keys = sets.select("node", band.alias("band", "key"))
+    shape = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("low")).where("n > 1")
+    # buckets with the same members say the same; that of the first band stays
+    chosen = shape.groupBy("n", "mix", "low").agg(F.min(F.struct("band", "key")).alias("first")).select("first.*")
+    members = stored(keys.join(chosen, ["band", "key"]).distinct(), "members")
 
     labels = members.select("node").distinct().withColumn("label", F.col("node"))
     open_members = members
@@ -230,11 +239,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     refuted = None
     for k in PARTNERS:
         labelled = open_members.join(labels, "node")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key")
-        labelled = stored(labelled.join(mixed, "key"), "open")
-        open_members = labelled.select("key", "node")
+        mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "key")
+        labelled = stored(labelled.join(mixed, ["band", "key"]), "open")
+        open_members = labelled.select("band", "key", "node")
         one = sets.select("node", "sketch")
-        dealt = cells(labelled, ["key"], "node", BLOCK).join(one, "node").select("cell", "mine", "low", "high", "node", "label", "sketch")
+        dealt = cells(labelled, ["band", "key"], "node", BLOCK).join(one, "node").select("cell", "mine", "low", "high", "band", "node", "label", "sketch")
         found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(k), "u long, v long, cell long")
         pairs = found.groupBy("u", "v").agg(F.min("cell").alias("cell"))
         if refuted is not None:
