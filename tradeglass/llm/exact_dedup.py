@@ -172,7 +172,8 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 
 def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, all columns unchanged; one row of those that repeat a doc_id and text."""
-    kept = build_index(docs, doc_id, text).select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep"))
-    keyed = docs.withColumn("_key", text_key(text)).withColumn("_keep", F.col(doc_id).cast("long"))
-    same = (keyed["_key"] == kept["_key"]) & keyed["_keep"].eqNullSafe(kept["_keep"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["_key", "_keep"]).drop("_key", "_keep")
+    name = F.col(doc_id).cast("long")
+    kept = build_index(docs, doc_id, text).select(F.col("key").alias("_key"), F.coalesce("keep_id", F.lit(0)).alias("_keep"), F.col("keep_id").isNull().alias("_none"))
+    keyed = docs.withColumns({"_key": text_key(text), "_keep": F.coalesce(name, F.lit(0)), "_none": name.isNull()})
+    # the copies of one text differ in doc_id, so they spread; the join's partitioning serves both steps
+    return keyed.join(kept, ["_key", "_keep", "_none"], "left_semi").dropDuplicates(["_key", "_keep", "_none"]).drop("_key", "_keep", "_none")
