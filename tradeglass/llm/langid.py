@@ -69,28 +69,31 @@ class Model:
         return np.concatenate([kernel, np.ones((len(kernel), 1), np.float32)], axis=1) @ self.weights
 
 
-def solve(rows: np.ndarray, names: list[str]) -> Model:
-    """Landmarks are taken in turn from the languages; rows come in the order of the sample."""
+def solve(bits: np.ndarray, names: list[str]) -> Model:
+    """A model from packed presence rows in the order of the sample; landmarks are taken in turn from the languages."""
     languages = sorted(set(names))
     kind = np.array([languages.index(x) for x in names])
     turn = np.zeros(len(kind), np.int64)
     for k in range(len(languages)):
         turn[kind == k] = np.arange((kind == k).sum())
     chosen = np.lexsort((kind, turn))[:LANDMARKS]
-    marks = rows[chosen]
+    marks = np.unpackbits(bits[chosen], axis=1).astype(np.float32)
     own = np.sqrt(np.maximum(1, marks.sum(1)))
     kernel = (marks @ marks.T / own[:, None] / own[None, :]).astype(np.float64)
     values, vectors = np.linalg.eigh(kernel)
     keep = values > 1e-6 * values[-1]
     to_space = vectors[:, keep] / np.sqrt(values[keep])
-    cross = np.concatenate([rows[i:i + 512] @ marks.T for i in range(0, len(rows), 512)]) / np.sqrt(np.maximum(1, rows.sum(1)))[:, None] / own[None, :]
-    space = np.concatenate([cross @ to_space, np.ones((len(rows), 1))], axis=1)
+    parts = []
+    for at in range(0, len(bits), 256):
+        rows = np.unpackbits(bits[at:at + 256], axis=1).astype(np.float32)
+        parts.append(rows @ marks.T / np.sqrt(np.maximum(1, rows.sum(1)))[:, None] / own[None, :])
+    space = np.concatenate([np.concatenate(parts) @ to_space, np.ones((len(bits), 1))], axis=1)
     target = np.where(kind[:, None] == np.arange(len(languages))[None, :], 1.0, -1.0)
     share = 1 / np.bincount(kind, minlength=len(languages))[kind]  # every language weighs the same
     gram = (space * share[:, None]).T @ space + RIDGE * np.diag([1.0] * (space.shape[1] - 1) + [0.0]) + 1e-9 * np.eye(space.shape[1])
     ridge = np.linalg.solve(gram, (space * share[:, None]).T @ target)
     weights = np.concatenate([to_space @ ridge[:-1], ridge[-1:]])
-    return Model(languages, np.packbits(marks.astype(bool), axis=1), weights.astype(np.float32))
+    return Model(languages, bits[chosen], weights.astype(np.float32))
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
@@ -112,8 +115,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     # at most SAMPLE short rows (and one for each language beyond) are sent out, and as many bit rows come back
     sample = named.join(F.broadcast(picked), ["doc_id", "lang"]).select("text", "lang", "place").mapInArrow(rows_of, "bits binary, lang string, place int")
     got = sorted(sample.collect(), key=lambda r: (r.place, r.lang, bytes(r.bits)))
-    bits = np.unpackbits(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), axis=1)
-    return solve(bits.astype(np.float32), [r.lang for r in got])
+    return solve(np.frombuffer(b"".join(r.bits for r in got), np.uint8).reshape(len(got), -1), [r.lang for r in got])
 
 
 def predict(text: Column, model: Model | None) -> Column:
