@@ -168,6 +168,6 @@ def test_stream_session_windows_close(spark, tmp_path):
     assert values(spark.table("idle").select("user_id", "n_events")) == [(1, 2)]
 
 
-@pytest.mark.parametrize("n, letters", [(1, "A"), (26, "Z"), (27, "AA"), (702, "ZZ"), (703, "AAA")])
+@pytest.mark.parametrize("n, letters", [(1, "A"), (26, "Z"), (27, "AA"), (702, "ZZ"), (703, "AAA"), (18278, "ZZZ"), (18279, "AAAA"), (475254, "ZZZZ"), (475255, "AAAAA")])
 def test_exhibit_letters(spark, n, letters):
     assert spark.range(1).selectExpr(f"{text.exhibit_label(str(n), 'letter')} AS v").first().v == letters

@@ -187,7 +187,7 @@ def conflict_findings(b):
 @query("k2_merge_findings", """
     SELECT report_id, entity_key, issue_type, min(CASE WHEN gap_len > 2 THEN 0 ELSE 1 END) AS severity_rank, CAST(count(*) AS int) AS n_findings,
            string_agg(DISTINCT CASE WHEN prev_m IS NULL THEN 'paymentHistory' ELSE 'prior' END, ',' ORDER BY CASE WHEN prev_m IS NULL THEN 'paymentHistory' ELSE 'prior' END) AS fields,
-           array_to_string(list_slice(list('Coded ' || code || ' in ' || strftime(make_date(CAST(floor(m / 12.0) AS bigint), m % 12 + 1, 1), '%b %Y') ORDER BY m), 1, 12), '|') AS facts
+           array_to_string(list('Coded ' || code || ' in ' || strftime(make_date(CAST(floor(m / 12.0) AS bigint), m % 12 + 1, 1), '%b %Y') ORDER BY m), '|') AS facts
     FROM (SELECT *, kind AS issue_type FROM ora_chain) x GROUP BY report_id, entity_key, issue_type""")
 def k2(b):
     return f.merge_findings(conflict_findings(b)).selectExpr(*KEY, "issue_type", "severity_rank", "n_findings", "array_join(fields, ',') AS fields", "array_join(facts, '|') AS facts")
@@ -226,9 +226,8 @@ def k7(b):
     return f.with_review_fallback(b.view("fx_report"), some)
 
 
-@query("k8_display_months", """SELECT report_id, entity_key, m FROM (SELECT *, row_number() OVER (PARTITION BY report_id, entity_key ORDER BY m) AS a,
-    row_number() OVER (PARTITION BY report_id, entity_key ORDER BY m DESC) AS z, count(*) OVER (PARTITION BY report_id, entity_key) AS n FROM ora_cell WHERE der) x
-    WHERE n <= 6 OR a <= 3 OR z <= 3""")
+@query("k8_display_months", """SELECT report_id, entity_key, m, row_number() OVER (PARTITION BY report_id, entity_key ORDER BY m) AS position,
+    row_number() OVER (PARTITION BY report_id, entity_key ORDER BY m DESC) AS from_end FROM ora_cell WHERE der""")
 def k8(b):
     return f.display_months(features(b).where("der").select(*KEY, "m"), KEY)
 

@@ -205,11 +205,12 @@ scalar("n28_display", SHOWN,
                  "WHEN regexp_matches(t, '[A-Za-z]') OR t LIKE '$%' THEN t WHEN t LIKE '-%' THEN '-$' || substr(t, 2) ELSE '$' || t END",
         "pct": "CASE k % 5 WHEN 0 THEN '-' WHEN 1 THEN '0.0%' WHEN 2 THEN '116.0%' WHEN 3 THEN '37.3%' ELSE p || '.0%' END",
         "human": "replace(t, '_', ' ')", "absent": flag("lower(t) = 'not reported'"), "plain": "coalesce(nullif(t, ''), '-')"})
-scalar("n29_exhibit_label", "SELECT k, CAST(k + 1 AS bigint) AS p FROM fx_account",
+# the letter in place i from the right starts at the position that is the sum of 26^0 to 26^i
+LETTERS = " || ".join(f"CASE WHEN p >= {(26 ** (i + 1) - 1) // 25} THEN chr(CAST(65 + ((p - {(26 ** (i + 1) - 1) // 25}) // {26 ** i}) % 26 AS int)) ELSE '' END"
+                      for i in range(11, -1, -1))
+scalar("n29_exhibit_label", "SELECT k, CAST(CASE WHEN k % 3 = 0 THEN k + 1 WHEN k % 3 = 1 THEN k + 18200 ELSE k * 1000003 END AS bigint) AS p FROM fx_account",
        {"num": text.exhibit_label("p"), "letters": text.exhibit_label("p", "letter")},
-       {"num": "CAST(p AS string)", "letters":
-        "CASE WHEN p > 702 THEN chr(CAST(65 + (p - 703) // 676 AS int)) ELSE '' END || "
-        "CASE WHEN p > 26 THEN chr(CAST(65 + ((p - 27) // 26) % 26 AS int)) ELSE '' END || chr(CAST(65 + (p - 1) % 26 AS int))"})
+       {"num": "CAST(p AS string)", "letters": LETTERS})
 scalar("n30_stable_choice", ACCOUNT, {"v": text.stable_choice("report_id", "entity_key", 5)},
        {"v": "CAST(('0x' || substr(sha1(report_id || ':' || entity_key), 1, 8))::BIGINT % 5 AS int)"})
 scalar("n31_fill_missing", "SELECT k, named_a, named_b, deep_a, deep_b FROM (SELECT k, status AS named_a, type_text AS named_b, "

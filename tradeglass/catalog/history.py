@@ -260,9 +260,9 @@ def h31(b):
 
 
 @query("h32_payment_without_balance_drop", """
-    SELECT c.report_id, c.entity_key, c.m, CAST(c.bal - n.bal AS double) AS dropped FROM ora_cell c
-    JOIN ora_cell n ON n.report_id = c.report_id AND n.entity_key = c.entity_key AND n.m = c.m + 1
-    WHERE c.paid_amt > 0 AND c.bal - n.bal < greatest(25, c.paid_amt * 0.25)""")
+    SELECT report_id, entity_key, m, CAST(bal - next_bal AS double) AS dropped FROM (
+        SELECT *, lead(m) OVER a AS next_m, lead(bal) OVER a AS next_bal FROM ora_cell WINDOW a AS (PARTITION BY report_id, entity_key ORDER BY m)) c
+    WHERE next_m = m + 1 AND paid_amt > 0 AND bal - next_bal < greatest(25, paid_amt * 0.25)""")
 def h32(b):
     return h.flat_balance_months(features(b)).selectExpr(*OUT, "cast(balance - next_balance AS double) AS dropped")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tradeglass import vocab
 from tradeglass.catalog.binding import VIEWS
+from tradeglass.catalog.functions import LETTERS
 from tradeglass.catalog.registry import ORACLE_VIEWS, query
 from tradeglass.operators import layout as l
 from tradeglass.operators import quality as q
@@ -312,11 +313,10 @@ def l11(b):
     return l.manifest(b.sql(BUNDLES))
 
 
-LETTER = "CASE WHEN p > 702 THEN chr(CAST(65 + (p - 703) // 676 AS int)) ELSE '' END || CASE WHEN p > 26 THEN chr(CAST(65 + ((p - 27) // 26) % 26 AS int)) ELSE '' END || chr(CAST(65 + (p - 1) % 26 AS int))"
 ITEMS = "SELECT report_id, inquiry_ord AS ord, inquiry_ord AS finding_id FROM fx_inquiry"
 
 
-@query("l12_exhibits", f"SELECT report_id, ord, {LETTER} AS exhibit FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS p FROM ({ITEMS}) x) y")
+@query("l12_exhibits", f"SELECT report_id, ord, {LETTERS} AS exhibit FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS p FROM ({ITEMS}) x) y")
 def l12(b):
     return l.exhibits(b.sql(ITEMS)).select("report_id", "ord", "exhibit")
 

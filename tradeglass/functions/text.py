@@ -186,14 +186,12 @@ def month_provenance_id(name: str, number: str, field: str, year: str, month: st
 
 
 def exhibit_label(position: str, style: str = "number") -> str:
-    """1, 2, 3 ... or A ... Z, AA, AB ... for a 1-based position (up to three letters)."""
+    """1, 2, 3 ... or A ... Z, AA, AB ... for a 1-based position of any size."""
     if style == "number":
         return f"cast({position} AS string)"
-    n = f"(cast({position} AS bigint) - 1)"
-    n2 = f"(floor({n} / 26) - 1)"
-    n3 = f"(floor({n2} / 26) - 1)"
-    return (f"concat(if({n3} >= 0, chr(65 + {n3} % 26), ''), if({n2} >= 0, chr(65 + {n2} % 26), ''), "
-            f"chr(65 + {n} % 26))")
+    # 14 letters name every bigint
+    return (f"aggregate(sequence(1, 14), struct(cast({position} AS bigint) AS n, '' AS s), "
+            "(a, i) -> if(a.n > 0, struct((a.n - 1) div 26 AS n, concat(chr(65 + (a.n - 1) % 26), a.s) AS s), a), a -> a.s)")
 
 
 def stable_choice(seed: str, key: str, n: int) -> str:

@@ -54,7 +54,7 @@ def table_kind(tables: DataFrame) -> DataFrame:
     """
     months = ", ".join(f"'{m.lower()}'" for m in vocab.MONTHS)
     cells = "filter(transform(header, c -> lower(trim(c))), c -> c <> '')"
-    grid = (f"(size({cells}) >= 5 AND {cells}[0] = 'year' AND size(filter(slice({cells}, 2, 100), c -> c IN ({months}))) >= 4)")
+    grid = (f"(size({cells}) >= 5 AND {cells}[0] = 'year' AND size(filter({cells}, c -> c IN ({months}))) >= 4)")
     t = add(tables, {"kind": f"CASE WHEN {grid} THEN 'grid' WHEN n_columns IN (2, 4) THEN 'keyValue' ELSE 'table' END"})
     concerns = ("array_compact(array(if(n_rows <= 1 AND kind <> 'keyValue', 'short_table', NULL), "
                 "if(n_columns <= 1, 'insufficient_columns', NULL)))")

@@ -93,10 +93,6 @@ CO, LEGAL, DATE = "charge_off_collection", "legal_public_record", "date_reportin
 HIGH, MED, LOW = "high", "medium", "low"
 
 
-def four(months: str) -> str:
-    return f"least({count_runs(months)}, 4)"
-
-
 RULES = [
     Rule("r01", "duplicate_conflicting_tradeline", "Conflicting tradeline reporting", ID, HIGH, "duplicate_conflict"),
     Rule("r02", "missing_account_number", "Incomplete account identifier", ID, HIGH, "incomplete_number"),
@@ -116,7 +112,7 @@ RULES = [
     Rule("r10", "derogatory_status_without_monthly_support", "Derogatory reporting lacks monthly support", HIST, HIGH,
          "derogatory_status AND NOT present", "negative"),
     Rule("r11", "payment_history_missing_months", "Payment history has missing months", HIST, MED,
-         f"present AND {listed(MISSING_MONTHS)}", evaluable=CELLS, runs=four(MISSING_MONTHS)),
+         f"present AND {listed(MISSING_MONTHS)}", evaluable=CELLS, runs=count_runs(MISSING_MONTHS)),
     Rule("r12", "payment_history_activity_before_table_coverage",
          "Derogatory history predates supporting table coverage", HIST, HIGH,
          " OR ".join(uncovered(s) for s in ("balance", "past_due", "paid", "scheduled")), evaluable=CELLS),
@@ -129,11 +125,11 @@ RULES = [
          f"{OPEN} AND {RECENT_CURRENT}", CELLS),
     Rule("r16", "payment_history_24_month_past_due_conflict", "Payment history conflicts with past-due history",
          HIST, HIGH, f"{NEW_FORM} AND {listed('past_due_conflict_months')}", NEW_FORM,
-         f"n_past_due_cells > 0 AND {CELLS}", four("past_due_conflict_months")),
+         f"n_past_due_cells > 0 AND {CELLS}", count_runs("past_due_conflict_months")),
     Rule("r17", "payment_history_24_month_activity_conflict",
          "Payment history is incomplete relative to 24 month history", HIST, MED,
          f"{NEW_FORM} AND {listed('activity_conflict_months')}", NEW_FORM, f"{SECTION_CELLS} AND {CELLS}",
-         four("activity_conflict_months")),
+         count_runs("activity_conflict_months")),
     Rule("r18", "past_due_without_monthly_support", "Past-due reporting lacks monthly support", HIST, HIGH,
          f"past_due_pos_flag AND present AND only_current AND NOT {listed('past_due_conflict_months')}",
          "past_due_pos_flag", CELLS),
@@ -192,7 +188,7 @@ RULES = [
          f"{BALANCE_CELLS} AND n_paid_cells > 0"),
     Rule("r40", "balance_history_monthly_gap_conflict", "Balance history has unexplained monthly gaps", BAL, MED,
          f"coalesce(size({BALANCE_GAPS}) >= 2, false)", evaluable=f"{BALANCE_CELLS} AND {CELLS}",
-         runs=four(BALANCE_GAPS)),
+         runs=count_runs(BALANCE_GAPS)),
     Rule("r41", "credit_limit_not_supported_by_history", "Credit limit is not supported by history", BAL, MED,
          above("credit_limit_amt", "credit_limit_max"), "coalesce(credit_limit_amt > 0, false)",
          "n_credit_limit_cells > 0"),

@@ -36,11 +36,11 @@ def account_findings(outcomes: DataFrame) -> DataFrame:
     return with_selection(rows)
 
 
-def merge_findings(findings: DataFrame, max_facts: int = 12) -> DataFrame:
-    """One row per (account, issue): top severity, first unique facts by ordinal, all fields.
+def merge_findings(findings: DataFrame) -> DataFrame:
+    """One row per (account, issue): top severity, all unique facts by ordinal, all fields.
 
-    Only the first facts are collected (a per-group limit runs before the shuffle);
-    fields are distinct names of a fixed vocabulary.
+    Facts that repeat are folded before they are collected, so a group is bounded by the distinct facts
+    of one account; fields are distinct names of a fixed vocabulary.
     """
     key = [*KEY, "issue_type"]
     top = add(findings, {"severity_rank": lookup("severity", vocab.SEVERITY_ORDER)}).groupBy(*key).agg(
@@ -48,9 +48,7 @@ def merge_findings(findings: DataFrame, max_facts: int = 12) -> DataFrame:
         F.expr("array_sort(collect_set(field)) AS fields"))
     unique = findings.groupBy(*key, F.expr("lower(fact)").alias("fact_key")).agg(
         F.expr("min(struct(ord, fact)) AS first"))
-    w = Window.partitionBy(*key).orderBy("first.ord")
-    kept = unique.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max_facts)
-    facts = kept.groupBy(*key).agg(F.expr("transform(array_sort(collect_list(first)), x -> x.fact) AS facts"))
+    facts = unique.groupBy(*key).agg(F.expr("transform(array_sort(collect_list(first)), x -> x.fact) AS facts"))
     return top.join(facts, key, "left")
 
 
@@ -82,21 +80,11 @@ def with_review_fallback(reports: DataFrame, findings: DataFrame) -> DataFrame:
         "report_id", "concat('report-review:', report_id) AS finding_id", "'report_review_request' AS issue_type")
 
 
-def display_months(months: DataFrame, key: list[str], limit: int = 6) -> DataFrame:
-    """Months shown for a conflict: all up to the limit, else half of it from each end.
-
-    Two bounded row_number limits, so long groups are cut before the shuffle.
-    """
-    half = (limit + 1) // 2
-    first = Window.partitionBy(*key).orderBy("m")
-    last = Window.partitionBy(*key).orderBy(F.col("m").desc())
-    head = months.withColumn("rn", F.row_number().over(first)).where(f"rn <= {limit}").drop("rn")
-    tail = months.withColumn("rn", F.row_number().over(last)).where(f"rn <= {limit - half}").drop("rn")
-    total = months.groupBy(*key).agg(F.count("*").alias("n"))
+def display_months(months: DataFrame, key: list[str]) -> DataFrame:
+    """All months of a conflict with their position from either end, for a caller to cut a display by."""
     w = Window.partitionBy(*key).orderBy("m")
-    shown = head.withColumn("rn", F.row_number().over(w)).join(total, key).where(
-        f"n <= {limit} OR rn <= {half}").drop("rn", "n")
-    return shown.unionByName(tail).distinct()
+    n = F.count("*").over(Window.partitionBy(*key))
+    return months.withColumn("position", F.row_number().over(w).cast("long")).withColumn("from_end", n - F.col("position") + 1)
 
 
 def dispute_groups(findings: DataFrame) -> DataFrame:
