@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradeglass.llm.pieces import PieceTable, byte_chars, document_ids
 
@@ -28,6 +29,7 @@ from tradeglass.llm.pieces import PieceTable, byte_chars, document_ids
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 _WHITE = regex.compile(r"\p{White_Space}+")
 WORD_END = "</w>"
+ROWS_OUT = 256
 
 
 class Bpe:
@@ -132,5 +134,24 @@ def _arrow_iterator(function, kind: str):
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of docs with ids (binary) and decoded (text); those two names replace columns so called."""
-    return docs.withColumn("ids", encode(F.col(text), path)).withColumn("decoded", decode(F.col("ids"), path))
+    """All columns of docs with ids (binary) and decoded (text); those two names replace columns so called.
+
+    Rows go out in runs of ROWS_OUT, so a worker holds the ids and texts of one run, not of a whole batch.
+    """
+    kept = docs.select(*[c for c in docs.columns if c not in ("ids", "decoded") or c == text])
+    at = kept.columns.index(text)
+    out = [i for i, c in enumerate(kept.columns) if c not in ("ids", "decoded")]
+    schema = T.StructType([kept.schema[i] for i in out]).add("ids", "binary").add("decoded", "string")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, table = load(path)
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS_OUT):
+                run = batch.slice(first, ROWS_OUT)
+                ids, texts = [], []
+                for x in document_ids(table, run.column(at)):
+                    ids.append(x.tobytes())
+                    texts.append(bpe.decode(x))
+                yield pa.record_batch([*[run.column(i) for i in out], pa.array(ids, pa.binary()), pa.array(texts, pa.string())], schema.names)
+
+    return kept.mapInArrow(rows, schema)
