@@ -297,4 +297,5 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, all columns unchanged: the smallest doc_id of every component, and rows without one."""
     gone = near_duplicates(docs, doc_id, text, percent).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    # written first, so that the size of the ids is known before any text is shuffled for the join
+    return docs.join(stored(gone, "gone"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
