@@ -252,7 +252,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if pairs.isEmpty():
             break
         if texts is None:  # every node that any later round can name has named its best partner now
-            named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+            named = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "named")
             texts = stored(_texts_of(narrow, sets, named), "texts")
         wanted = pairs.select("cell", F.col("u").alias("node")).union(pairs.select("cell", "v")).distinct()
         bodies = wanted.join(texts, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
