@@ -240,9 +240,9 @@ def l4(b):
     return l.table_kind(b.sql(TABLES).selectExpr("k", "split(h, ',') AS header", "n_columns", "n_rows")).select("k", "kind", "concerns")
 
 
-# anchors: the first three words of every line that has three, sought on every page of the document
-ANCHORS = {"spark": "SELECT doc_id, CAST(line_no AS string) AS anchor_id, array_join(transform(array_sort(collect_list(struct(word_no, token))), x -> x.token), ' ') AS phrase FROM fx_word WHERE word_no BETWEEN 1 AND 3 GROUP BY doc_id, line_no",
-           "duck": "SELECT doc_id, CAST(line_no AS string) AS anchor_id, string_agg(token, ' ' ORDER BY word_no) AS phrase FROM fx_word WHERE word_no BETWEEN 1 AND 3 GROUP BY doc_id, line_no"}
+# anchors: the distinct first three words of the lines of a document, named by their first line, sought on every page
+ANCHORS = {"spark": "SELECT doc_id, CAST(min(line_no) AS string) AS anchor_id, phrase FROM (SELECT doc_id, line_no, array_join(transform(array_sort(collect_list(struct(word_no, token))), x -> x.token), ' ') AS phrase FROM fx_word WHERE word_no BETWEEN 1 AND 3 GROUP BY doc_id, line_no) p GROUP BY doc_id, phrase",
+           "duck": "SELECT doc_id, CAST(min(line_no) AS string) AS anchor_id, phrase FROM (SELECT doc_id, line_no, string_agg(token, ' ' ORDER BY word_no) AS phrase FROM fx_word WHERE word_no BETWEEN 1 AND 3 GROUP BY doc_id, line_no) p GROUP BY doc_id, phrase"}
 
 
 def anchors(b):
@@ -259,23 +259,23 @@ ORACLE_VIEWS["ora_gram"] = """
 _grams = " UNION ALL ".join(f"SELECT * FROM ({ORACLE_VIEWS['ora_gram'].format(n=n)}) g{n} WHERE n = {n}" for n in (1, 2, 3))
 ORACLE_VIEWS["ora_gram"] = _grams
 ORACLE_VIEWS["ora_anchor"] = f"SELECT *, len(string_split(phrase, ' ')) AS n, regexp_replace(phrase, '[^a-z0-9]', '', 'g') AS compact FROM ({ANCHORS['duck']}) z"
-ORACLE_VIEWS["ora_match"] = """SELECT doc_id, page, anchor_id, line_no, x, y, width FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, anchor_id ORDER BY line_no, x, y, width) AS rn FROM (
+ORACLE_VIEWS["ora_match"] = """SELECT doc_id, page, anchor_id, line_no, x, y, width, row_number() OVER (PARTITION BY doc_id, page, anchor_id ORDER BY line_no, x, y, width) AS position FROM (
     SELECT doc_id, page, anchor_id, x, y, width, min(line_no) AS line_no FROM (
       SELECT g.doc_id, g.page, a.anchor_id, g.line_no, g.x, g.y, g.x2 - g.x AS width FROM ora_anchor a JOIN ora_gram g ON g.doc_id = a.doc_id AND g.n = a.n AND g.phrase = a.phrase
       UNION ALL SELECT w.doc_id, w.page, a.anchor_id, w.line_no, w.x, w.y, w.width FROM ora_anchor a JOIN ora_seq w ON w.doc_id = a.doc_id AND a.n > 1
-                AND regexp_replace(w.token, '[^a-z0-9]', '', 'g') = a.compact) u GROUP BY ALL) v) z WHERE rn <= 4"""
+                AND regexp_replace(w.token, '[^a-z0-9]', '', 'g') = a.compact) u GROUP BY ALL) v"""
 
 
-@query("l5_phrase_search", "SELECT doc_id, page, anchor_id, x, y, width FROM ora_match")
+@query("l5_phrase_search", "SELECT doc_id, page, anchor_id, x, y, width, position FROM ora_match")
 def l5(b):
-    return l.phrase_matches(b.sql(WORDS), anchors(b)).select("doc_id", "page", "anchor_id", "x", "y", "width")
+    return l.phrase_matches(b.sql(WORDS), anchors(b)).select("doc_id", "page", "anchor_id", "x", "y", "width", "position")
 
 
 @query("l6_box_clusters")
 def l6(b):
     found = l.phrase_matches(b.sql(WORDS), anchors(b))
     boxes = found.selectExpr("*", "struct(doc_id, page, anchor_id, line_no, x, y) AS box_id", "1.0D AS weight", "0.99D AS confidence", "'evidence' AS kind")
-    return l.top_clusters(l.box_clusters(boxes, 36.0, 26.0)).selectExpr("doc_id", "page", "round(score, 6) AS score")
+    return l.ranked_clusters(l.box_clusters(boxes, 36.0, 26.0)).selectExpr("doc_id", "page", "round(score, 6) AS score", "position")
 
 
 @query("l7_distinct_highlights", """SELECT doc_id, page, min(box_no) AS box_id FROM fx_box WHERE kind <> 'identity'

@@ -61,8 +61,8 @@ def table_kind(tables: DataFrame) -> DataFrame:
     return add(t, {"concerns": f"array_join({concerns}, ',')"})
 
 
-def phrase_matches(words: DataFrame, anchors: DataFrame, limit: int = 4) -> DataFrame:
-    """Token sequences (or one compact word) of an anchor on the pages of its report, at most limit per page.
+def phrase_matches(words: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Token sequences (or one compact word) of an anchor on the pages of its report, all with their position on the page.
 
     Pages emit n-grams only for the lengths their report's anchors have, and join on
     the whole phrase, so a common first token pairs with nothing.
@@ -85,15 +85,15 @@ def phrase_matches(words: DataFrame, anchors: DataFrame, limit: int = 4) -> Data
     unique = boxed.unionByName(one).groupBy(*PAGE, "anchor_id", "x", "y", "width", "height").agg(
         F.min("line_no").alias("line_no"))
     w = Window.partitionBy(*PAGE, "anchor_id").orderBy("line_no", "x", "y", "width", "height")
-    return unique.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit).drop("rn")
+    return unique.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def box_clusters(boxes: DataFrame, dx: float, dy: float) -> DataFrame:
     """Connected groups of boxes that touch once grown by the margins, labelled by their smallest id.
 
     Boxes meet only inside shared cells of a grid, and only distinct rectangles take
-    part. Labels spread by repeated minima until none changes; each round is
-    checkpointed, and the number of rounds is bounded by the longest chain on a page.
+    part. Each round takes the least label among a box's neighbours and then the label of that label,
+    so chains shrink by doubling; rounds are checkpointed and end when no label changes.
     """
     rect = ["x", "y", "width", "height"]
     b = boxes.groupBy(*PAGE, *rect).agg(F.min("box_id").alias("box_id"))
@@ -108,8 +108,11 @@ def box_clusters(boxes: DataFrame, dx: float, dy: float) -> DataFrame:
     while True:
         best = edges.join(labels.selectExpr("box_id AS other_id", "cluster_id AS seen"), "other_id").groupBy("box_id").agg(
             F.min("seen").alias("seen"))
-        nxt = checkpoint(labels.join(best, "box_id", "left").selectExpr(
-            *PAGE, *rect, "box_id", "least(cluster_id, coalesce(seen, cluster_id)) AS cluster_id", "coalesce(seen < cluster_id, false) AS moved"))
+        near = labels.join(best, "box_id", "left").selectExpr(
+            *PAGE, *rect, "box_id", "cluster_id AS old", "least(cluster_id, coalesce(seen, cluster_id)) AS near")
+        jump = labels.selectExpr("box_id AS near", "cluster_id AS far")
+        nxt = checkpoint(near.join(jump, "near").selectExpr(
+            *PAGE, *rect, "box_id", "least(near, far) AS cluster_id", "least(near, far) < old AS moved"))
         moved = nxt.where("moved").limit(1).count()
         labels = nxt.drop("moved")
         if not moved:
@@ -117,13 +120,13 @@ def box_clusters(boxes: DataFrame, dx: float, dy: float) -> DataFrame:
                 c for c in boxes.columns if c not in {"box_id", *PAGE, *rect}])
 
 
-def top_clusters(clustered: DataFrame, limit: int = 5) -> DataFrame:
-    """Best clusters per document by anchor weight, distinct anchors and confidence."""
+def ranked_clusters(clustered: DataFrame) -> DataFrame:
+    """All clusters of a document, placed by anchor weight, distinct anchors and confidence."""
     scored = clustered.groupBy("doc_id", "page", "cluster_id").agg(F.expr(
         "sum(weight * confidence) + count(DISTINCT anchor_id) * 0.75 + count(DISTINCT if(kind <> 'identity', anchor_id, NULL)) * 1.5 "
         "+ avg(confidence) AS score"))
     w = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "cluster_id")
-    return scored.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)
+    return scored.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def distinct_highlights(boxes: DataFrame, tolerance: float = 1.5) -> DataFrame:
