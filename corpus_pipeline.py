@@ -2,7 +2,7 @@
 
 Each stage reads what the one before it kept, as Parquet under the shared folder, and all but the last
 return the columns of documents. A text without any letter has no language and goes; so do all copies
-but one, exact ones by text, near ones by 5-word shingles.
+but one, exact ones by text, near ones by 5-word shingles with a similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near copies: that with the smallest doc_id."""
-    return minhash.unique(docs)
+    return minhash.unique(docs, percent=80)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -420,3 +420,30 @@ def test_pipeline(spark, odd, near):
     assert {r.doc_id for r in kept.collect()} == want
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r.doc_id for r in pieces} == want
+
+
+def test_pipeline_joins_near_copies_from_080(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(80)
+    texts = []
+    for k in range(60):  # the first 3 to 6 of 10 edits apart: similarities on both sides of 0.80
+        base = [f"v{x}" for x in rng.integers(0, 10_000, 200)]
+        copy = list(base)
+        for at in rng.choice(40, 3 + k % 4, replace=False) * 5:
+            copy[at] = f"edit{k}"
+        texts += [" ".join(base), " ".join(copy)]
+    sets = [shingles(t) for t in texts]
+    share = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.80 <= x < 0.85 for x in share) >= 15 and sum(x < 0.80 for x in share) >= 15
+    docs = spark.createDataFrame(rows_of(texts), SCHEMA)
+    want = {2 * i for i in range(60)} | {2 * i + 1 for i, x in enumerate(share) if x < 0.80}
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85, 95, 100])
+def test_bands_and_bound_follow_the_asked_similarity(percent):
+    share, (bands, rows) = percent / 100, minhash.banding(percent)
+    assert bands * rows <= minhash.COORDINATES and (1 - share ** rows) ** bands <= 3e-7
+    least = minhash.least_equal(percent)
+    below = sum(math.comb(256, k) * share ** k * (1 - share) ** (256 - k) for k in range(least))
+    assert below < 5e-5

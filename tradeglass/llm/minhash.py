@@ -8,13 +8,14 @@ its own, and a bin that is still empty takes the smallest hash that fell in. Aft
 rounds, round COORDINATES + j throws all elements into bin j, so every coordinate fills. Documents that are
 full drop out, so a set of n elements costs about max(n, COORDINATES log COORDINATES).
 
-BANDS bands of ROWS coordinates name buckets. Documents with equal sets are one node. Within a bucket
+Bands of at most ROWS coordinates name buckets, as many as the asked similarity needs (32 of 6 at 0.85, 38 of
+5 at 0.80). Documents with equal sets are one node. Within a bucket
 (cut into cells of bounded blocks) the sketches estimate the similarity of pairs whose nodes are not yet
 joined; each component names its best partners, those pairs are confirmed on full sets, and confirmed
 links are joined into components. The number of partners grows by rounds, and the last round takes every pair
 left, so no pair above the estimate's bound goes unconfirmed while its nodes are apart.
 
-Miss probability at similarity 0.85: 3e-7 for the bands, about 1e-5 for the estimate's bound (4.3
+Miss probability at the asked similarity: 3e-7 for the bands, about 1e-5 for the estimate's bound (4.3
 standard deviations), both per link and only where no other link joins the two nodes.
 
 Odd inputs: null, empty and blank texts have an empty set and link with nothing; rows that repeat a
@@ -26,6 +27,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ from tradeglass.llm.grouped import by_cell, emit
 from tradeglass.llm.words import mix, ranges, words_of
 from tradeglass.session import stored
 
-SHINGLE, COORDINATES, BANDS, ROWS, BLOCK, PERCENT = 5, 256, 32, 6, 1024, 85
+SHINGLE, COORDINATES, ROWS, MISSED, BLOCK, PERCENT = 5, 256, 6, 3e-7, 1024, 85
 #: Best partners a node names in a cell, by round; the last round names all.
 PARTNERS = (1, 8, None)
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, (2 * COORDINATES + SHINGLE,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,8 +115,22 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cell", pa.int64())])
-#: Fewest equal coordinates of a pair worth confirming: 0.85 of all, less 4.3 standard deviations.
-LEAST_EQUAL = int(COORDINATES * 0.85 - 4.3 * (COORDINATES * 0.85 * 0.15) ** 0.5)
+
+
+def least_equal(percent: int) -> int:
+    """Fewest equal coordinates of a pair worth confirming: the asked share of all, less 4.3 standard deviations."""
+    share = percent / 100
+    return max(0, int(COORDINATES * share - 4.3 * (COORDINATES * share * (1 - share)) ** 0.5))
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a band: the most rows, and for them the fewest bands, that miss a pair with probability MISSED at most."""
+    for rows in range(ROWS, 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log(apart)) if apart else 1
+        if bands * rows <= COORDINATES:
+            return bands, rows
+    return COORDINATES, 1
 
 
 def _best(ends: list[np.ndarray], cell: np.ndarray, equal: np.ndarray, k: int | None) -> np.ndarray:
@@ -133,12 +149,14 @@ def _best(ends: list[np.ndarray], cell: np.ndarray, equal: np.ndarray, k: int |
     return np.unique(np.concatenate(chosen))
 
 
-def _candidates(k: int | None):
+def _candidates(k: int | None, percent: int):
     """Pairs worth confirming of sorted rows (cell, mine, low, high, band, node, label, sketch).
 
     A pair counts in the first band that its two nodes share. The k best pairs of a label are named by
     the labels other than the cell's largest: one end of every pair is such a label.
     """
+    least, (n_bands, n_rows) = least_equal(percent), banding(percent)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in by_cell(batches, "cell"):
             node, label, cell, band = (table.column(c).to_numpy() for c in ("node", "label", "cell", "band"))
@@ -152,7 +170,7 @@ def _candidates(k: int | None):
                     small.append((a + i, a + j))
                     continue
                 left, right = a + np.flatnonzero(mine[a:b] == low[a]), a + np.flatnonzero(mine[a:b] == high[a])
-                found.append(_across(left, right, sketch, label, low[a] == high[a]))
+                found.append(_across(left, right, sketch, label, low[a] == high[a], least))
                 own, counts = np.unique(named[a:b], return_counts=True)
                 if counts.max() > 1:
                     named[a:b][named[a:b] == own[counts.argmax()]] = -1
@@ -161,11 +179,11 @@ def _candidates(k: int | None):
                 apart = label[u] != label[v]
                 u, v = u[apart], v[apart]
                 equal = np.concatenate([(sketch[u[i:i + 8192]] == sketch[v[i:i + 8192]]).sum(1) for i in range(0, len(u), 8192)] or [np.zeros(0, int)])
-                keep = equal >= LEAST_EQUAL
+                keep = equal >= least
                 found.append((u[keep], v[keep], equal[keep]))
             u, v, equal = (np.concatenate(x) for x in zip(*found, strict=True))
             if len(u):
-                bands = sketch[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
+                bands = sketch[:, :n_bands * n_rows].reshape(-1, n_bands, n_rows)
                 shared = np.concatenate([(bands[u[i:i + 8192]] == bands[v[i:i + 8192]]).all(2).argmax(1) for i in range(0, len(u), 8192)])
                 first = shared == band[u]
                 u, v, equal = u[first], v[first], equal[first]
@@ -175,7 +193,7 @@ def _candidates(k: int | None):
     return pairs
 
 
-def _across(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, label: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _across(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, label: np.ndarray, same: bool, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of different labels whose sketches are near enough, and their equal coordinates."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for place, i in enumerate(left.tolist()):
@@ -183,7 +201,7 @@ def _across(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, label: np.n
         others = others[label[others] != label[i]]
         if len(others):
             equal = (sketch[others] == sketch[i]).sum(1)
-            keep = equal >= LEAST_EQUAL
+            keep = equal >= least
             found.append((np.full(int(keep.sum()), i), others[keep], equal[keep]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -226,7 +244,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_key = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("set_key") % F.lit(1 << 61)))
     sets = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(by_key.alias("node"), F.min("doc_id").alias("low_id"), F.min("sketch").alias("sketch")), "sets")
 
-    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * ROWS + 1, F.lit(ROWS)))))
+    n_bands, n_rows = banding(percent)
+    band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * n_rows + 1, F.lit(n_rows)))))
     keys = sets.select("node", band.alias("band", "key"))
     shape = keys.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mix"), F.min("node").alias("low")).where("n > 1")
     # buckets with the same members say the same; that of the first band stays
@@ -244,7 +263,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         open_members = labelled.select("band", "key", "node")
         one = sets.select("node", "sketch")
         dealt = cells(labelled, ["band", "key"], "node", BLOCK).join(one, "node").select("cell", "mine", "low", "high", "band", "node", "label", "sketch")
-        found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(k), "u long, v long, cell long")
+        found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(k, percent), "u long, v long, cell long")
         pairs = found.groupBy("u", "v").agg(F.min("cell").alias("cell"))
         if refuted is not None:
             pairs = pairs.join(refuted, ["u", "v"], "left_anti")
