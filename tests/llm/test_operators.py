@@ -395,6 +395,24 @@ def test_main_text(article):
     assert html_text.main_text(page(body, before, after)) == "\n\n".join(["Head", *PARAGRAPHS])
 
 
+@pytest.mark.parametrize("article", [
+    "<article><h1 id='search-algorithms'>Head</h1><p id='copyright-law'>{0}</p><section id='related-work'><p>{1}</p><p>{2}</p></section></article>",
+    "<article class='post tag-social has-comments'><h1>Head</h1><p class='notice'>{0}</p><section id='search'><p>{1}</p><p>{2}</p></section></article>",
+    "<article class='social'><h1>Head</h1><p>{0}</p><p>{1}</p><p>{2}</p></article>",
+    "<div class='content has-sidebar'><h1 class='banner'>Head</h1><p>{0}</p><p>{1}</p><p>{2}</p></div>",
+    "<div class='widget'><h1>Head</h1><p>{0}</p><p>{1}</p><p>{2}</p></div>"])
+def test_main_text_is_not_lost_to_names(article):
+    before = "<nav><a href='/'>Home</a></nav><div class='ad'>Buy now.</div><div class='related-posts'><a href='/1'>One more story</a> <a href='/2'>And another</a></div>"
+    after = "<section id='comments'><h3>2 comments</h3><article class='comment'><p>I liked it.</p></article></section>"
+    assert html_text.main_text(page(article.format(*PARAGRAPHS).replace("&", "&amp;"), before, after)) == "\n\n".join(["Head", *PARAGRAPHS])
+
+
+def test_names_still_rule_out_inside_an_article():
+    ads = "<div class='ad'>Buy now.</div><ul class='share-links'><li><a href='/s'>Send</a></ul><section id='comments'><p class='x'>So true</p><form></form></section>"
+    story = "".join(f"<p>{p}</p>" for p in PARAGRAPHS * 3).replace("&", "&amp;")
+    assert html_text.main_text(page(f"<article>{story}{ads}</article>")) == "\n\n".join(PARAGRAPHS * 3)
+
+
 def test_main_text_of_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "just text", "a<b>c", "<article>" * 3000 + "deep" + "</article>" * 3000)] == ["", "", "", "just text", "ac", "deep"]
     html = page("<article>" + "".join(f"<p>part {i}</p>" for i in range(20_000)) + "</article>")

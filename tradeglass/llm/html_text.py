@@ -1,9 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree that forgives missing and misplaced tags. Parts that are never article text
-leave it first: scripts, styles, forms, menus, sidebars, page headers and footers, and elements whose class,
-id or role says that they are adverts, notices, menus, share bars or reader comments. For every other
-element the composite density is characters per tag, lowered by links:
+leave it first: scripts, styles, forms, menus, sidebars, page headers and footers, and elements whose role or
+style says so. For every other element the composite density is characters per tag, lowered by links:
 
     C / T * log(C * T / (LC * LT)) to the base ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
@@ -13,6 +12,15 @@ element with the largest sum is the article; it grows to an enclosing article or
 least density on the path from the body to it is the threshold: elements beside the path that reach it,
 and hold more plain text than link text, are taken in too. All blocks of what is taken are kept, short ones too.
 
+Names (class and id) never decide alone. A class or id is a full name if all its words name adverts, notices,
+menus, share bars, reader comments and the like, and a part name if one does. Paragraphs, headings, pre and what
+stands in them, and main go by no name, nor does an outermost article unless another bears none. An element with
+a name goes if more than half of its text is link text. One with a full name goes also if the densest subtree
+is elsewhere: outside the article unless its density sum is larger (reader comments may be longer than the
+article, so for them: unless nothing else has text), inside it if it is a block whose density sum stays below
+the article's density (reader comments always; the id of a section only with a form or comments in it). Nothing
+that holds the article goes.
+
 Odd inputs: null, empty or text-less html gives the empty text; text outside any element counts as a block of
 the body; repeated pages and extra columns change nothing; an empty table gives no rows.
 """
@@ -40,6 +48,11 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense
  notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall nav navbar navigation menu breadcrumb breadcrumbs
  sidebar sidebars aside widget widgets related recommended recommendations teaser teasers share sharing social comment comments commentlist disqus respond replies reply
  footer masthead topbar toolbar pagination pager skip search tags tagcloud copyright disclaimer hidden""".split())
+#: Reader comments, which may be longer than the article, and words that say nothing in a class or id.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
+NEUTRAL = frozenset("box bar block wrap wrapper container list area section inner outer links link buttons button item items top bottom left right main site page slot unit".split())
+#: No name rules these out, nor what stands in them.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre code".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 #: An implied end does not reach past these.
@@ -48,10 +61,11 @@ _NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "off", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "off", "chars", "tags", "link_chars", "link_tags", "density", "total", "name", "in_text")
 
-    def __init__(self, tag: str, parent: Node | None, off: bool = False):
-        self.tag, self.parent, self.off = tag, parent, off
+    def __init__(self, tag: str, parent: Node | None, off: bool = False, name: str = ""):
+        self.tag, self.parent, self.off, self.name = tag, parent, off, name
+        self.in_text = tag in TEXT or parent is not None and parent.in_text
         self.parts: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -71,11 +85,30 @@ def _unwanted(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
             return True
         if key == "role" and value.strip().lower() in ROLES:
             return True
-        if key in ("class", "id") and any(w.lower() in NAMES for w in _NAME_WORDS.findall(value)):
-            return True
     return False
 
 
+def _name(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """What class and id say: part, id (a section's whole id), full, comments, or nothing."""
+    found = ""
+    if tag in TEXT or tag in ("html", "body", "main"):
+        return found
+    for key, value in attrs:
+        for token in (value or "").split() if key in ("class", "id") else ():
+            words = [w.lower() for w in _NAME_WORDS.findall(token)]
+            telling = [w for w in words if w not in NEUTRAL or w in NAMES]
+            named = [w for w in telling if w in NAMES]
+            if not named:
+                continue
+            if len(named) < len(telling):
+                found = found or "part"
+            elif key == "id" and tag in ("section", "article"):
+                found = found if found in ("full", "comments") else "id-comments" if COMMENTS.intersection(named) else "id"
+            else:
+                found = "comments" if found == "comments" or COMMENTS.intersection(named) else "full"
+    return found
+
+
 class Tree(HTMLParser):
     """Builds nodes; off marks what its own tag or attributes rule out."""
 
@@ -90,7 +123,7 @@ class Tree(HTMLParser):
             self._end({"p"}, {"button", "td", "th", "li", "div", "section", "article", "table", "blockquote", "figure", "form"})
         if tag in CLOSES:
             self._end(CLOSES[tag], FENCES[tag])
-        node = Node(tag, self.at, _unwanted(tag, attrs))
+        node = Node(tag, self.at, _unwanted(tag, attrs), "" if self.at.in_text else _name(tag, attrs))
         self.at.parts.append(node)
         if tag not in VOID:
             self.at = node
@@ -130,7 +163,7 @@ def _ordered(root: Node) -> list[Node]:
 
 
 def _spare(root: Node) -> None:
-    """Put back elements that were ruled out by name but hold the page's article or main heading."""
+    """Put back elements that were ruled out by role or style but hold the page's article or main."""
     def inside(node: Node, tags: tuple[str, ...]) -> bool:
         todo = [node]
         while todo:
@@ -162,6 +195,8 @@ def _spare(root: Node) -> None:
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
         link = node.tag == "a"
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
         for p in node.parts:
             if isinstance(p, str):
                 node.chars += sum(map(len, p.split()))
@@ -183,16 +218,91 @@ def _measure(nodes: list[Node]) -> None:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.off)
 
 
+def _best(nodes: list[Node]) -> Node:
+    """The element with the largest density sum, grown to an enclosing article or main element."""
+    best = up = max(nodes, key=lambda n: n.total)
+    while up.parent is not None and best.total:
+        if up.tag in ("article", "main"):
+            best = up
+        up = up.parent
+    return best
+
+
+def _articles(nodes: list[Node]) -> list[Node]:
+    """Outermost article and main elements without a full name; where all have one, their own names are taken off."""
+    found, state = [], {id(nodes[0]): (False, False)}
+    for n in nodes[1:]:
+        inside, below_name = state[id(n.parent)]
+        is_one = n.tag in ("article", "main")
+        if is_one and not inside:
+            n.name = "" if n.name == "part" else n.name
+            found.append((n, below_name))
+        state[id(n)] = inside or is_one, below_name or n.name not in ("", "part")
+    if all(below_name or n.name for n, below_name in found):
+        for n, below_name in found:
+            n.name = n.name if below_name else ""
+    return [n for n, _ in found if not n.name]
+
+
+def _rule_out(root: Node) -> list[Node]:
+    """Mark off what names together with densities rule out; the nodes left, measured."""
+    nodes = _ordered(root)
+    _measure(nodes)
+    holds = {id(up) for n in _articles(nodes) for up in _upward(n)}
+    named = [n for n in nodes if n.name]
+    if not named:
+        return nodes
+    whole = {id(n): (n.total, n.chars, n.link_chars) for n in named}
+    full = [n for n in named if n.name != "part"]
+    for n in full:
+        n.off = id(n) not in holds
+    rest = _ordered(root)
+    _measure(rest)
+    best = _best(rest)
+    inside, bar, nothing = set(map(id, _all(best))) if best.total else set(), best.total or root.density, not root.chars
+    for n in full:
+        total, chars, link_chars = whole[id(n)]
+        if n.off and id(n) not in inside and 2 * link_chars <= chars and (chars if nothing else total > bar and "comments" not in n.name):
+            n.off = False
+    rest = _ordered(root)
+    _measure(rest)
+    best = _best(rest)
+    path, inside = set(map(id, _upward(best))), set(map(id, _all(best))) if best.total else set()
+    for n in named:
+        total, chars, link_chars = whole[id(n)]
+        if id(n) in path:
+            n.off = False
+        elif 2 * link_chars > chars:
+            n.off = True
+        elif n.off and id(n) in inside:
+            if n.name.startswith("id"):
+                n.off = any("comments" in x.name or x.tag == "form" for x in _all(n) if x is not n)
+            else:
+                n.off = n.tag in BLOCK and (n.name == "comments" or total < best.density)
+    nodes = _ordered(root)
+    _measure(nodes)
+    return nodes
+
+
+def _upward(node: Node | None) -> Iterator[Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _all(root: Node) -> Iterator[Node]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
+
+
 def _chosen(root: Node, nodes: list[Node]) -> list[Node]:
     """Elements whose blocks make up the article, in page order."""
-    best = max(nodes, key=lambda n: n.total)
+    best = _best(nodes)
     if not best.total:
         return [root]
-    up = best
-    while up.parent is not None:
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.parent
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
@@ -238,8 +348,7 @@ def main_text(html: str | None) -> str:
     tree.feed(html)
     tree.close()
     _spare(tree.root)
-    nodes = _ordered(tree.root)
-    _measure(nodes)
+    nodes = _rule_out(tree.root)
     return "\n\n".join(t for n in _chosen(tree.root, nodes) for t in _blocks(n))
 
 
