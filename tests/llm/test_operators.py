@@ -413,6 +413,14 @@ def test_names_still_rule_out_inside_an_article():
     assert html_text.main_text(page(f"<article>{story}{ads}</article>")) == "\n\n".join(PARAGRAPHS * 3)
 
 
+def test_main_text_takes_loose_text_beside_the_path():
+    lead = "A lead as bare text, " * 8 + "with <b>bold</b> and <a href='/x'>linked</a> words<script>var x</script> to its end."
+    end = "<i>Last</i> words as bare text, " + "as long as the lead was, " * 6 + "and <font>done</font>."
+    body = f"{lead}<br><div><p>{PARAGRAPHS[0]}</p><p>{PARAGRAPHS[2]}</p></div><!-- x -->{end}<div class='ad'>Buy now.</div><a href='/1'>One more story to read</a> | <a href='/2'>another</a>"
+    plain = [" ".join(re.sub("<script.*?</script>|<[^>]*>", "", x).split()) for x in (lead, end)]
+    assert html_text.main_text(page(body)) == "\n\n".join([plain[0], PARAGRAPHS[0], PARAGRAPHS[2], plain[1]])
+
+
 def test_main_text_of_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "just text", "a<b>c", "<article>" * 3000 + "deep" + "</article>" * 3000)] == ["", "", "", "just text", "ac", "deep"]
     html = page("<article>" + "".join(f"<p>part {i}</p>" for i in range(20_000)) + "</article>")

@@ -10,7 +10,8 @@ C, T: characters and tags below it; LC, LT: those in links; Cb, LCb: of the body
 place of one where they divide.) The density sum of an element adds up its children's densities. The
 element with the largest sum is the article; it grows to an enclosing article or main element. The
 least density on the path from the body to it is the threshold: elements beside the path that reach it,
-and hold more plain text than link text, are taken in too. All blocks of what is taken are kept, short ones too.
+and hold more plain text than link text, are taken in too. A run of loose text and inline elements beside the
+path is an element there. All blocks of what is taken are kept, short ones too.
 
 Names (class and id) never decide alone. A class or id is a full name if all its words name adverts, notices,
 menus, share bars, reader comments and the like, and a part name if one does. Paragraphs, headings, pre and what
@@ -192,28 +193,37 @@ def _spare(root: Node) -> None:
                     todo.append(p)
 
 
+def _sum_up(node: Node) -> None:
+    """Characters and tags of a node from those of its parts."""
+    node.chars = node.tags = node.link_chars = node.link_tags = 0
+    for p in node.parts:
+        if isinstance(p, str):
+            node.chars += sum(map(len, p.split()))
+        elif not p.off:
+            node.chars += p.chars
+            node.tags += p.tags + 1
+            node.link_chars += p.link_chars
+            node.link_tags += p.link_tags + (p.tag == "a")
+    if node.tag == "a":
+        node.link_chars = node.chars
+
+
+def _weigh(node: Node, share: float) -> None:
+    """Composite density of a node; share is the body's link share."""
+    node.density = 0.0
+    if node.chars:
+        c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
+        base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
+        node.density = max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base + 1e-9) if base > 1.0001 else c / t * math.log(c * t + math.e))
+
+
 def _measure(nodes: list[Node]) -> None:
     for node in reversed(nodes):
-        link = node.tag == "a"
-        node.chars = node.tags = node.link_chars = node.link_tags = 0
-        node.density = node.total = 0.0
-        for p in node.parts:
-            if isinstance(p, str):
-                node.chars += sum(map(len, p.split()))
-            elif not p.off:
-                node.chars += p.chars
-                node.tags += p.tags + 1
-                node.link_chars += p.link_chars
-                node.link_tags += p.link_tags + (p.tag == "a")
-        if link:
-            node.link_chars = node.chars
+        _sum_up(node)
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
-        if node.chars:
-            c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, max(1, node.link_tags)
-            base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
-            node.density = max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / math.log(base + 1e-9) if base > 1.0001 else c / t * math.log(c * t + math.e))
+        _weigh(node, share)
     for node in nodes:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.off)
 
@@ -303,15 +313,31 @@ def _chosen(root: Node, nodes: list[Node]) -> list[Node]:
     best = _best(nodes)
     if not best.total:
         return [root]
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
+    path = list(_upward(best))
     threshold = min(n.density for n in path)
-    on_path = set(map(id, path))
-    beside = [p for n in path[1:] for p in n.parts if isinstance(p, Node) and not p.off and id(p) not in on_path
-              and p.tag in BLOCK and p.chars and p.density >= threshold and p.chars > 2 * p.link_chars]
-    taken = {id(best)} | set(map(id, beside))
-    return [n for n in nodes if id(n) in taken]
+    share = root.link_chars / max(1, root.chars)
+    before, after = [], []
+    for below, node in zip(path, path[1:], strict=False):
+        at = node.parts.index(below)
+        before.append([n for n in _beside(node.parts[:at], share) if n.density >= threshold and n.chars > 2 * n.link_chars])
+        after += [n for n in _beside(node.parts[at + 1:], share) if n.density >= threshold and n.chars > 2 * n.link_chars]
+    return [n for found in reversed(before) for n in found] + [best] + after
+
+
+def _beside(parts: list[Node | str], share: float) -> Iterator[Node]:
+    """Blocks with text among parts of an element; a run of loose text and inline elements is one block."""
+    run = Node("", None)
+    for part in [*parts, None]:
+        if part is not None and (isinstance(part, str) or part.tag not in BLOCK):
+            run.parts.append(part)
+            continue
+        _sum_up(run)
+        if run.chars:
+            _weigh(run, share)
+            yield run
+        run = Node("", None)
+        if part is not None and not part.off and part.chars:
+            yield part
 
 
 def _blocks(node: Node) -> Iterator[str]:
