@@ -220,6 +220,31 @@ def test_near_duplicates(spark, near, odd, empty):
     assert minhash.unique(odd).columns == odd.columns
 
 
+def test_last_round_runs_when_named_pairs_are_refuted(spark, monkeypatch):
+    """x and y are linked; z is nearer to x and w to y by estimate, but just under the threshold, and hide the link from the first rounds."""
+    words = lambda n, at: [f"q224x{at + i}" for i in range(n)]
+    x = words(404, 0)
+    y = x[:-32] + words(32, 1000)
+    texts = [" ".join(t) for t in (x, y, words(33, 2000) + x[33:], y[:100] + words(29, 3000) + y[129:])]
+    sets = list(minhash.shingle_sets(pa.array(texts)))
+    assert [minhash._similar(sets[i], sets[j], 85) for i, j in itertools.combinations(range(4), 2)] == [True] + [False] * 5
+    x, y, z, w = minhash.sketches(sets)
+    assert 193 <= (x == y).sum() < min((x == z).sum(), (y == w).sum())
+    real = minhash._candidates
+
+    def nearest(k, percent):
+        found = real(None, percent)
+
+        def pairs(batches):
+            for batch in found(batches):
+                yield batch.filter(pa.array([u > 0 or v > 1 for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True)], pa.bool_()))
+        return pairs if k else found
+
+    monkeypatch.setattr(minhash, "_candidates", nearest)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()) == [(0, 0), (1, 0), (2, 2), (3, 3)]
+
+
 def test_cells_of_a_hot_bucket_meet_once(spark):
     from tradeglass.llm.components import cells
     rows = spark.range(50).selectExpr("id AS node", "1 AS key")

@@ -264,12 +264,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         one = sets.select("node", "sketch")
         dealt = cells(labelled, ["band", "key"], "node", BLOCK).join(one, "node").select("cell", "mine", "low", "high", "band", "node", "label", "sketch")
         found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(k, percent), "u long, v long, cell long")
-        pairs = found.groupBy("u", "v").agg(F.min("cell").alias("cell"))
-        if refuted is not None:
-            pairs = pairs.join(refuted, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = stored(found.groupBy("u", "v").agg(F.min("cell").alias("cell")), "pairs")
         if pairs.isEmpty():
             break
+        if refuted is not None:
+            pairs = stored(pairs.join(refuted, ["u", "v"], "left_anti"), "pairs")
+            if pairs.isEmpty():  # a later round names partners beyond these
+                continue
         if texts is None:  # every node that any later round can name has named its best partner now
             named = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "named")
             texts = stored(_texts_of(narrow, sets, named), "texts")
