@@ -220,6 +220,19 @@ def test_near_duplicates(spark, near, odd, empty):
     assert minhash.unique(odd).columns == odd.columns
 
 
+def test_texts_that_share_an_id_go_by_their_own_component(spark):
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    a, b, c = words("a", 100), words("b", 100), words("c", 100)
+    near_b, near_c = [*b[:98], "x", "y"], [*c[:98], "x", "y"]
+    rows = [(3, b), (5, a), (5, near_b), (5, near_b), (7, c), (7, a[:50]), (8, near_c), (9, near_b), (9, None), (None, near_b)]
+    docs = spark.createDataFrame([(i, t and " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).where("doc_id IS NOT NULL").collect()))
+    assert got == [(3, 96, 3, True), (5, 96, 3, False), (5, 96, 3, False), (5, 96, 5, True), (7, 46, 7, True), (7, 96, 7, True), (8, 96, 7, False), (9, 0, 9, True), (9, 96, 3, False)]
+    left = sorted((r.doc_id, r.text or "") for r in minhash.unique(docs).where("doc_id IS NOT NULL").collect())
+    assert left == [(3, " ".join(b)), (5, " ".join(a)), (7, " ".join(a[:50])), (7, " ".join(c)), (9, "")]
+    assert minhash.unique(docs).where("doc_id IS NULL").count() == 1 and minhash.unique(docs).columns == docs.columns
+
+
 def test_last_round_runs_when_named_pairs_are_refuted(spark, monkeypatch):
     """x and y are linked; z is nearer to x and w to y by estimate, but just under the threshold, and hide the link from the first rounds."""
     words = lambda n, at: [f"q224x{at + i}" for i in range(n)]

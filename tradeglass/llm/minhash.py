@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeglass.llm.components import cells, connected
@@ -238,11 +238,19 @@ def _similar(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links need percent * union <= 100 * intersection."""
+    return _marked(docs, doc_id, text, percent).drop("set_key")
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """near_duplicates() with the set_key of every row's text."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = stored(narrow.mapInArrow(_sketched, "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
-    # a set is one node, named by its smallest doc_id, or by its key where no row has one
-    by_key = F.coalesce(F.min("doc_id"), -1 - F.abs(F.xxhash64("set_key") % F.lit(1 << 61)))
-    sets = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(by_key.alias("node"), F.min("doc_id").alias("low_id"), F.min("sketch").alias("sketch")), "sets")
+    # a set is one node, named by its smallest doc_id, or by its key where no row has one or other sets have the same
+    by_key = -1 - F.abs(F.xxhash64("set_key") % F.lit(1 << 61))
+    sets = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low_id"), F.min("sketch").alias("sketch")), "sets")
+    shared = stored(sets.where("low_id IS NOT NULL").groupBy("low_id").count().where("count > 1").select(F.col("low_id").alias("shared_id")), "shared")
+    sets = sets.join(shared, F.col("low_id") == F.col("shared_id"), "left").select(
+        "set_key", "low_id", "sketch", F.when(F.col("low_id").isNull() | F.col("shared_id").isNotNull(), by_key).otherwise(F.col("low_id")).alias("node"))
 
     n_bands, n_rows = banding(percent)
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * n_rows + 1, F.lit(n_rows)))))
@@ -273,7 +281,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 continue
         if texts is None:  # every node that any later round can name has named its best partner now
             named = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "named")
-            texts = stored(_texts_of(narrow, sets, named), "texts")
+            texts = stored(_texts_of(narrow, rows, sets, named), "texts")
         wanted = pairs.select("cell", F.col("u").alias("node")).union(pairs.select("cell", "v")).distinct()
         bodies = wanted.join(texts, "node").select("cell", F.col("node").alias("u"), F.lit(None).cast("long").alias("v"), "text")
         both = bodies.unionByName(pairs.select("cell", "u", "v", F.lit(None).cast("string").alias("text")))
@@ -286,15 +294,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = joined.groupBy("label").agg(F.min("low_id").alias("component_id"))
     by_set = joined.join(smallest, "label").select("set_key", "component_id")
     named = rows.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-    return named.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
+    return named.select("doc_id", "n_shingles", "set_key", F.coalesce("component_id", "doc_id").alias("component_id"),
                         F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(False)).alias("kept"))
 
 
-def _texts_of(narrow: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of nodes: the texts of the document a node is named by, or those with its key and no id."""
-    named = narrow.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").select(F.col("doc_id").alias("node"), "text")
-    nameless = narrow.where("doc_id IS NULL").select("text").mapInArrow(_keyed, "set_key binary, text string")
-    return named.unionByName(nameless.dropDuplicates(["set_key"]).join(sets.where("low_id IS NULL"), "set_key").join(nodes, "node").select("node", "text"))
+def _texts_of(narrow: DataFrame, rows: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of nodes: the text of the document a node is named by; where that has no id or several sets, a text with its key."""
+    mixed = stored(_mixed(rows), "mixed")
+    named = narrow.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id").join(mixed, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), "text")
+    nameless = narrow.where("doc_id IS NULL").unionByName(narrow.join(mixed, "doc_id", "left_semi").select("doc_id", "text"))
+    keyed = nameless.select("text").mapInArrow(_keyed, "set_key binary, text string").dropDuplicates(["set_key"])
+    return named.unionByName(keyed.join(sets.select("set_key", "node"), "set_key").join(nodes, "node").select("node", "text"))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Each doc_id whose rows have different sets."""
+    return rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("a"), F.max(F.xxhash64("set_key")).alias("b")).where("a <> b").select("doc_id")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +330,29 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unique(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, all columns unchanged: the smallest doc_id of every component, and rows without one."""
-    gone = near_duplicates(docs, doc_id, text, percent).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of docs that stay, all columns unchanged: the smallest doc_id of every component, and rows without one.
+
+    Where a doc_id repeats with different texts, its rows stay or go by their own text's component.
+    """
+    marked = _marked(docs, doc_id, text, percent).where("doc_id IS NOT NULL")
+    gone = marked.groupBy(F.col("doc_id").alias("_gone")).agg(F.min("kept").alias("all_kept"), F.max("kept").alias("some")).where("NOT all_kept").select("_gone", "some")
     # written first, so that the size of the ids is known before any text is shuffled for the join
-    return docs.join(stored(gone, "gone"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    gone = stored(gone, "gone")
+    id_ = F.col(doc_id).cast("long")
+    left = docs.join(gone, id_ == F.col("_gone"), "left_anti")
+    some = gone.where("some").select("_gone")
+    if some.isEmpty():
+        return left
+    keys = stored(marked.where("NOT kept").join(some, F.col("doc_id") == F.col("_gone"), "left_semi").select(F.col("doc_id").alias("_gone"), F.col("set_key").alias("_key")).distinct(), "gone-keys")
+    own = docs.join(some, id_ == F.col("_gone"), "left_semi").withColumn("_own", _key_of(F.col(text).cast("string")))
+    return left.unionByName(own.join(keys, (id_ == F.col("_gone")) & (F.col("_own") == F.col("_key")), "left_anti").drop("_own"))
+
+
+def _key_of(text: Column) -> Column:
+    """The set_key of a text column."""
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in shingle_sets(batch)], pa.binary())
+
+    keys.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(keys, "binary")(text)
