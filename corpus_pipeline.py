@@ -16,8 +16,13 @@ from tradeglass.session import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; the model is fitted on labelled documents of this table."""
+    """Documents with a language; the model is fitted on labelled documents of this table.
+
+    Without any such document, every text with a letter stays.
+    """
     model = langid.fit(docs)
+    if model is None:
+        return docs.where(langid.has_letter(F.col("text").cast("string")))
     return docs.where(langid.predict(F.col("text").cast("string"), model).getField("lang_pred") != langid.UNKNOWN)
 
 

@@ -511,3 +511,10 @@ def test_bands_and_bound_follow_the_asked_similarity(percent):
     least = minhash.least_equal(percent)
     below = sum(math.comb(256, k) * share ** k * (1 - share) ** (256 - k) for k in range(least))
     assert below < 5e-5
+
+
+def test_pipeline_without_labels_keeps_texts_with_letters(spark, odd):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd.withColumn("lang", F.lit(None).cast("string")), odd.withColumn("doc_id", F.lit(None).cast("long"))):
+        want = Counter(r.text for r in docs.collect() if any(c.isalpha() for c in r.text or ""))
+        assert Counter(r.text for r in corpus_pipeline.language(spark, docs, "").collect()) == want and len(want) > 5

@@ -138,6 +138,16 @@ def predict(text: Column, model: Model | None) -> Column:
     return F.arrow_udf(languages, "lang_pred string, score double")(text)
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for null."""
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([t is not None and _LETTER.search(t) is not None for t in batch.to_pylist()], pa.bool_())
+
+    found.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(found, "boolean")(text)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
