@@ -419,6 +419,16 @@ def page(article, before="", after=""):
     return f'<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>{before}{article}{after}</body></html>'
 
 
+def test_hilbert_steps_of_strings_with_a_shared_prefix(spark):
+    rows = [(i, "same text", f"https://example.org/{'abcdefgh'[i % 8]}") for i in range(160)]
+    got = hilbert.assign(spark.createDataFrame([*rows, (160, "same text", None)], "doc_id long, text string, source string"), ["source"]).collect()
+    curves = defaultdict(set)
+    for r in got:
+        curves[rows[r.doc_id][2] if r.doc_id < 160 else None].add(r.curve)
+    # quantiles leave the null and the smallest value in step 0
+    assert all(len(c) == 1 for c in curves.values()) and len({min(c) for c in curves.values()}) == 8
+
+
 @pytest.mark.parametrize("article", [
     "<article><h1>Head</h1><p>{0}<p>{1}</p><p>{2}</article>", "<div class='post-body'><h1>Head</h1><p>{0}</p><p>{1}</p><p>{2}</p></div>",
     "<main><header><h1>Head</h1></header><section><p>{0}</p></section><section><p>{1}</p><p>{2}</p></section></main>",

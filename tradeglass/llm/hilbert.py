@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata columns, with DataFrame functions only.
 
-Every metadata column is cut at its quantiles into 2^BITS steps; strings are placed by their first
-seven bytes, so steps follow string order. The cell's position on the Hilbert curve is the sort key,
+Every metadata column is cut at its quantiles into 2^BITS steps; strings are placed by the rank of their
+value among the distinct values, in byte order over the whole string, so steps follow string order. The cell's position on the Hilbert curve is the sort key,
 then the text's checksum, size and id, so equal texts with equal metadata stand side by side. Runs of
 the order become shards: neighbours on the curve share ranges of every dimension, which is what
 file statistics prune by.
@@ -27,11 +27,17 @@ from tradeglass.session import stored
 BITS, SHARDS = 5, 8
 
 
-def ordinal(column: Column, kind: T.DataType) -> Column:
-    """A number in the order of the column's values."""
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def numbered(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """rows with every dimension as a number in the order of its values: strings by their rank among the distinct values."""
+    for d in dims:
+        if isinstance(rows.schema[d].dataType, T.StringType):
+            values = ranked(rows.where(F.col(d).isNotNull()).select(F.encode(d, "UTF-8").alias("_value")).distinct(), ["_value"])
+            # written first, so that the size of a short table of values is known before rows are joined with it
+            values = stored(values.select("_value", F.col("rank").cast("double").alias("_rank")), "values")
+            rows = rows.join(values, F.encode(d, "UTF-8") == F.col("_value"), "left").withColumn(d, F.col("_rank")).drop("_value", "_rank")
+        else:
+            rows = rows.withColumn(d, F.col(d).cast("double"))
+    return rows
 
 
 def quantised(docs: DataFrame, dims: dict[str, Column], bits: int = BITS) -> dict[str, Column]:
@@ -112,7 +118,8 @@ def assign(docs: DataFrame, dims: list[str], doc_id: str = "doc_id", text: str =
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"),
                          F.crc32(whole).alias("text_crc32"),
-                         *[ordinal(F.col(d), docs.schema[d].dataType).alias(f"_dim{i}") for i, d in enumerate(dims)])
+                         *[F.col(d).alias(f"_dim{i}") for i, d in enumerate(dims)])
+    narrow = numbered(narrow, [f"_dim{i}" for i in range(len(dims))])
     axes = {f"_dim{i}": F.col(f"_dim{i}") for i in range(len(dims))} | {"size": F.col("size").cast("double")}
     steps = quantised(narrow, axes)
     placed = narrow.withColumns({f"_step{i}": s for i, s in enumerate(steps.values())})
