@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, hmm, html_text, langid, minhash, packing, token_files
+from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, hmm, html_text, langid, merkle, minhash, packing, token_files
 from tradeglass.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,60 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_hidden_markov")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.score(documents(spark, folder))
+
+
+@query("op11_merkle_manifest", r"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, lang, text,
+               coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-') ||
+               coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+               list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+                           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS crc
+        FROM documents),
+    tampered AS (
+        SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS offered FROM leaves),
+    marked AS (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(offered)::VARCHAR || ':' || offered, '-')) AS claimed
+        FROM tampered),
+    nodes AS (
+        SELECT coalesce('=' || lang, '') AS g, 0 AS level, row_number() OVER t - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n, leaf AS node
+        FROM marked WINDOW t AS (PARTITION BY lang ORDER BY doc_id, leaf)
+        UNION ALL
+        SELECT g, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY g, level, pos // 8, n),
+    subroots AS (SELECT g, level AS height, node AS subroot FROM nodes WHERE n = 1),
+    tops AS (
+        SELECT 0 AS level, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n, subroot AS node FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(node, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+    ways AS (
+        SELECT m.doc_id, m.lang, m.leaf, m.claimed, coalesce('=' || lang, '') AS g, row_number() OVER t - 1 AS pos
+        FROM marked m WINDOW t AS (PARTITION BY lang ORDER BY doc_id, leaf)),
+    ranked_roots AS (SELECT g, height, subroot, row_number() OVER (ORDER BY g) - 1 AS top_pos FROM subroots),
+    siblings AS (
+        SELECT w.doc_id, n.level, string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos < w.pos >> (3 * n.level)) AS l,
+               string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos > w.pos >> (3 * n.level)) AS r
+        FROM ways w JOIN nodes n ON n.g = w.g AND n.n > 1 AND n.pos >> 3 = w.pos >> (3 * n.level + 3) GROUP BY w.doc_id, n.level
+        UNION ALL
+        SELECT w.doc_id, s.height + n.level, string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos < s.top_pos >> (3 * n.level)),
+               string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos > s.top_pos >> (3 * n.level))
+        FROM ways w JOIN ranked_roots s ON s.g = w.g JOIN tops n ON n.n > 1 AND n.pos >> 3 = s.top_pos >> (3 * n.level + 3)
+        GROUP BY w.doc_id, s.height, n.level),
+    paths AS (
+        SELECT doc_id, string_agg(coalesce(l, '') || coalesce(r, ''), '' ORDER BY level) AS flat,
+               list({'l': coalesce(l, ''), 'r': coalesce(r, '')} ORDER BY level) AS path FROM siblings GROUP BY doc_id),
+    folded AS (
+        SELECT w.doc_id, 0 AS done, claimed AS node, coalesce(path, []) AS path FROM ways w LEFT JOIN paths p ON p.doc_id = w.doc_id
+        UNION ALL
+        SELECT doc_id, done + 1, sha256(path[done + 1].l || node || path[done + 1].r), path FROM folded WHERE done < len(path))
+    SELECT w.doc_id, w.leaf, s.subroot, t.node AS root, sha256(coalesce(p.flat, '')) AS proof_sha256, f.node AS folded_root, f.node = t.node AS verified
+    FROM ways w JOIN subroots s ON s.g = w.g JOIN tops t ON t.n = 1 LEFT JOIN paths p ON p.doc_id = w.doc_id
+    JOIN folded f ON f.doc_id = w.doc_id AND f.done = len(f.path)
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves of all documents; where 3 divides crc32(doc_id), a text with its A-Z lower-cased is held against the manifest."""
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    offered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.digest("doc_id", "source", "lang", "n_chars", lowered))
+    leaves = documents(spark, folder).select("doc_id", "lang", merkle.digest("doc_id", "source", "lang", "n_chars", "text").alias("leaf"), offered.alias("offered"))
+    proved = merkle.proofs(leaves, "leaf", "lang", "doc_id")
+    return proved.select("row.doc_id", "row.leaf", "subroot", "root", F.sha2(merkle.segments(F.col("path")), 256).alias("proof_sha256"),
+                         merkle.fold(F.coalesce("row.offered", "row.leaf"), F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
