@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, hmm, html_text, langid, merkle, minhash, packing, token_files
+from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, hmm, html_text, langid, merkle, minhash, packing, token_files, winnow
 from tradeglass.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,35 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     proved = merkle.proofs(leaves, "leaf", "lang", "doc_id")
     return proved.select("row.doc_id", "row.leaf", "subroot", "root", F.sha2(merkle.segments(F.col("path")), 256).alias("proof_sha256"),
                          merkle.fold(F.coalesce("row.offered", "row.leaf"), F.col("path")).alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op13_decontamination", r"""
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+    item_words AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    windows AS (
+        SELECT DISTINCT item_id, least(10, len(ws)) AS t, unnest(list_transform(range(0, len(ws) - least(10, len(ws)) + 1),
+                                                                               lambda i: array_to_string(ws[i + 1:i + least(10, len(ws))], ' '))) AS win
+        FROM item_words WHERE len(ws) > 0),
+    known AS (SELECT DISTINCT t, win FROM windows),
+    placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM words),
+    ahead AS (SELECT doc_id, pos, list(w) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM placed),
+    found AS (
+        SELECT a.doc_id, a.pos, k.t, k.win FROM (SELECT *, unnest((SELECT list(DISTINCT t) FROM known)) AS t FROM ahead) a
+        JOIN known k ON k.t = a.t AND len(a.l) >= a.t AND array_to_string(a.l[1:a.t], ' ') = k.win),
+    hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + t)) AS p FROM found) GROUP BY doc_id),
+    items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+        FROM (SELECT DISTINCT f.doc_id, w.item_id::VARCHAR AS item_id FROM found f JOIN windows w ON w.win = f.win) GROUP BY doc_id)
+    SELECT w.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN items i ON i.doc_id = w.doc_id
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnow.find(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
