@@ -8,7 +8,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeglass.llm import bpe, embeddings, exact_dedup, hilbert, hmm, html_text, langid, merkle, minhash, packing, token_files, winnow
+from tradeglass.llm import bpe, dialogue, embeddings, exact_dedup, hilbert, hmm, html_text, langid, merkle, minhash, packing, token_files, winnow
 from tradeglass.session import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,23 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations after the contract's damage, by crc32 of `conv_id:turn`; alive is false where a row is dropped."""
+    name = F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id",)), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    kind = (F.crc32(name.cast("binary")) % 20).alias("kind")
+    text, role = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("text", "role"))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind)
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       (F.col("kind") != 0).alias("alive"), F.explode(copies).alias("copy")).drop("copy")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    facts, lines = dialogue.repair(damaged(spark.read.parquet(f"{folder}/conversations.parquet")))
+    done = facts.join(dialogue.digests(lines), "_group", "left")
+    return done.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+                       F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
