@@ -9,7 +9,7 @@ from tradeglass.catalog.binding import mdy, mon
 from tradeglass.catalog.oracle import omoney
 from tradeglass.catalog.registry import ORACLE_VIEWS, query
 from tradeglass.operators import history as h
-from tradeglass.operators import timing
+from tradeglass.operators import packed, timing
 from tradeglass.operators.history import KEY
 from tradeglass.plans.account_view import account_view, with_anchors
 
@@ -29,6 +29,15 @@ def features(b) -> DataFrame:
     return h.anchored_features(b.cells(), anchors)
 
 
+def words(b) -> DataFrame:
+    return packed.month_words(b.cells())
+
+
+def sequence_conflicts(b) -> DataFrame:
+    anchors = with_anchors(b.tradelines(), {"opened_m"}).select(*KEY, "profile_id", "opened_m")
+    return packed.conflicts(words(b), anchors)
+
+
 @query("h1_year_rows_to_cells", DENSE_SQL)
 def h1(b):
     return h.cells_from_year_rows(b.sql(YEAR_ROWS)).select(*OUT, "value_text")
@@ -143,7 +152,7 @@ def h12(b):
 @query("h13_missing_months", """SELECT c.report_id, c.entity_key, c.m FROM ora_cell c JOIN ora_fact f USING (report_id, entity_key)
                                 WHERE c.blank AND c.m BETWEEN f.first_m + 1 AND f.last_m - 1""")
 def h13(b):
-    return h.missing_months(features(b))
+    return packed.missing_months(words(b))
 
 
 @query("h14_internal_gaps", """
@@ -159,7 +168,7 @@ def h14(b):
     ASOF LEFT JOIN (SELECT * FROM ora_cell WHERE seen) p ON p.report_id = b.report_id AND p.entity_key = b.entity_key AND p.m < b.m
     ASOF LEFT JOIN (SELECT * FROM ora_cell WHERE seen) n ON n.report_id = b.report_id AND n.entity_key = b.entity_key AND n.m > b.m""")
 def h15(b):
-    return h.neighbours(features(b))
+    return packed.neighbours(words(b))
 
 
 ISLANDS = """SELECT report_id, entity_key, min(m) AS first_m, max(m) AS last_m, CAST(count(*) AS int) AS n_months
@@ -170,7 +179,7 @@ ISLANDS = """SELECT report_id, entity_key, min(m) AS first_m, max(m) AS last_m,
 
 @query("h16_blank_runs", ISLANDS.format(src="ora_cell WHERE blank"))
 def h16(b):
-    return h.runs(features(b).where("blank").select(*OUT), KEY)
+    return packed.blank_runs(words(b))
 
 
 @query("h17_opened_coverage_gap", """
@@ -197,7 +206,7 @@ SEQUENCES = {"h19_progression_regression": "regression", "h20_severe_jump": "sev
 def _sequence(name: str, kind: str) -> None:
     @query(name, f"SELECT report_id, entity_key, m, code, CAST(prev_m AS int) AS prev_m FROM ora_chain WHERE kind = '{kind}'")
     def run(b):
-        return h.conflicts(features(b)).where(f"kind = '{kind}'").select(*OUT, "code", "prev_m")
+        return sequence_conflicts(b).where(f"kind = '{kind}'").select(*OUT, "code", "prev_m")
 
 
 for _name, _kind in SEQUENCES.items():
@@ -210,13 +219,13 @@ for _name, _kind in SEQUENCES.items():
 def h27(b):
     accounts = account_view(b.tradelines(), b.cells(), {"last_payment_m", "recent_payment"}).select(
         *KEY, "last_payment_m", "recent_payment")
-    return h.payment_activity_conflicts(h.conflicts(features(b)), accounts).select(*KEY, "kind", "m")
+    return h.payment_activity_conflicts(sequence_conflicts(b), accounts).select(*KEY, "kind", "m")
 
 
 @query("h28_balance_reduction_conflicts", """
     SELECT report_id, entity_key, kind, m, CAST(pb - b AS double) AS dropped FROM ora_chain WHERE kind <> 'regression' AND pb - b >= 25""")
 def h28(b):
-    return h.balance_reduction_conflicts(h.conflicts(features(b))).selectExpr(
+    return packed.balance_reduction_conflicts(sequence_conflicts(b), b.cells()).selectExpr(
         *KEY, "kind", "m", "cast(prev_balance - balance AS double) AS dropped")
 
 
