@@ -367,6 +367,19 @@ def cells_matching(cells: DataFrame, requests: DataFrame) -> DataFrame:
     return pairs.where(values_equal("value_text", "wanted")).select(*KEY, "series", "m", "value_text")
 
 
+def cells_at_month(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cells of the asked months (asked_m); an asked value that is not empty must equal the cell's in some spelling."""
+    pairs = one_cell_per_month(cells).join(requests.withColumnRenamed("asked_m", "m"), [*KEY, "series", "m"])
+    return pairs.where(f"{norm_text('wanted')} = '' OR {values_equal('value_text', 'wanted')}").drop("wanted")
+
+
+def cells_by_provenance(cells: DataFrame, requests: DataFrame) -> DataFrame:
+    """Cells of an account whose provenance id is the asked one, whatever its case and spacing; an empty id asks for none."""
+    own = cells.select(*KEY, "series", "m", "value_text", F.expr(match_text("provenance_id")).alias("said"))
+    asked = requests.withColumn("said", F.expr(match_text("provenance_id"))).where("said <> ''").drop("provenance_id")
+    return asked.join(own, [*KEY, "said"]).drop("said")
+
+
 def legend_codes(cells: DataFrame) -> DataFrame:
     """Distinct recognised status codes of an account in legend order."""
     order = {code: i for i, code in enumerate(vocab.STATUS_LEGEND)}
