@@ -8,17 +8,18 @@ from tradeglass import vocab
 from tradeglass.catalog.binding import VIEWS
 from tradeglass.catalog.functions import LETTERS
 from tradeglass.catalog.registry import ORACLE_VIEWS, query
+from tradeglass.operators import grounding
 from tradeglass.operators import layout as l
 from tradeglass.operators import quality as q
 from tradeglass.streaming import incremental as t
 
-COMPONENTS = ["reportConfirmationDetails", "personalInformation", "summary", "creditAccountsSummary", "otherItemsSummary", "accounts",
-              "collections", "inquiries"]
+COMPONENTS = ["reportConfirmationDetails", "personalInformation", "summary", "creditAccountsSummary", "otherItemsSummary", "accounts", "collections", "inquiries",
+              "reportOverview", "publicRecords", "hardInquiries", "softInquiries", "adverseAccounts", "satisfactoryAccounts", "accountReviewInquiries"]
 VIEWS["fx_component"] = "SELECT r.report_id, r.profile_id, t.component FROM fx_report r CROSS JOIN (VALUES " + ", ".join(
     f"('{c}')" for c in COMPONENTS) + ") AS t(component)"
 VIEWS["fx_issue"] = """
-    SELECT report_id, CASE k % 3 WHEN 0 THEN 'accounts' WHEN 1 THEN 'collections' ELSE 'creditAccountsSummary' END AS component,
-           CASE WHEN k % 31 = 0 THEN 'error' WHEN k % 37 = 0 THEN 'critical' ELSE 'warning' END AS severity FROM fx_account"""
+    SELECT report_id, CASE k % 5 WHEN 0 THEN 'accounts' WHEN 1 THEN 'collections' WHEN 2 THEN 'adverseAccounts' WHEN 3 THEN 'softInquiries' ELSE 'creditAccountsSummary' END AS component,
+           CASE WHEN k % 131 = 0 THEN 'error' WHEN k % 137 = 0 THEN 'critical' ELSE 'warning' END AS severity FROM fx_account"""
 VIEWS["fx_stated"] = """
     SELECT report_id, 'accounts' AS component, CAST(CASE WHEN lay = 0 THEN n ELSE n + 1 END AS int) AS stated, CAST(CASE WHEN lay = 3 THEN n + 1 ELSE n - 2 END AS int) AS n_open,
            CAST(CASE WHEN lay = 1 THEN 2 END AS int) AS n_closed FROM (SELECT report_id, lay, count(*) AS n FROM fx_account GROUP BY report_id, lay) x
@@ -59,11 +60,14 @@ def v3(b):
     return statuses(b)
 
 
-NEW_NEEDS = ", ".join(repr(c) for c in q.REQUIRED["equifax_new_v1"])
+# which layouts need a component, written out once more and not taken from the operator
+ORACLE_VIEWS["ora_need"] = """SELECT * FROM (VALUES ('reportConfirmationDetails', 'OLD NEW'), ('personalInformation', 'OLD NEW EXP TRU'), ('summary', 'OLD NEW'), ('creditAccountsSummary', 'OLD'), ('otherItemsSummary', 'OLD'),
+    ('accounts', 'OLD NEW EXP'), ('collections', 'OLD'), ('inquiries', 'OLD NEW TRU'), ('reportOverview', 'EXP TRU'), ('publicRecords', 'EXP'), ('hardInquiries', 'EXP'), ('softInquiries', 'EXP'),
+    ('adverseAccounts', 'TRU'), ('satisfactoryAccounts', 'TRU'), ('accountReviewInquiries', 'TRU')) AS t(component, needed_by)"""
 
 
-@query("v4_readiness", f"""SELECT report_id, profile_id, CAST(bool_and(status = 'complete' OR (profile_id = 'equifax_new_v1' AND component NOT IN ({NEW_NEEDS}))) AS int) AS ready
-    FROM ora_status GROUP BY report_id, profile_id""")
+@query("v4_readiness", """SELECT report_id, profile_id, CAST(bool_and(status = 'complete' OR NOT contains(needed_by, CASE profile_id WHEN 'equifax_old_v1' THEN 'OLD' WHEN 'equifax_new_v1' THEN 'NEW'
+    WHEN 'experian_acr_v1' THEN 'EXP' ELSE 'TRU' END)) AS int) AS ready FROM ora_status JOIN ora_need USING (component) GROUP BY report_id, profile_id""")
 def v4(b):
     return q.readiness(statuses(b)).selectExpr("report_id", "profile_id", "cast(ready AS int) AS ready")
 
@@ -75,7 +79,7 @@ VALUES = """SELECT doc_id AS report_id, CAST(doc_id AS string) || ':' || CAST(li
     CASE line_no % 3 WHEN 0 THEN line WHEN 1 THEN 'zq9 ' || line ELSE line || ' zq8 zq7' END AS value FROM fx_line WHERE line <> ''"""
 NORM = "lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))"
 PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
-TOKENS = "list_distinct(list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda x: length(x) >= 2))"
+TOKENS = "list_filter(regexp_extract_all({0}, '[a-z0-9]+'), lambda x: length(x) >= 2)"
 SPELL = (f"list_distinct(list_filter([{NORM.format('value')}, {PLAIN.format('value')}, CASE WHEN contains(value, '$') THEN {NORM.format("replace(replace(value, '$', ''), ',', '')")} "
          f"ELSE '' END, {NORM.format("replace(value, ',', '')")}], lambda x: length(x) >= 4))")
 ORACLE_VIEWS["ora_ground"] = f"""
@@ -91,12 +95,12 @@ def printed_pages(b):
 
 
 def grounded(b):
-    return q.grounded_fields(b.sql(VALUES), printed_pages(b).withColumnRenamed("doc_id", "report_id"))
+    return grounding.grounded_fields(b.sql(VALUES), printed_pages(b).withColumnRenamed("doc_id", "report_id"))
 
 
 @query("v5_value_grounding", "SELECT report_id, path, n_pages FROM ora_ground")
 def v5(b):
-    return grounded(b).select("report_id", "path", "n_pages")
+    return grounded(b).selectExpr("cast(report_id AS bigint) AS report_id", "path", "n_pages")
 
 
 @query("v6_match_rate", """SELECT component, CAST(count(*) AS int) AS total, CAST(count(*) FILTER (WHERE n_pages > 0) AS int) AS matched,
@@ -119,18 +123,20 @@ def v8(b):
     return q.contact_issues(b.view("fx_account"))
 
 
-@query("v9_verified_ready", f"""SELECT report_id, CAST(NOT EXISTS (SELECT 1 FROM ora_status s WHERE s.report_id = r.report_id AND s.status = 'failed')
+EXPECTED = "SELECT report_id, kind, CAST(count(*) AS int) + CASE kind WHEN 'hard' THEN 0 ELSE CAST(report_id AS int) % 2 END AS expected FROM fx_inquiry GROUP BY report_id, kind"
+ACTUAL = "SELECT report_id, kind, CAST(count(*) AS int) AS actual FROM fx_inquiry GROUP BY report_id, kind"
+
+
+@query("v9_verified_ready", f"""SELECT report_id, CAST(NOT EXISTS (SELECT 1 FROM ora_status s JOIN ora_need n USING (component) WHERE s.report_id = r.report_id AND s.status = 'failed' AND contains(n.needed_by, CASE r.profile_id WHEN 'equifax_new_v1' THEN 'NEW' ELSE 'OLD' END))
     AND NOT EXISTS (SELECT 1 FROM ora_check c WHERE c.report_id = r.report_id AND NOT c.pass)
+    AND NOT EXISTS (SELECT 1 FROM ({EXPECTED}) e JOIN ({ACTUAL}) a USING (report_id, kind) WHERE e.report_id = r.report_id AND e.expected <> a.actual)
     AND NOT EXISTS (SELECT 1 FROM ({CONTACT}) i WHERE i.report_id = r.report_id AND i.severity = 'critical') AS int) AS verified FROM fx_report r""")
 def v9(b):
-    return q.verified_ready(b.view("fx_report"), statuses(b), checks(b), q.contact_issues(b.view("fx_account"))).selectExpr(
+    fixtures = q.fixture_checks(b.sql(EXPECTED), b.sql(ACTUAL), ["report_id", "kind"])
+    return q.verified_ready(b.view("fx_report"), statuses(b), checks(b), q.contact_issues(b.view("fx_account")), fixtures).selectExpr(
         "report_id", "cast(verified AS int) AS verified")
 
 
-EXPECTED = "SELECT report_id, kind, CAST(count(*) AS int) + CASE kind WHEN 'hard' THEN 0 ELSE CAST(report_id AS int) % 2 END AS expected FROM fx_inquiry GROUP BY report_id, kind"
-ACTUAL = "SELECT report_id, kind, CAST(count(*) AS int) AS actual FROM fx_inquiry GROUP BY report_id, kind"
-
-
 @query("v10_fixture_checks", f"SELECT report_id, kind, expected, actual, CAST(expected = actual AS int) AS pass FROM ({EXPECTED}) e JOIN ({ACTUAL}) a USING (report_id, kind)")
 def v10(b):
     return q.fixture_checks(b.sql(EXPECTED), b.sql(ACTUAL), ["report_id", "kind"]).selectExpr(

@@ -6,17 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradeglass import vocab
-from tradeglass.functions import evidence
 from tradeglass.functions.classify import section_present
-from tradeglass.functions.text import add, lit, match_text, one_of, rx
-from tradeglass.operators.skew import contains_join
+from tradeglass.functions.text import lit, one_of
 
 # --- fixed values: components a layout must complete ---------------------------------
 REQUIRED = {
     "equifax_old_v1": ["reportConfirmationDetails", "personalInformation", "summary", "creditAccountsSummary",
                        "otherItemsSummary", "accounts", "collections", "inquiries"],
     "equifax_new_v1": ["reportConfirmationDetails", "summary", "personalInformation", "accounts", "inquiries"],
+    "experian_acr_v1": ["reportOverview", "personalInformation", "accounts", "publicRecords", "hardInquiries", "softInquiries"],
+    "transunion_acr_v1": ["reportOverview", "personalInformation", "adverseAccounts", "satisfactoryAccounts", "inquiries",
+                          "accountReviewInquiries"],
 }
+#: Layouts that verification holds to their own list; every other one is held to the first layout's.
+VERIFIED_BY_OWN_LIST = ["equifax_new_v1"]
+
+
+def is_required(layouts: list[str]) -> str:
+    """Whether a component is required, by the list of its layout where that is one of these, else by the first list."""
+    cases = " ".join(f"WHEN '{p}' THEN {one_of('component', REQUIRED[p])}" for p in layouts)
+    return f"CASE profile_id {cases} ELSE {one_of('component', REQUIRED['equifax_old_v1'])} END"
 
 
 def field_issues(rows: DataFrame, key: list[str], checks: dict[str, tuple[str, str, str]]) -> DataFrame:
@@ -47,53 +56,12 @@ def component_status(components: DataFrame, issues: DataFrame) -> DataFrame:
 
 def readiness(statuses: DataFrame) -> DataFrame:
     """A report is ready when every component its layout requires is complete."""
-    default = REQUIRED["equifax_old_v1"]
-    required = f"if(profile_id = 'equifax_new_v1', {one_of('component', REQUIRED['equifax_new_v1'])}, {one_of('component', default)})"
-    n = f"if(profile_id = 'equifax_new_v1', {len(REQUIRED['equifax_new_v1'])}, {len(default)})"
+    n = "CASE profile_id " + " ".join(f"WHEN '{p}' THEN {len(c)}" for p, c in REQUIRED.items()) + f" ELSE {len(REQUIRED['equifax_old_v1'])} END"
     return statuses.groupBy("report_id", "profile_id").agg(
-        F.expr(f"count(DISTINCT if({required} AND status = 'complete', component, NULL)) AS done")).selectExpr(
+        F.expr(f"count(DISTINCT if({is_required(list(REQUIRED))} AND status = 'complete', component, NULL)) AS done")).selectExpr(
         "report_id", "profile_id", f"done = {n} AS ready")
 
 
-def ground_values(fields: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages of the same report on which a field's value is printed.
-
-    A page counts when it holds a spelling of the value, plain or with punctuation
-    removed, or all tokens of the value (all but one of four or more). Spellings go
-    through a rarest-gram join; token matches look only at pages holding one of the
-    value's two rarest tokens, which any accepted page must.
-    """
-    p = add(pages, {"norm": match_text("page_text"), "plain": evidence.simple("page_text")})
-    values = fields.select("report_id", "value").distinct()
-    spelled = values.selectExpr("report_id", "value", f"explode({evidence.value_candidates('value')}) AS spelling")
-    texts = p.selectExpr("report_id", "page", "explode(array_distinct(array(norm, plain))) AS body").withColumn(
-        "body_id", F.sha2("body", 256))
-    found = contains_join(spelled, texts, ["report_id"], "spelling", "body").select(
-        "report_id", "spelling", F.sha2("body", 256).alias("body_id"))
-    exact = found.join(texts.select("report_id", "page", "body_id"), ["report_id", "body_id"]).join(
-        spelled, ["report_id", "spelling"]).select("report_id", "value", "page")
-    tokens = f"array_distinct(filter(regexp_extract_all({{0}}, {rx('[a-z0-9]+')}, 0), t -> length(t) >= 2))"
-    page_tokens = p.selectExpr("report_id", "page", f"{tokens.format('norm')} AS page_tokens")
-    token_pages = page_tokens.selectExpr("report_id", "page", "explode(page_tokens) AS token")
-    frequency = token_pages.groupBy("report_id", "token").agg(F.count("*").alias("freq"))
-    value_tokens = values.selectExpr("report_id", "value", f"{tokens.format(match_text('value'))} AS tokens")
-    anchors = value_tokens.selectExpr("report_id", "value", "explode(tokens) AS token").join(
-        frequency, ["report_id", "token"], "left").groupBy("report_id", "value").agg(
-        F.expr("slice(array_sort(collect_list(struct(coalesce(freq, 0) AS freq, token))), 1, 2) AS rare"))
-    near = anchors.selectExpr("report_id", "value", "explode(rare) AS r").selectExpr(
-        "report_id", "value", "r.token AS token").join(token_pages, ["report_id", "token"]).select(
-        "report_id", "value", "page").distinct()
-    missing = "size(array_except(tokens, page_tokens))"
-    fuzzy = near.join(value_tokens, ["report_id", "value"]).join(page_tokens, ["report_id", "page"]).where(
-        f"{missing} = 0 OR (size(tokens) >= 4 AND {missing} = 1)").select("report_id", "value", "page")
-    return exact.unionByName(fuzzy).distinct()
-
-
-def grounded_fields(fields: DataFrame, pages: DataFrame) -> DataFrame:
-    found = ground_values(fields, pages).groupBy("report_id", "value").agg(F.count("*").cast("int").alias("n_pages"))
-    return fields.join(found, ["report_id", "value"], "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0)))
-
-
 def match_rates(grounded: DataFrame) -> DataFrame:
     """Matched share per component and overall (component null), four decimals."""
     return grounded.rollup("component").agg(
@@ -110,10 +78,11 @@ def contact_issues(accounts: DataFrame) -> DataFrame:
         "report_id", "'missing_contact_information' AS code", "if(n_missing = n_accounts, 'critical', 'warning') AS severity", "n_missing")
 
 
-def verified_ready(reports: DataFrame, statuses: DataFrame, checks: DataFrame, issues: DataFrame) -> DataFrame:
-    """No failed component, every count check passes, and no blocking quality issue."""
+def verified_ready(reports: DataFrame, statuses: DataFrame, checks: DataFrame, issues: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """No required component failed, every count and fixture check passes, and no blocking quality issue."""
     bad = (
-        statuses.where("status = 'failed'").select("report_id")
+        statuses.where(f"status = 'failed' AND {is_required(VERIFIED_BY_OWN_LIST)}").select("report_id")
+        .unionByName(fixtures.where("NOT pass").select("report_id"))
         .unionByName(checks.where("NOT pass").select("report_id"))
         .unionByName(issues.where("severity IN ('critical', 'error')").select("report_id")).distinct()
     )
