@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tradeglass import vocab
 from tradeglass.catalog.binding import RAW_KEYS
+from tradeglass.catalog.functions import adverse_pages
 from tradeglass.catalog.history import features
 from tradeglass.catalog.oracle import omoney
 from tradeglass.catalog.registry import ORACLE_VIEWS, query
@@ -23,8 +24,8 @@ DEMOTED = ", ".join(repr(i) for i in vocab.DEMOTED_ISSUES)
 ORACLE_VIEWS["ora_finding"] = f"""
     SELECT o.*, m.issue_type, m.category, m.severity, m.sev, m.cat, m.issue_type || ':' || o.entity_key AS finding_id,
         CASE WHEN m.issue_type IN ({DEMOTED}) THEN 'strategy_demoted' WHEN m.category = 'legal_public_record' THEN 'explicit'
-             WHEN neg THEN 'negative_account' ELSE 'positive_account' END AS selection_basis,
-        m.issue_type NOT IN ({DEMOTED}) AND (m.category = 'legal_public_record' OR neg) AS selected
+             WHEN neg OR (lay = 3 AND k % 5 + 1 IN (2, 4)) THEN 'negative_account' ELSE 'positive_account' END AS selection_basis,
+        m.issue_type NOT IN ({DEMOTED}) AND (m.category = 'legal_public_record' OR neg OR (lay = 3 AND k % 5 + 1 IN (2, 4))) AS selected
     FROM ora_outcome o JOIN ora_meta m USING (rule_id) WHERE o.status = 'triggered'"""
 
 
@@ -33,7 +34,7 @@ def outcomes(b):
 
 
 def found(b):
-    return f.account_findings(outcomes(b))
+    return f.account_findings(outcomes(b), adverse_pages(b))
 
 
 # --- sources and conforming -----------------------------------------------------------
@@ -111,10 +112,10 @@ def key_case(names) -> str:
     return "CASE lay " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(names) if n) + " END"
 
 
-@query("s8_written_findings", f"SELECT report_id, entity_key, profile_id, CASE WHEN k % 10 IN (0, 1, 2) THEN 'triggered' ELSE 'not_triggered' END AS status FROM fx_account")
+@query("s8_written_findings", "SELECT o.report_id, o.entity_key, a.profile_id, o.rule_id, o.status FROM ora_outcome o JOIN fx_account a ON a.k = o.k")
 def s8(b):
-    rows = rule_outcomes(b.tradelines(), b.cells(), ["r02"], keep=[*KEY, "profile_id"])
-    return s.written(rows.select(*KEY, "profile_id", "status"), "findings")
+    rows = rule_outcomes(b.tradelines(), b.cells(), keep=[*KEY, "profile_id"])
+    return s.written(rows.select(*KEY, "profile_id", "rule_id", "status"), "findings")
 
 
 RAW_ROWS = " UNION ALL ".join(f"SELECT report_id, k, lay, name, number, {key_case(names)} AS key, {c} AS v FROM fx_account" for c, names in RAW_KEYS.items())
@@ -212,11 +213,10 @@ def k5(b):
 MANUAL = "SELECT report_id, entity_key, k AS ord, coalesce(status, '') AS summary, type_text AS label, terms IS NOT NULL AS selected FROM fx_account"
 
 
-@query("k6_manual_findings", f"""SELECT report_id, entity_key, finding_id, issue_type FROM ora_finding WHERE rule_id = 'r02' UNION ALL
+@query("k6_manual_findings", f"""SELECT report_id, entity_key, finding_id, issue_type FROM ora_finding UNION ALL
     SELECT report_id, entity_key, 'manual:' || entity_key || ':' || CAST(ord AS string), 'manual' FROM ({MANUAL}) x WHERE selected AND summary <> ''""")
 def k6(b):
-    some = f.account_findings(rule_outcomes(b.tradelines(), b.cells(), ["r02"]))
-    return f.with_manual(some, b.sql(MANUAL))
+    return f.with_manual(found(b), b.sql(MANUAL))
 
 
 @query("k7_review_fallback", """SELECT report_id, 'report-review:' || report_id AS finding_id, 'report_review_request' AS issue_type FROM fx_report r

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tradeglass import vocab
+from tradeglass.catalog.binding import VIEWS
 from tradeglass.catalog.oracle import MONEY_RX, omissing, omoney
 from tradeglass.catalog.registry import query
 from tradeglass.functions import classify, codes, dates, evidence, money, text
@@ -279,11 +280,19 @@ scalar("c6_bankruptcy_litigation", ACCOUNT,
        {"bankrupt": flag(any_word(CTX, vocab.BANKRUPTCY_WORDS)), "litigated": flag(any_word(CTX, vocab.LITIGATION_WORDS))})
 
 
-@query("c7_posture", "SELECT report_id, entity_key, CASE WHEN neg THEN 'negative' ELSE 'positive' END AS posture FROM ora_rule")
+VIEWS["fx_adverse"] = "SELECT report_id, CASE WHEN lay = 3 THEN 2 ELSE 1 END AS low, 4 AS high FROM fx_report WHERE lay > 0"
+
+
+def adverse_pages(b):
+    return b.sql("SELECT * FROM fx_adverse").selectExpr("report_id", "array(cast(low AS int), cast(high AS int)) AS adverse_pages")
+
+
+@query("c7_posture", "SELECT report_id, entity_key, CASE WHEN neg OR (lay = 3 AND k % 5 + 1 IN (2, 4)) THEN 'negative' ELSE 'positive' END AS posture FROM ora_rule")
 def c7(b):
     from tradeglass.plans.account_view import account_view
-    return account_view(b.tradelines(), b.cells(), {"negative"}).selectExpr(
-        "report_id", "entity_key", "if(negative, 'negative', 'positive') AS posture")
+    from tradeglass.plans.findings import with_posture
+    view = account_view(b.tradelines(), b.cells(), {"negative"}).select("report_id", "entity_key", "profile_id", "negative", "source_pages")
+    return with_posture(view, adverse_pages(b)).select("report_id", "entity_key", "posture")
 
 
 SOFT = ("SELECT k, CASE k % 6 WHEN 0 THEN 'Never late' WHEN 1 THEN '30 days late_payment' WHEN 2 THEN 'Charged-off' WHEN 3 THEN 'No delinquency' "

@@ -17,7 +17,8 @@ VIEWS["fx_intake"] = """
            '12 Oak St' AS line1, '' AS line2, 'Dover' AS city, 'DE' AS state, '19901' AS zip FROM fx_report"""
 # accounts read by type and number, so identities really repeat inside a report
 VIEWS["fx_raw_account"] = """
-    SELECT report_id, k AS ord, type_text AS account_name, number AS account_number, coalesce(opened, '') AS date_opened, balance, status,
+    SELECT report_id, k AS ord, CASE WHEN k % 29 = 0 THEN 'Account  Details' ELSE type_text END AS account_name, number AS account_number, coalesce(opened, '') AS date_opened,
+           coalesce(reported, '') AS date_reported, CASE WHEN CAST(report_id AS int) % 3 = 0 AND k % 4 = 1 THEN 'structured' ELSE 'text' END AS source, balance, status,
            CASE WHEN balance IS NULL THEN NULL WHEN balance = '' THEN 'blank' WHEN balance = 'Not reported' AND k % 2 = 0 THEN 'explicit_not_reported' ELSE 'value' END AS balance_state,
            CASE WHEN status IS NULL THEN NULL ELSE 'value' END AS status_state FROM fx_account"""
 VIEWS["fx_collection"] = """
@@ -32,11 +33,15 @@ def norm_number(x: str) -> str:
 
 
 @query("m1_account_dedup", f"""
-    WITH e AS (SELECT *, row_number() OVER (PARTITION BY report_id, account_name, account_number, date_opened, lower(coalesce(balance, '')), lower(coalesce(status, '')) ORDER BY ord) AS rn,
-                 {norm_number('account_number')} AS nk FROM fx_raw_account), d AS (SELECT * FROM e WHERE rn = 1)
+    WITH n AS (SELECT * EXCLUDE (account_name), CASE WHEN account_name = 'Account  Details' THEN 'not reported' ELSE account_name END AS account_name, {norm_number('account_number')} AS nk FROM fx_raw_account),
+    e AS (SELECT *, row_number() OVER (PARTITION BY report_id, account_name, nk, date_opened, date_reported, lower(coalesce(balance, '')), lower(coalesce(status, '')) ORDER BY ord) AS rn FROM n WHERE account_name <> 'not reported' OR nk <> 'not reported'),
+    inv AS (SELECT DISTINCT report_id, account_name, nk FROM n WHERE source = 'structured' AND nk <> 'not reported'),
+    d AS (SELECT * FROM e WHERE rn = 1 AND (nk = 'not reported' OR NOT EXISTS (SELECT 1 FROM n s WHERE s.report_id = e.report_id AND s.source = 'structured')
+          OR EXISTS (SELECT 1 FROM inv i WHERE i.report_id = e.report_id AND i.account_name = e.account_name AND i.nk = e.nk)))
     SELECT report_id, lower(account_name) AS name_key, nk AS number_key, min(ord) AS ord, CAST(count(*) AS int) AS n_merged FROM d WHERE nk <> 'not reported' GROUP BY ALL
     UNION ALL SELECT report_id, lower(account_name), nk, ord, 1 FROM d WHERE nk = 'not reported' AND NOT EXISTS (
-      SELECT 1 FROM d n WHERE n.report_id = d.report_id AND n.account_name = d.account_name AND n.nk <> 'not reported')""".replace("WITH e", "SELECT * FROM (WITH e", 1) + ")")
+      SELECT 1 FROM d n WHERE n.report_id = d.report_id AND n.account_name = d.account_name AND n.nk <> 'not reported')
+      AND NOT EXISTS (SELECT 1 FROM inv i WHERE i.report_id = d.report_id AND i.account_name = d.account_name)""".replace("WITH n", "SELECT * FROM (WITH n", 1) + ")")
 def m1(b):
     return k.dedup_accounts(b.view("fx_raw_account"), ["balance", "status"]).select("report_id", "name_key", "number_key", "ord", "n_merged")
 
@@ -132,8 +137,8 @@ def m8(b):
     return k.match_accounts(b.sql(VIEW_SIDE).selectExpr("*", "array(pg) AS pages"), b.sql(MAPPED).selectExpr("*", "array(mpg) AS mapped_pages"))
 
 
-LINK_ACCOUNTS = ("SELECT report_id, k AS ord, name, number, coalesce(status, '') AS active_text, coalesce(legal_category, '') AS legal_category, "
-                 "name || ' ' || coalesce(status, '') AS context FROM fx_account")
+LINK_ACCOUNTS = ("SELECT a.report_id, a.k AS ord, name, number, coalesce(a.status, '') AS own_status, coalesce(h.first_code, '') AS first_code, coalesce(h.some_ok, '') AS some_ok, coalesce(legal_category, '') AS legal_category, "
+                 "name || ' ' || coalesce(a.status, '') AS context FROM fx_account a LEFT JOIN (SELECT k, min(status) AS first_code, max(CASE WHEN status = 'OK' THEN 'OK' ELSE '' END) AS some_ok FROM fx_hist GROUP BY k) h ON h.k = a.k")
 FLAT = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 DIGITS = "right(regexp_replace({0}, '[^0-9]', '', 'g'), 4)"
 LINKED = f"""SELECT i.*, (SELECT min(a.ord) FROM ({LINK_ACCOUNTS}) a WHERE a.report_id = i.report_id AND (
@@ -233,9 +238,10 @@ def p5(b):
 
 
 @query("p6_indicator_account_conflict", f"""SELECT x.report_id, x.ind_ord, x.account_ord FROM ({LINKED}) x JOIN ({LINK_ACCOUNTS}) a ON a.report_id = x.report_id AND a.ord = x.account_ord
-    WHERE (x.category = 'bankruptcy') AND regexp_matches(lower(a.active_text), 'current|open|ok') AND a.legal_category <> 'bankruptcy' AND lower(a.context) NOT LIKE '%bankruptcy%'""")
+    WHERE (x.category = 'bankruptcy') AND regexp_matches(lower(a.own_status || ' ' || a.first_code || ' ' || a.some_ok), 'current|open|paid as agreed|ok') AND a.legal_category <> 'bankruptcy' AND lower(a.context) NOT LIKE '%bankruptcy%'""")
 def p6(b):
-    return r.indicator_account_conflicts(b.indicators(), b.sql(LINK_ACCOUNTS)).select("report_id", "ind_ord", "account_ord")
+    accounts = b.sql(LINK_ACCOUNTS).selectExpr("*", "array(own_status) AS statuses", "array(first_code, some_ok) AS history")
+    return r.indicator_account_conflicts(b.indicators(), accounts).select("report_id", "ind_ord", "account_ord")
 
 
 def people(b):

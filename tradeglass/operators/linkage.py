@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tradeglass import vocab
 from tradeglass.functions.text import (
     account_number_key, add, canonical_subscriber, first_meaningful, identity_key, is_missing, match_text, norm_text,
-    number_tail, solid_tail,
+    number_tail, rx, solid_tail,
 )
 from tradeglass.operators.skew import contains_join, grouped_rank, salted_join
 
@@ -44,14 +44,23 @@ def merge_records(df: DataFrame, key: list[str], fields: list[str]) -> DataFrame
 
 
 def dedup_accounts(accounts: DataFrame, fields: list[str]) -> DataFrame:
-    """Drop exact repeats, merge by (name, canonical number), drop unnumbered twins of numbered names."""
-    exact = keep_first(accounts, {
-        "k_report": "report_id", "k_name": match_text("account_name"), "k_number": account_number_key("account_number"),
-        **{f"k_{f}": match_text(f) for f in ("date_opened", "balance", "status")}})
-    keyed = add(exact, {"name_key": match_text("account_name"), "number_key": account_number_key("account_number")})
-    numbered = keyed.where("number_key <> 'not reported'")
+    """Drop exact repeats, merge by (name, canonical number), drop unnumbered twins of numbered names.
+
+    source tells accounts of a structured inventory from those found in text. Where a report has an inventory, a
+    numbered account found in text counts only if the inventory has its name and number. Headings are no names,
+    and a row with neither name nor number is no account.
+    """
+    heading = f"({norm_text('account_name')} = '' OR {norm_text('account_name')} RLIKE {rx(vocab.NOT_A_NAME)})"
+    named = add(accounts, {"name_key": f"if({heading}, 'not reported', {match_text('account_name')})", "number_key": account_number_key("account_number")})
+    named = named.where("name_key <> 'not reported' OR number_key <> 'not reported'")
+    keyed = keep_first(named, {"k_report": "report_id", "k_name": "name_key", "k_number": "number_key",
+                               **{f"k_{f}": match_text(f) for f in ("date_opened", "date_reported", "balance", "status")}})
+    inventory = accounts.where("source = 'structured'").select("report_id").distinct().withColumn("has_inventory", F.lit(True))
+    held = named.where("source = 'structured' AND number_key <> 'not reported'").select("report_id", "name_key", "number_key").distinct()
+    numbered = keyed.where("number_key <> 'not reported'").join(inventory, "report_id", "left").join(
+        held.withColumn("is_held", F.lit(True)), ["report_id", "name_key", "number_key"], "left").where("has_inventory IS NULL OR is_held")
     merged = merge_records(numbered, ["report_id", "name_key", "number_key"], fields)
-    names = numbered.select("report_id", "name_key").distinct()
+    names = numbered.select("report_id", "name_key").unionByName(held.select("report_id", "name_key")).distinct()
     alone = keyed.where("number_key = 'not reported'").join(names, ["report_id", "name_key"], "left_anti")
     return merged.unionByName(alone.selectExpr(
         "report_id", "name_key", "number_key", "ord", "1 AS n_merged", *fields))

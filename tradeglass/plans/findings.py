@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tradeglass import vocab
 from tradeglass.functions.text import add, lookup, norm_text, one_of
 from tradeglass.operators.history import KEY
-from tradeglass.operators.skew import grouped_rank
+from tradeglass.operators.skew import grouped_rank, salted_join
 
 CATEGORY_ORDER = {c: i for i, c in enumerate(vocab.CATALOG_CATEGORY_ORDER)}
 
@@ -28,9 +28,26 @@ def with_selection(findings: DataFrame) -> DataFrame:
         "selected": "coalesce(explicit, selection_basis NOT IN ('strategy_demoted', 'positive_account'))"})
 
 
-def account_findings(outcomes: DataFrame) -> DataFrame:
-    """Triggered outcomes as findings with an id and their defaults."""
-    rows = outcomes.where("status = 'triggered'").selectExpr(
+#: The layout that prints adverse accounts in a section of their own.
+ADVERSE_LAYOUT = "transunion_acr_v1"
+
+
+def with_posture(accounts: DataFrame, adverse: DataFrame) -> DataFrame:
+    """accounts (report_id, profile_id, negative, source_pages) with posture: negative by fields or, in one layout, by standing on an adverse page.
+
+    adverse: report_id, adverse_pages, one row per report.
+    """
+    joined = salted_join(accounts, adverse, ["report_id"], "entity_key")
+    on_adverse = f"profile_id = '{ADVERSE_LAYOUT}' AND coalesce(arrays_overlap(filter(source_pages, p -> p > 0), adverse_pages), false)"
+    return add(joined, {"posture": f"if(coalesce(negative, false) OR ({on_adverse}), 'negative', 'positive')"}).drop("adverse_pages")
+
+
+def account_findings(outcomes: DataFrame, adverse: DataFrame | None = None) -> DataFrame:
+    """Triggered outcomes as findings with an id and their defaults, which go by posture where adverse pages are given."""
+    chosen = outcomes.where("status = 'triggered'")
+    if adverse is not None:
+        chosen = with_posture(chosen, adverse).withColumn("negative", F.col("posture") == "negative")
+    rows = chosen.selectExpr(
         *KEY, "'account' AS entity_type", "rule_id", "issue_type", "category", "severity", "negative",
         "cast(NULL AS boolean) AS explicit", "concat(issue_type, ':', entity_key) AS finding_id")
     return with_selection(rows)

@@ -50,12 +50,13 @@ def incomplete_indicators(indicators: DataFrame) -> DataFrame:
 def indicator_account_conflicts(indicators: DataFrame, accounts: DataFrame) -> DataFrame:
     """Bankruptcy-like indicators whose linked account looks current or active without bankruptcy context.
 
-    accounts: report_id, ord, name, number, active_text, context, legal_category.
+    accounts: report_id, ord, name, number, statuses and history (arrays of texts: every status field the account has, and
+    its printed months), context, legal_category.
     """
     text = joined("code", "description", "category", "linked_name", "linked_number")
     linked = link_indicators(indicators.where(contains_any(text, vocab.BANKRUPTCY_WORDS)), accounts)
     state = accounts.selectExpr(
-        "report_id", "ord AS account_ord", f"{contains_any(match_text('active_text'), vocab.ACTIVE_WORDS)} AS active",
+        "report_id", "ord AS account_ord", f"{contains_any(match_text("concat_ws(' ', statuses, history)"), vocab.ACTIVE_WORDS)} AS active",
         f"({contains_any(match_text('context'), vocab.BANKRUPTCY_WORDS)} OR contains({match_text('legal_category')}, 'bankruptcy')) AS bankrupt")
     return linked.join(state, ["report_id", "account_ord"]).where("active AND NOT bankrupt")
 

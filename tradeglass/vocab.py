@@ -67,6 +67,8 @@ NON_STUDENT_WORDS = ["auto loan", "auto", "lease", "mortgage", "credit card", "c
                      "debt buyer", "factoring"]
 RESPONSIBILITY_WORDS = ["joint", "authorized user", "authorized", "co-borrower", "co signer", "cosigner"]
 CLOSED_WORDS = ["closed", "paid and closed", "closed or paid"]
+#: A heading that the text reader can take for an account's name.
+NOT_A_NAME = r"(?i)^(?:summary|account details|\[|\]|not reported|\d+\.\s*(?:revolving|mortgage|installment|other)\s+accounts?)$"
 ACTIVE_WORDS = ["current", "open", "paid as agreed", "ok"]
 CORPORATE_SUFFIXES = ["bank", "na", "n a", "usa", "us", "llc", "inc", "corp", "corporation", "company",
                       "co", "financial", "finance", "svc", "svcs", "services", "service", "trust",
