@@ -29,16 +29,18 @@ def connected(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return labels
 
 
-def cells(members: DataFrame, keys: list[str], node: str, block: int) -> DataFrame:
+def cells(members: DataFrame, keys: list[str], node: str, block: int, weight: str | None = None, most: int = 1) -> DataFrame:
     """Members of buckets of two or more, dealt to cells of at most about two blocks.
 
-    A bucket of n members has ceil(n / block) blocks, and a cell for each pair of blocks, so each pair of
-    members meets in one cell. Adds cell (a digest of bucket and pair), mine (the member's block), and
-    low and high (the cell's blocks; equal in a cell of one block). Nothing is dropped.
+    A bucket of n members has ceil(n / block) blocks (or more, so that a block weighs about `most`), and a cell for
+    each pair of blocks, so each pair of members meets in one cell. Adds cell (a digest of bucket and
+    pair), mine (the member's block), and low and high (the cell's blocks; equal in a cell of one block).
+    Nothing is dropped.
     """
-    sizes = members.groupBy(*keys).agg(F.count("*").alias("bucket_size")).where("bucket_size > 1")
-    blocks: Column = F.ceil(F.col("bucket_size") / block).cast("int")
+    heavy = F.sum(weight) / most if weight else F.lit(0.0)
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("bucket_size"), heavy.alias("bucket_weight")).where("bucket_size > 1")
+    blocks: Column = F.least(F.col("bucket_size"), F.ceil(F.greatest(F.col("bucket_size") / block, F.col("bucket_weight")))).cast("int")
     dealt = members.join(sizes, keys).withColumn("mine", F.pmod(F.xxhash64(node), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return (dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-            .withColumn("cell", F.xxhash64(*keys, "low", "high")).drop("other", "bucket_size"))
+            .withColumn("cell", F.xxhash64(*keys, "low", "high")).drop("other", "bucket_size", "bucket_weight"))

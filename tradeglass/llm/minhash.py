@@ -12,8 +12,11 @@ Bands of at most ROWS coordinates name buckets, as many as the asked similarity
 5 at 0.80). Documents with equal sets are one node. Within a bucket
 (cut into cells of bounded blocks) the sketches estimate the similarity of pairs whose nodes are not yet
 joined; each component names its best partners, those pairs are confirmed on full sets, and confirmed
-links are joined into components. The number of partners grows by rounds, and the last round takes every pair
-left, so no pair above the estimate's bound goes unconfirmed while its nodes are apart.
+links are joined into components. The number of partners grows by rounds. In the last round the texts of
+all nodes that still have such a partner go to their cells, where every pair left is compared, likeliest
+first, while its nodes are apart; a cell gives out only links that join, fewer than it has nodes. So
+no pair above the estimate's bound goes unconfirmed while its nodes are apart, and no list of pairs
+grows with the square of a group.
 
 Miss probability at the asked similarity: 3e-7 for the bands, about 1e-5 for the estimate's bound (4.3
 standard deviations), both per link and only where no other link joins the two nodes.
@@ -41,8 +44,10 @@ from tradeglass.llm.words import mix, ranges, words_of
 from tradeglass.session import stored
 
 SHINGLE, COORDINATES, ROWS, MISSED, BLOCK, PERCENT = 5, 256, 6, 3e-7, 1024, 85
-#: Best partners a node names in a cell, by round; the last round names all.
-PARTNERS = (1, 8, None)
+#: Best partners a node names in a cell, by round; the last round compares all pairs in their cells.
+PARTNERS = (1, 8)
+#: Shingles of a block in the last round, where cells hold texts.
+BLOCK_SHINGLES = 2_000_000
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, (2 * COORDINATES + SHINGLE,), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -115,6 +120,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _PAIRS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("cell", pa.int64())])
+_ENDS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def least_equal(percent: int) -> int:
@@ -133,10 +139,8 @@ def banding(percent: int) -> tuple[int, int]:
     return COORDINATES, 1
 
 
-def _best(ends: list[np.ndarray], cell: np.ndarray, equal: np.ndarray, k: int | None) -> np.ndarray:
+def _best(ends: list[np.ndarray], cell: np.ndarray, equal: np.ndarray, k: int) -> np.ndarray:
     """Places of the pairs among the k best of either end (an end of -1 names none)."""
-    if k is None:
-        return np.arange(len(equal))
     chosen = []
     for end in ends:
         order = np.lexsort((-equal, end, cell))
@@ -149,50 +153,108 @@ def _best(ends: list[np.ndarray], cell: np.ndarray, equal: np.ndarray, k: int |
     return np.unique(np.concatenate(chosen))
 
 
-def _candidates(k: int | None, percent: int):
-    """Pairs worth confirming of sorted rows (cell, mine, low, high, band, node, label, sketch).
+def _near(table: pa.Table, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs worth confirming within the cells of a table, and their equal coordinates.
 
-    A pair counts in the first band that its two nodes share. The k best pairs of a label are named by
-    the labels other than the cell's largest: one end of every pair is such a label.
+    A pair counts in the first band that its two nodes share, and only while their labels differ.
     """
     least, (n_bands, n_rows) = least_equal(percent), banding(percent)
+    label, band, mine, low, high = (table.column(c).to_numpy() for c in ("label", "band", "mine", "low", "high"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    none = np.zeros(0, np.int64)
+    found, small = [(none, none, none)], []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if low[a] == high[a] and b - a <= 32:
+            i, j = np.triu_indices(b - a, 1)
+            small.append((a + i, a + j))
+            continue
+        left, right = a + np.flatnonzero(mine[a:b] == low[a]), a + np.flatnonzero(mine[a:b] == high[a])
+        found.append(_across(left, right, sketch, label, low[a] == high[a], least))
+    if small:
+        u, v = (np.concatenate(x) for x in zip(*small, strict=True))
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+        equal = np.concatenate([(sketch[u[i:i + 8192]] == sketch[v[i:i + 8192]]).sum(1) for i in range(0, len(u), 8192)] or [none])
+        keep = equal >= least
+        found.append((u[keep], v[keep], equal[keep]))
+    u, v, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+    bands = sketch[:, :n_bands * n_rows].reshape(-1, n_bands, n_rows)
+    shared = np.concatenate([(bands[u[i:i + 8192]] == bands[v[i:i + 8192]]).all(2).argmax(1) for i in range(0, len(u), 8192)] or [none])
+    first = shared == band[u]
+    return u[first], v[first], equal[first]
+
+
+def _candidates(k: int, percent: int):
+    """Pairs worth confirming of sorted rows (cell, mine, low, high, band, node, label, sketch).
 
+    The k best pairs of a label are named by the labels other than the cell's largest: one end of every
+    pair is such a label.
+    """
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in by_cell(batches, "cell"):
-            node, label, cell, band = (table.column(c).to_numpy() for c in ("node", "label", "cell", "band"))
-            mine, low, high = (table.column(c).to_numpy() for c in ("mine", "low", "high"))
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            named = np.unique(label, return_inverse=True)[1]
-            found, small = [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if low[a] == high[a] and b - a <= 32:
-                    i, j = np.triu_indices(b - a, 1)
-                    small.append((a + i, a + j))
-                    continue
-                left, right = a + np.flatnonzero(mine[a:b] == low[a]), a + np.flatnonzero(mine[a:b] == high[a])
-                found.append(_across(left, right, sketch, label, low[a] == high[a], least))
-                own, counts = np.unique(named[a:b], return_counts=True)
-                if counts.max() > 1:
-                    named[a:b][named[a:b] == own[counts.argmax()]] = -1
-            if small:
-                u, v = (np.concatenate(x) for x in zip(*small, strict=True))
-                apart = label[u] != label[v]
-                u, v = u[apart], v[apart]
-                equal = np.concatenate([(sketch[u[i:i + 8192]] == sketch[v[i:i + 8192]]).sum(1) for i in range(0, len(u), 8192)] or [np.zeros(0, int)])
-                keep = equal >= least
-                found.append((u[keep], v[keep], equal[keep]))
-            u, v, equal = (np.concatenate(x) for x in zip(*found, strict=True))
+            u, v, equal = _near(table, bounds, percent)
             if len(u):
-                bands = sketch[:, :n_bands * n_rows].reshape(-1, n_bands, n_rows)
-                shared = np.concatenate([(bands[u[i:i + 8192]] == bands[v[i:i + 8192]]).all(2).argmax(1) for i in range(0, len(u), 8192)])
-                first = shared == band[u]
-                u, v, equal = u[first], v[first], equal[first]
+                node, cell = table.column("node").to_numpy(), table.column("cell").to_numpy()
+                named = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    if b - a > 32:
+                        own, counts = np.unique(named[a:b], return_counts=True)
+                        if counts.max() > 1:
+                            named[a:b][named[a:b] == own[counts.argmax()]] = -1
                 best = _best([named[u], named[v]], cell[u], equal, k)
                 u, v = u[best], v[best]
                 yield emit(_PAIRS, np.minimum(node[u], node[v]), np.maximum(node[u], node[v]), cell[u])
     return pairs
 
 
+_OPEN = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
+
+
+def _undecided(percent: int):
+    """(cell, node) of the nodes with a pair worth confirming in a cell, of rows as in _candidates."""
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in by_cell(batches, "cell"):
+            u, v, _ = _near(table, bounds, percent)
+            if len(u):
+                at = np.unique(np.concatenate([u, v]))
+                yield emit(_OPEN, table.column("cell").to_numpy()[at], table.column("node").to_numpy()[at])
+    return nodes
+
+
+def _joining(percent: int):
+    """Links (u, v) that join labels of a cell, of rows as in _candidates with texts (several where a node has several)."""
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in by_cell(batches, "cell"):
+            u, v, equal = _near(table, bounds, percent)
+            node, label = table.column("node").to_numpy(), table.column("label").to_numpy().tolist()
+            cell, root, sets, out = table.column("cell").to_numpy(), {}, {}, []
+            texts = table.column("text")
+
+            def found(name: tuple[int, int]) -> tuple[int, int]:
+                while (above := root.get(name, name)) != name:
+                    root[name] = root.get(above, above)
+                    name = above
+                return name
+
+            def own(at: int) -> np.ndarray:
+                if at not in sets:
+                    sets[at], = shingle_sets(texts.slice(at, 1).combine_chunks())
+                return sets[at]
+
+            last = None
+            for i in np.lexsort((-equal, cell[u])).tolist():
+                a, b = int(u[i]), int(v[i])
+                if cell[a] != last:
+                    last, sets = cell[a], {}
+                one, two = found((last, label[a])), found((last, label[b]))
+                if one != two and _similar(own(a), own(b), percent):
+                    root[one] = two
+                    out.append((node[a], node[b]))
+            if out:
+                yield emit(_ENDS, *zip(*out, strict=True))
+    return links
+
+
 def _across(left: np.ndarray, right: np.ndarray, sketch: np.ndarray, label: np.ndarray, same: bool, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of different labels whose sketches are near enough, and their equal coordinates."""
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
@@ -247,10 +309,11 @@ def _marked(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     rows = stored(narrow.mapInArrow(_sketched, "doc_id long, n_shingles long, set_key binary, sketch binary"), "sketches")
     # a set is one node, named by its smallest doc_id, or by its key where no row has one or other sets have the same
     by_key = -1 - F.abs(F.xxhash64("set_key") % F.lit(1 << 61))
-    sets = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("low_id"), F.min("sketch").alias("sketch")), "sets")
+    sets = stored(rows.where("n_shingles > 0").groupBy("set_key").agg(
+        F.min("doc_id").alias("low_id"), F.min("sketch").alias("sketch"), F.min("n_shingles").alias("n_shingles")), "sets")
     shared = stored(sets.where("low_id IS NOT NULL").groupBy("low_id").count().where("count > 1").select(F.col("low_id").alias("shared_id")), "shared")
     sets = sets.join(shared, F.col("low_id") == F.col("shared_id"), "left").select(
-        "set_key", "low_id", "sketch", F.when(F.col("low_id").isNull() | F.col("shared_id").isNotNull(), by_key).otherwise(F.col("low_id")).alias("node"))
+        "set_key", "low_id", "sketch", "n_shingles", F.when(F.col("low_id").isNull() | F.col("shared_id").isNotNull(), by_key).otherwise(F.col("low_id")).alias("node"))
 
     n_bands, n_rows = banding(percent)
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda b: F.xxhash64(b, F.substring("sketch", b * n_rows + 1, F.lit(n_rows)))))
@@ -264,20 +327,26 @@ def _marked(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     open_members = members
     texts = None
     refuted = None
-    for k in PARTNERS:
+    one = sets.select("node", "sketch")
+    in_cells = ["cell", "mine", "low", "high", "band", "node", "label", "sketch"]
+
+    def still_open() -> DataFrame:
+        """The rows of buckets whose nodes have different labels."""
         labelled = open_members.join(labels, "node")
         mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band", "key")
-        labelled = stored(labelled.join(mixed, ["band", "key"]), "open")
+        return stored(labelled.join(mixed, ["band", "key"]), "open")
+
+    for k in PARTNERS:
+        labelled = still_open()
         open_members = labelled.select("band", "key", "node")
-        one = sets.select("node", "sketch")
-        dealt = cells(labelled, ["band", "key"], "node", BLOCK).join(one, "node").select("cell", "mine", "low", "high", "band", "node", "label", "sketch")
+        dealt = cells(labelled, ["band", "key"], "node", BLOCK).join(one, "node").select(*in_cells)
         found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_candidates(k, percent), "u long, v long, cell long")
         pairs = stored(found.groupBy("u", "v").agg(F.min("cell").alias("cell")), "pairs")
         if pairs.isEmpty():
             break
         if refuted is not None:
             pairs = stored(pairs.join(refuted, ["u", "v"], "left_anti"), "pairs")
-            if pairs.isEmpty():  # a later round names partners beyond these
+            if pairs.isEmpty():  # the last round compares all beyond these
                 continue
         if texts is None:  # every node that any later round can name has named its best partner now
             named = stored(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "named")
@@ -289,6 +358,14 @@ def _marked(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
         no = checked.where("not linked").select("u", "v")
         refuted = no if refuted is None else refuted.unionByName(no)
         labels = _joined(labels, checked.where("linked").select("u", "v"))
+    else:
+        sizes = sets.select("node", "n_shingles")
+        dealt = stored(cells(still_open().join(sizes, "node"), ["band", "key"], "node", BLOCK, "n_shingles", BLOCK_SHINGLES).join(one, "node").select(*in_cells), "dealt")
+        left = stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_undecided(percent), "cell long, node long"), "undecided")
+        if not left.isEmpty():
+            bodies = dealt.join(left, ["cell", "node"]).join(texts, "node").select(*in_cells, "text")
+            links = stored(bodies.repartition("cell").sortWithinPartitions("cell").mapInArrow(_joining(percent), "u long, v long"), "links")
+            labels = _joined(labels, links)
 
     joined = sets.join(labels, "node", "left").select("set_key", "low_id", F.coalesce("label", "node").alias("label"))
     smallest = joined.groupBy("label").agg(F.min("low_id").alias("component_id"))
