@@ -6,11 +6,12 @@ LANDMARKS texts span a Nystroem feature space, in which one-versus-rest kernel r
 solved. Scoring a batch is two matrix products: presence rows with landmark rows, kernel rows with the
 solved weights.
 
-Only the fit uses a sample, SAMPLE rows at most, shared evenly among the languages and chosen by a hash
-of doc_id: every other row, whatever its size, is only scored. A prediction sees the text alone.
+Only the fit uses a sample, SAMPLE rows at most, shared evenly among the languages (LANGUAGE_ROWS of one at
+most, which Spark keeps per task before any row is shuffled) and chosen by a hash of doc_id: every other
+row, whatever its size, is only scored. A prediction sees the text alone.
 
 Odd inputs: a null text, or one without any letter, gets `und` with score 0; so does every text when no
-row has a language to learn from. Rows without doc_id are not learned from. Repeated rows, ties and
+row has a language to learn from. Such texts and rows without doc_id are not learned from. Repeated rows, ties and
 extra columns change nothing; an empty table gives no rows.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from tradeglass.llm.pieces import _folded
 from tradeglass.llm.words import chunks
 
-FEATURES, LANDMARKS, SAMPLE, RIDGE, ROWS_AT_ONCE = 1 << 14, 128, 4096, 1e-3, 64
+FEATURES, LANDMARKS, SAMPLE, LANGUAGE_ROWS, RIDGE, ROWS_AT_ONCE = 1 << 14, 128, 4096, 1000, 1e-3, 64
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -64,7 +65,7 @@ class Model:
     weights: np.ndarray
 
     def scores(self, rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        sizes = np.sqrt(np.maximum(1, rows.sum(1)))[:, None] * np.sqrt(marks.sum(1))[None, :]
+        sizes = np.sqrt(np.maximum(1, rows.sum(1)))[:, None] * np.sqrt(np.maximum(1, marks.sum(1)))[None, :]
         kernel = rows @ marks.T / sizes
         return np.concatenate([kernel, np.ones((len(kernel), 1), np.float32)], axis=1) @ self.weights
 
@@ -99,12 +100,12 @@ def solve(bits: np.ndarray, names: list[str]) -> Model:
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model from a bounded sample of the rows with text and language; None where there are none."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    named = rows.where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    named = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     kinds = named.select("lang").distinct().count()
     if not kinds:
         return None
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, SAMPLE // kinds))
+    picked = named.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, min(LANGUAGE_ROWS, SAMPLE // kinds)))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
