@@ -113,25 +113,44 @@ def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
             .drop("_part", "_place", "_begin"))
 
 
-def assign(docs: DataFrame, dims: list[str], doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, curve, law, shard, slot, grown_shard of every row."""
+def _placed(docs: DataFrame, dims: list[str], doc_id: str, text: str, carried: list[Column]) -> DataFrame:
+    """Rows with size, text_crc32, curve, shard (0 to SHARDS - 1 of `shards`), rank and total, and what is carried along."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"),
                          F.crc32(whole).alias("text_crc32"),
-                         *[F.col(d).alias(f"_dim{i}") for i, d in enumerate(dims)])
+                         *[F.col(d).alias(f"_dim{i}") for i, d in enumerate(dims)], *carried)
     narrow = numbered(narrow, [f"_dim{i}" for i in range(len(dims))])
     axes = {f"_dim{i}": F.col(f"_dim{i}") for i in range(len(dims))} | {"size": F.col("size").cast("double")}
     steps = quantised(narrow, axes)
     placed = narrow.withColumns({f"_step{i}": s for i, s in enumerate(steps.values())})
-    curve = placed.select("doc_id", "size", "text_crc32", curve_index([F.col(f"_step{i}") for i in range(len(steps))]).alias("curve"))
-    rows = ranked(curve, ["curve", "text_crc32", "size", "doc_id"])
-    shard = F.expr(f"(rank * {shards}) div total")
-    return rows.withColumn("shard", shard).select(
+    curve = placed.select("doc_id", "size", "text_crc32", curve_index([F.col(f"_step{i}") for i in range(len(steps))]).alias("curve"),
+                          *(["_row"] if carried else []))
+    return ranked(curve, ["curve", "text_crc32", "size", "doc_id"])
+
+
+def assign(docs: DataFrame, dims: list[str], doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, curve, law, shard, slot, grown_shard of every row."""
+    rows = _placed(docs, dims, doc_id, text, [])
+    return rows.withColumn("shard", F.expr(f"(rank * {shards}) div total")).select(
         "doc_id", "size", "text_crc32", "curve", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.expr(f"rank - (shard * total + {shards - 1}) div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Write docs in curve order, one folder per shard, so that file statistics cover short ranges."""
-    keys = assigned.select(F.col("doc_id").alias(doc_id), "shard", "slot").dropDuplicates([doc_id])
-    docs.join(keys, doc_id).repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, dims: list[str], path: str, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> None:
+    """Write all rows of docs in curve order, one folder _shard=k per shard, so that file statistics cover short ranges.
+
+    The rows travel whole through the ranking, so rows without doc_id, or that repeat one, are written too,
+    and every column keeps its name.
+    """
+    rows = _placed(docs, dims, doc_id, text, [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")])
+    laid = rows.select("_row", "rank", F.expr(f"cast((rank * {shards}) div total AS int)").alias("_shard"))
+    laid = laid.repartitionByRange("_shard", "rank").sortWithinPartitions("_shard", "rank")
+    laid.select("_row.*", F.col("_shard").alias(_free("_shard", docs.columns))).write.partitionBy(_free("_shard", docs.columns)).parquet(path)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """The name, with as many further underscores as it takes not to be taken."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
