@@ -163,6 +163,24 @@ def _ordered(root: Node) -> list[Node]:
     return found
 
 
+def _open_forms(root: Node) -> None:
+    """A form with more text than the page has outside it, or around the page's article or main, is a plain container."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [p for p in node.parts if isinstance(p, Node) and (p.tag == "form" or p.tag not in NEVER)]
+    chars, holds = {}, {}
+    for node in reversed(order):
+        own = [p for p in node.parts if isinstance(p, Node) and id(p) in chars]
+        chars[id(node)] = sum(len(" ".join(p.split())) for p in node.parts if isinstance(p, str)) + sum(chars[id(p)] for p in own)
+        holds[id(node)] = node.tag in ("article", "main") or any(holds[id(p)] for p in own)
+    for node in order:
+        if node.tag == "form" and (2 * chars[id(node)] > chars[id(root)] or holds[id(node)] and not node.parent.off):
+            node.off = False
+            node.tag = "div"
+
+
 def _spare(root: Node) -> None:
     """Put back elements that were ruled out by role or style but hold the page's article or main."""
     def inside(node: Node, tags: tuple[str, ...]) -> bool:
@@ -177,6 +195,7 @@ def _spare(root: Node) -> None:
                         todo.append(p)
         return False
 
+    _open_forms(root)
     todo = [root]
     within: dict[int, bool] = {id(root): False}
     while todo:
