@@ -167,8 +167,8 @@ def shingles(text):
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def components(sets, names):
-    """Smallest name reachable by links of 0.85 or more."""
+def components(sets, names, percent=85):
+    """Smallest name reachable by links of that similarity or more."""
     up = list(range(len(sets)))
 
     def top(i):
@@ -177,7 +177,7 @@ def components(sets, names):
         return i
     for i, j in itertools.combinations(range(len(sets)), 2):
         both = len(sets[i] & sets[j])
-        if sets[i] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+        if sets[i] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
             up[max(top(i), top(j))] = min(top(i), top(j))
     low = {}
     for i, n in enumerate(names):
@@ -205,6 +205,25 @@ def near():
     return [texts[i] for i in rng.permutation(len(texts))]
 
 
+@pytest.mark.parametrize("partners", [(1,), (1, 8)])
+def test_last_round_compares_all_that_is_left(spark, monkeypatch, partners):
+    """Two dense groups that are apart everywhere but for one pair, and a group whose members are all just under the threshold."""
+    rng = np.random.default_rng(21)
+    base = [f"v{x}" for x in range(200)]
+    apart = lambda at, name: [f"{name}{i}" if i in at else w for i, w in enumerate(base)]
+    texts = [" ".join(apart({5 * int(x) + 2 for x in rng.choice(38, 6, replace=False)}, f"t{k}_")) for k in range(60)]
+    one, two = apart(range(8, 14), "one"), apart(range(100, 106), "two")
+    for k in range(40):
+        texts.append(" ".join([*one[:150], *(f"x{k}_{i}" if i == k else w for i, w in enumerate(one[150:]))]))
+        texts.append(" ".join([*two[:150], *(f"y{k}_{i}" if i == k else w for i, w in enumerate(two[150:]))]))
+    monkeypatch.setattr(minhash, "PARTNERS", partners)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 2000)
+    sets = [shingles(t) for t in texts]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = components(sets, range(len(texts)))
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 10
+
+
 def test_near_duplicates(spark, near, odd, empty):
     docs = spark.createDataFrame(list(enumerate(near)), "doc_id long, text string")
     got = {r.doc_id: r for r in minhash.near_duplicates(docs).collect()}
@@ -246,12 +265,12 @@ def test_last_round_runs_when_named_pairs_are_refuted(spark, monkeypatch):
     real = minhash._candidates
 
     def nearest(k, percent):
-        found = real(None, percent)
+        found = real(1000, percent)
 
         def pairs(batches):
             for batch in found(batches):
                 yield batch.filter(pa.array([u > 0 or v > 1 for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True)], pa.bool_()))
-        return pairs if k else found
+        return pairs
 
     monkeypatch.setattr(minhash, "_candidates", nearest)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -379,6 +398,38 @@ def test_language(spark, odd, empty):
     assert {r.lang_pred for r in langid.detect(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_empty_labelled_texts_teach_nothing(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(rng.choice([*("abcd" if i % 2 else "wxyz")], 5)) for _ in range(8)), "ab" if i % 2 else "wz") for i in range(100)]
+    empties = [(-1 - i, t, "ab") for i, t in enumerate(["", " ", "12 .", "", None])]
+    docs = spark.createDataFrame([*empties, *rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in docs.select("doc_id", langid.predict(F.col("text"), langid.fit(docs)).alias("p")).collect()}
+    assert all(got[i].p.lang_pred == k and 0 <= got[i].p.score <= 1 for i, _, k in rows)
+    assert all(got[i].p.lang_pred == "und" and got[i].p.score == 0 for i, _, _ in empties)
+    bits = np.packbits(np.concatenate([x > 0 for _, x in langid.presence(pa.array(["", *(t for _, t, _ in rows)]))]), axis=1)
+    model = langid.solve(bits, ["ab", *(k for _, _, k in rows)])
+    (_, some), = langid.presence(pa.array([rows[0][1], ""]))
+    assert np.isfinite(model.scores(some, np.unpackbits(model.landmarks, axis=1).astype(np.float32))).all()
+
+
+def test_language_scores_are_those_of_dense_kernel_ridge_regression():
+    """With every text a landmark the solution is the dense one of (K + ridge / share) alpha + bias = target, sum(alpha) = 0."""
+    rng = np.random.default_rng(8)
+    names = [["xx", "yy", "zz"][i % 3] for i in range(100)]
+    texts = [" ".join("".join(rng.choice([*{"xx": "abcde", "yy": "defgh", "zz": "cdefx"}[k]], 4)) for _ in range(6)) for k in names]
+    rows = np.concatenate([x for _, x in langid.presence(pa.array(texts))]).astype(np.float64)
+    model = langid.solve(np.packbits(rows > 0, axis=1), names)
+    size = np.sqrt(rows.sum(1))
+    kernel = rows @ rows.T / size[:, None] / size[None, :]
+    share = np.array([1 / names.count(k) for k in names])
+    system = np.block([[kernel + langid.RIDGE * np.diag(1 / share), np.ones((100, 1))], [np.ones((1, 100)), np.zeros((1, 1))]])
+    target = np.array([[1.0 if k == x else -1.0 for x in model.languages] for k in names])
+    dense = np.linalg.solve(system, np.concatenate([target, np.zeros((1, 3))]))
+    want = kernel @ dense[:-1] + dense[-1]
+    got = model.scores(rows.astype(np.float32), np.unpackbits(model.landmarks, axis=1).astype(np.float32))
+    assert np.abs(got - want).max() < 0.02 and (got.argmax(1) == want.argmax(1)).mean() > 0.97
+
+
 def test_kernel_counts_common_ngrams():
     (_, rows), = langid.presence(pa.array(["abc", "xbcd", "", None]))
     grams = lambda t: {t[i:i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
@@ -408,8 +459,13 @@ def test_hilbert_shards(spark, odd, empty, near, tmp_path):
         assert [r.curve for r in order] == sorted(r.curve for r in got)
     assert hilbert.assign(empty, ["source", "lang"]).count() == 0
     docs = spark.createDataFrame(rows_of(near), SCHEMA)
-    hilbert.write_shards(docs, hilbert.assign(docs, ["source", "lang"]), str(tmp_path / "shards"))
+    hilbert.write_shards(docs, ["source", "lang"], str(tmp_path / "shards"))
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(near)
+    clashing = odd.withColumn("shard", F.lit("mine")).withColumn("_shard", F.lit(7)).withColumn("rank", F.lit("r"))
+    hilbert.write_shards(clashing, ["source", "lang"], str(tmp_path / "odd"))
+    back = spark.read.parquet(str(tmp_path / "odd"))
+    names = [c for c in clashing.columns]
+    assert Counter(map(tuple, back.select(names).collect())) == Counter(map(tuple, clashing.collect())) and set(back.columns) - set(names) == {"__shard"}
 
 
 PARAGRAPHS = ["First paragraph of the story, long enough to matter to anybody who reads it.", "Second & last part: with a link inside the text.", "Short."]
@@ -469,6 +525,14 @@ def test_main_text_takes_loose_text_beside_the_path():
     assert html_text.main_text(page(body)) == "\n\n".join([plain[0], PARAGRAPHS[0], PARAGRAPHS[2], plain[1]])
 
 
+@pytest.mark.parametrize("article", ["<article><h1>Head</h1><p>{0}</p><p>{1}</p><p>{2}</p></article>", "<div class='content'><h1>Head</h1><p>{0}</p><p>{1}</p><p>{2}</p></div>"])
+def test_main_text_inside_a_page_wide_form(article):
+    story = article.format(*PARAGRAPHS).replace("&", "&amp;")
+    search = "<form action='/find'><p>Search this site</p><input name='q'><button>Find</button></form>"
+    inner = f"<nav><a href='/'>Home</a></nav>{story}<select><option>One</option></select><textarea>Your words</textarea><button>Send</button><label>Mail</label>"
+    assert html_text.main_text(page(f"<form id='aspnetForm' action='/'>{inner}</form>", search)) == "\n\n".join(["Head", *PARAGRAPHS])
+
+
 def test_main_text_of_odd_pages(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "just text", "a<b>c", "<article>" * 3000 + "deep" + "</article>" * 3000)] == ["", "", "", "just text", "ac", "deep"]
     html = page("<article>" + "".join(f"<p>part {i}</p>" for i in range(20_000)) + "</article>")
@@ -490,7 +554,7 @@ def test_pipeline(spark, odd, near):
     for i in has_letter:
         exact[near[i]] = i
     left = sorted(exact.values())
-    want = set(components([shingles(near[i]) for i in left], left))
+    want = set(components([shingles(near[i]) for i in left], left, 80))
     assert {r.doc_id for r in kept.collect()} == want
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r.doc_id for r in pieces} == want
