@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as fn
+
 from tradeglass import vocab
 from tradeglass.catalog.quality import NORM, PLAIN, SPELL, TOKENS
 from tradeglass.catalog.binding import DIALECT_VIEWS, RAW_KEYS, VIEWS, div, mon
 from tradeglass.catalog.registry import ORACLE_VIEWS, query
 from tradeglass.operators import grounding
+from tradeglass.sources import checks
 from tradeglass.sources import components as c
+from tradeglass.sources import merge
 from tradeglass.sources import payloads as s
 
 MONTHS = [m.lower() for m in vocab.MONTHS]
@@ -44,6 +48,12 @@ def agg(dialect: str, sql: str, order: str, where: str = "true") -> str:
     return f"array_join(transform(sort_array(collect_list(struct({order} AS o, {sql} AS x)) FILTER (WHERE {where})), e -> e.x), ',')"
 
 
+def five(types: str, totals: str, owed: str) -> str:
+    """Five summary rows as a JSON list."""
+    rows = zip(types.split(), totals.split(), owed.split(), strict=True)
+    return "'[" + ",".join(f'{{"accountType":"{t}","totalAccounts":"{n}","withBalance":"{w}","open":"1"{",\"closed\":\"2\"" if t == "Total" else ""}}}' for t, n, w in rows) + "]'"
+
+
 PID = "report_id || '-' || CAST({} AS string)"
 #: Accounts of a payload: those of a report whose keys share their quotient by 40; a payload's size never grows.
 VIEWS["fx_pay_account"] = f"""
@@ -70,7 +80,8 @@ def _account(lay: int) -> str:
     pages = member("sourcePages", "'[' || CAST(a.k % 5 AS string) || ',2,2]'")
     codes = member("paymentStatusCodes", obj("'\"OK\":\"Pays as agreed\",'"))
     if lay == 0:
-        extra = [name, number, text("comments", "a.comments"), member("isClosed", closed), member("paymentHistory", listed("h.flat")), codes]
+        extra = [name, number, text("comments", "a.comments"), member("isClosed", closed), member("paymentHistory", listed("h.flat")), codes,
+                 text("loanType", "CASE WHEN a.k % 11 = 2 THEN 'Term loan Date Closed' END"), member("contact", listed("CASE a.k % 10 WHEN 3 THEN '\"Contact\"' WHEN 4 THEN '\"PO Box\"' ELSE '' END"))]
     elif lay == 1:
         groups.setdefault("header", []).extend([name, member("isClosed", closed)])
         groups["accountInfo"] += [number, member("comments", listed("CASE WHEN a.comments IS NULL THEN '' ELSE '\" ' || a.comments || '\",\"' || lower(a.comments) || '\"' END"))]
@@ -108,7 +119,7 @@ def payload_view(dialect: str) -> str:
 
     flat = " || ',' || ".join(f"'\"' || coalesce(status{i}, '') || '\"'" for i in range(12))
     def proof(column: str) -> str:
-        cells = (f"CASE WHEN {column}{i} IS NULL THEN '' ELSE '\"{name}\":{{\"value\":\"' || {column}{i} || '\",\"pageNumber\":' || CAST(y % 7 AS string) || '}},' END" for i, name in enumerate(MONTHS))
+        cells = (f"CASE WHEN {column}{i} IS NULL THEN '' ELSE '\"{name}\":{{\"value\":\"' || {column}{i} || '\",\"pageNumber\":' || CAST(y % 7 AS string) || CASE WHEN y % 2 = 0 THEN ',\"bbox\":[0,{i},5,6]' ELSE '' END || '}},' END" for i, name in enumerate(MONTHS))
         return obj(text("year", "CAST(y AS string)"), member("months", obj(*cells)))
 
     day = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(m % 12 AS int) * 3 + 1, 3) || ' ' || CAST(CAST(floor(m / 12.0) AS int) AS string)"
@@ -123,6 +134,10 @@ def payload_view(dialect: str) -> str:
         JOIN (SELECT k, {agg(dialect, entry, 'm')} AS dated FROM fx_hist GROUP BY k) d ON d.k = y.k"""
     account = "CASE a.lay " + " ".join(f"WHEN {i} THEN {_account(i)}" for i in range(4)) + " END"
     sources = obj(text("accountName", "upper(a.name)"), text("accountNumber", "a.number"), member("pages", "'[' || CAST(a.k % 6 AS string) || ']'"))
+    located = obj(text("accountName", "' ' || a.name"), text("accountNumber", "a.number"), member("fields", obj(
+        "'\"status\":{\"pageNumber\":' || CAST(a.k % 3 AS string) || ',\"bbox\":[1.5,2,30,' || CAST(a.k AS string) || ']},'", "'\"balance\":{\"pageNumber\":4},'",
+        "CASE WHEN a.k % 2 = 0 THEN '\"dateOpened\":{\"pageNumber\":5,\"bbox\":[1,2,3,4],\"id\":\"own-' || CAST(a.k AS string) || '\"},' ELSE '' END")))
+    gathered_at = obj(text("collectionAgency", "a.type_text || '  Recovery'"), text("accountNumber", "a.number"), member("pages", "'[' || CAST(a.k % 3 AS string) || ',8]'"))
     evidence = obj(text("accountName", "a.name"), text("accountNumber", "a.number"), member("fields", "CASE WHEN a.lay = 0 THEN " + obj(member("paymentHistory", listed("h.proofs")))
                    + " ELSE " + obj(member("paymentHistory", listed("h.late_proofs")), member("month24:balance", listed("h.balance_proofs"))) + " END"))
     collection = obj(text("collectionAgency", "CASE WHEN a.k % 2 = 0 THEN a.type_text || ' Recovery' END"), text("agencyName", "CASE WHEN a.k % 3 = 0 THEN 'Midland' ELSE 'None' END"),
@@ -134,7 +149,7 @@ def payload_view(dialect: str) -> str:
         SELECT a.pid, a.lay, min(a.profile_id) AS profile_id, min(a.report_date) AS report_date, min(a.report_id) AS nation, min(a.k) AS low, count(*) AS n,
             {agg(dialect, account, 'a.ord', 'a.lay <> 3 OR a.k % 3 = 0')} AS accounts, {agg(dialect, account, 'a.ord', 'a.lay = 3 AND a.k % 3 <> 0')} AS others,
             {agg(dialect, sources, 'a.ord', 'a.k % 2 = 0')} AS sources, {agg(dialect, evidence, 'a.ord')} AS evidence,
-            {agg(dialect, collection, 'a.ord', 'a.k % 5 < 3')} AS collections, {agg(dialect, indicator, 'a.ord')} AS indicators
+            {agg(dialect, located, 'a.ord')} AS located, {agg(dialect, gathered_at, 'a.ord', 'a.k % 5 < 3')} AS gathered_at, {agg(dialect, collection, 'a.ord', 'a.k % 5 < 3')} AS collections, {agg(dialect, indicator, 'a.ord')} AS indicators
         FROM fx_pay_account a JOIN fx_pay_hist h ON h.k = a.k GROUP BY a.pid, a.lay"""
     record = obj(text("recordType", "o.record_type"), text("court", "o.court"), text("referenceNumber", "o.reference"), member("details", strings("'Filed in person'", "'Status: ' || o.priority")))
     hard = "CASE o.lay " + " ".join(f"WHEN {i} THEN {_inquiry(i, chr(39) + 'Hard' + chr(39))}" for i in range(4)) + " END"
@@ -164,7 +179,10 @@ def payload_view(dialect: str) -> str:
          member("otherItemsSummary", obj("CASE WHEN p.low % 3 = 0 THEN '\"inquiryCount\":' || CAST(p.n AS string) || ',' ELSE '' END", member("collectionCount", "CAST(p.n + 1 AS string)"), text("recentInquiry", "'Feb 1999'")))],
         [member("reportOverview", obj(text("dateGenerated", "p.report_date"), text("consumerName", f"CASE WHEN p.low % 2 = 0 THEN {person} END"), text("reportNumber", "'E' || p.pid")))],
         [confirm, member("summary", obj(text("reportDate", late), text("mostRecentAccount", "'Mar 1999'")))],
-        [member("reportOverview", obj(text("dateCreated", "p.report_date"), text("consumerName", person), text("fileNumber", "'T' || p.pid")))],
+        [member("reportOverview", obj(text("dateCreated", "p.report_date"), text("consumerName", person), text("fileNumber", "'T' || p.pid"))), member("summary", "CASE WHEN p.low % 2 = 0 THEN '{\"oldestAccount\":{\"openDate\":\"soon\"}}' "
+         "ELSE '{\"oldestAccount\":{\"openDate\":\"Mar 1, 1999\"},\"accountsWithNegativeInfo\":0}' END"), member("otherItemsSummary", "CASE WHEN p.low % 5 = 0 THEN '{\"inquiryCount\":\"12 of them\"}' ELSE '{\"publicRecordCount\":2}' END"),
+         member("creditAccountsSummary", f"CASE p.low % 3 WHEN 0 THEN {five('Revolving Mortgage Installment Other Total', '1 2 3 4 10', '1 1 1 1 4')} WHEN 1 THEN {five('Revolving Installment Mortgage Other Total', '1 2 3 4 10', '2 1 1 1 4')} "
+                f"ELSE {five('Revolving Mortgage Installment Other Total', '1 2 2 2 7', '1 1 1 1 4')} END")],
     ]
     n_hard = "CASE WHEN p.low % 3 = 1 THEN '\"inquiryCount\":99,' ELSE '' END"
     plain, kept = member("accounts", obj(member("accounts", listed("p.accounts")), "'\"accountCount\":' || CAST(p.n AS string) || ','")), member("publicRecords", obj(member("records", listed("o.records"))))
@@ -178,13 +196,13 @@ def payload_view(dialect: str) -> str:
         [member("adverseAccounts", obj(member("accounts", listed("p.accounts")))), member("satisfactoryAccounts", obj(member("accounts", listed("p.others")))), gathered,
          member("inquiries", obj(member("inquiries", listed("o.hard")), n_hard)), member("accountReviewInquiries", obj(member("inquiries", listed("o.soft")))), kept, flags],
     ]
-    windows = [member("componentSources", "'{\"accounts\":{\"pages\":[1,2,2,0]},\"collections\":[3]}'") + " || " + member("accountSources", listed("p.sources")) + " || " + member("accountHistoryEvidence", listed("p.evidence")) + " || " + member("inquiryEvidence", obj(member("hardInquiries", listed("o.asked")))),
+    windows = [member("componentSources", "'{\"accounts\":{\"pages\":[1,2,2,0]},\"collections\":[3]}'") + " || " + member("accountSources", listed("p.sources")) + " || " + member("accountHistoryEvidence", listed("p.evidence")) + " || " + member("inquiryEvidence", obj(member("hardInquiries", listed("o.asked")))) + " || " + member("accountFieldEvidence", listed("p.located")) + " || " + member("collectionSources", listed("p.gathered_at")),
                member("pageWindows", "'{\"accounts\":[4,5],\"hardInquiries\":{\"pages\":[]}}'"), member("componentSources", "'{\"accounts\":[1],\"publicRecords\":{\"pages\":[8,9]}}'") + " || " + member("accountHistoryEvidence", listed("p.evidence")),
                member("componentSources", "'{\"adverseAccounts\":{\"pages\":[2,3]},\"satisfactoryAccounts\":[3,4]}'")]
 
     def whole(lay: int) -> str:
         parts = obj(*overview[lay], member("personalInformation", info[lay]), *lists[lay])
-        status = member("componentStatus", "'{\"accounts\":{\"status\":\"complete\"},\"inquiries\":\"partial\"}'")
+        status = member("componentStatus", "'{\"accounts\":{\"status\":\"complete\"},\"inquiries\":\"partial\"' || CASE WHEN p.low % 4 = 0 THEN ',\"summary\":{\"status\":\"failed\"}' ELSE '' END || '}'")
         meta = member("meta", obj(text("sessionId", "p.pid"), text("profileId", "p.profile_id"), windows[lay]))
         body = obj(text("profile", "p.profile_id"), meta, status, member("components", parts))
         return obj(text("status", "'ok'"), text("fileName", "p.pid || '.pdf'"), member("result", body)) if lay != 2 else body
@@ -227,7 +245,7 @@ R, F = "components.reportConfirmationDetails", "components.reportOverview"
 @query("s4_reports", f"""SELECT pid AS report_id, {at('meta.profileId')} AS profile_id, CASE lay WHEN 1 THEN 'Experian' WHEN 3 THEN 'TransUnion' ELSE 'Equifax' END AS bureau,
     coalesce({at(R + '.reportDate')}, {at('components.summary.reportDate')}, {at(F + '.dateGenerated')}, {at(F + '.dateCreated')}) AS report_date, coalesce({at(R + '.consumerName')}, {at(F + '.consumerName')}) AS consumer_name,
     coalesce({at(R + '.confirmationNumber')}, {at(F + '.reportNumber')}, {at(F + '.fileNumber')}) AS confirmation_number, {at('components.summary.creditFileStatus')} AS credit_file_status,
-    {at('components.summary.oldestAccount')} AS oldest_account, coalesce({at('components.summary.mostRecentAccount')}, {at('components.otherItemsSummary.recentInquiry')}) AS recent,
+    CASE WHEN lay IN (0, 2) THEN {at('components.summary.oldestAccount')} END AS oldest_account, coalesce({at('components.summary.mostRecentAccount')}, {at('components.otherItemsSummary.recentInquiry')}) AS recent,
     CAST(CASE lay WHEN 0 THEN coalesce({at('components.otherItemsSummary.inquiryCount')}::BIGINT, 7) WHEN 2 THEN json_array_length(body, '$.components.inquiries.inquiries')
         WHEN 1 THEN coalesce({at('components.hardInquiries.inquiryCount')}::BIGINT, json_array_length(body, '$.components.hardInquiries.inquiries')) + json_array_length(body, '$.components.softInquiries.inquiries')
         ELSE coalesce({at('components.inquiries.inquiryCount')}::BIGINT, json_array_length(body, '$.components.inquiries.inquiries')) + json_array_length(body, '$.components.accountReviewInquiries.inquiries') END AS bigint) AS inquiry_count,
@@ -262,6 +280,7 @@ PAY_RAW = " UNION ALL ".join(
     + ["SELECT pid, k, CASE WHEN lay = 1 THEN 'header.accountName' ELSE 'accountName' END, name FROM fx_pay_account",
        "SELECT pid, k, CASE WHEN lay IN (1, 3) THEN 'accountInfo.accountNumber' ELSE 'accountNumber' END, number FROM fx_pay_account",
        "SELECT pid, k, CASE WHEN lay = 1 THEN 'header.isClosed' ELSE 'isClosed' END, CASE WHEN closed IS NULL THEN 'false' ELSE 'true' END FROM fx_pay_account",
+       "SELECT pid, k, CASE lay WHEN 0 THEN 'loanType' END, CASE WHEN k % 11 = 2 THEN 'Term loan Date Closed' END FROM fx_pay_account",
        "SELECT pid, k, CASE lay WHEN 0 THEN 'paymentStatusCodes.OK' END, 'Pays as agreed' FROM fx_pay_account",
        "SELECT pid, k, CASE lay WHEN 0 THEN 'comments' WHEN 3 THEN 'accountInfo.remarks' END, comments FROM fx_pay_account"])
 
@@ -273,7 +292,7 @@ def s4_raw(b):
 
 @query("s4_tradelines", f"""SELECT a.pid AS report_id, a.ord AS account_ord, a.profile_id, a.report_date, {ENTITY} AS entity_key, a.closed IS NOT NULL AS closed_flag,
     CASE WHEN a.comments IS NULL THEN '' WHEN a.lay = 0 THEN replace(a.comments, '; ', '|') ELSE a.comments END AS comments,
-    CASE a.lay WHEN 0 THEN '' WHEN 2 THEN array_to_string(list_filter([a.address, CASE WHEN a.phone <> '' THEN a.phone END], lambda x: x IS NOT NULL), '|')
+    CASE a.lay WHEN 0 THEN CASE a.k % 10 WHEN 3 THEN 'Contact' WHEN 4 THEN 'PO Box' ELSE '' END WHEN 2 THEN array_to_string(list_filter([a.address, CASE WHEN a.phone <> '' THEN a.phone END], lambda x: x IS NOT NULL), '|')
         WHEN 3 THEN array_to_string(list_filter([a.address, CASE WHEN a.phone <> '' THEN a.phone END], lambda x: x IS NOT NULL), '|') ELSE a.phone END AS contact,
     CASE a.lay WHEN 0 THEN CASE WHEN a.k % 6 > 0 AND a.k % 2 = 0 THEN CAST(a.k % 6 AS string) ELSE '1,2' END ELSE CASE WHEN a.k % 5 IN (0, 2) THEN '2' ELSE CAST(a.k % 5 AS string) || ',2' END END AS pages
     FROM fx_pay_account a""")
@@ -392,3 +411,132 @@ def v5_payload(b):
     bodies = found(b)
     pages = b.sql("SELECT pid AS report_id, page, page_text FROM fx_pay_page")
     return grounding.grounded_fields(c.flatten(bodies), pages, c.history_evidence(bodies), c.inquiry_evidence(bodies)).selectExpr("report_id", "path", "array_join(pages, ',') AS pages")
+
+
+# --- checks of payloads ------------------------------------------------------------------------------
+
+
+def jtype(path: str, v: str = "body") -> str:
+    return f"coalesce(json_type({v}, '$.{path}'), '')"
+
+
+def jlen(path: str, v: str = "body") -> str:
+    return f"CAST(coalesce(json_array_length({v}, '$.{path}'), 0) AS BIGINT)"
+
+
+AC, SU = "components.accounts.accounts", "components.creditAccountsSummary"
+ORACLE_VIEWS["ora_pay_acc"] = f"""SELECT pid, lay, CAST(i AS string) AS i, a FROM (SELECT pid, lay, unnest(json_extract(body, '$.{AC}[*]')) AS a, unnest(range({jlen(AC)})) AS i FROM fx_body WHERE {jtype(AC)} = 'ARRAY' AND {jlen(AC)} > 0) x"""
+ORACLE_VIEWS["ora_pay_sum"] = f"""SELECT pid, lay, CAST(i AS string) AS i, i AS n, s FROM (SELECT pid, lay, unnest(json_extract(body, '$.{SU}[*]')) AS s, unnest(range({jlen(SU)})) AS i FROM fx_body WHERE {jtype(SU)} = 'ARRAY' AND {jlen(SU)} > 0) x"""
+CO = "components.collections.collections"
+ORACLE_VIEWS["ora_pay_coll"] = f"""SELECT pid, lay, CAST(i AS string) AS i, c FROM (SELECT pid, lay, unnest(json_extract(body, '$.{CO}[*]')) AS c, unnest(range({jlen(CO)})) AS i FROM fx_body WHERE {jtype(CO)} = 'ARRAY' AND {jlen(CO)} > 0) x"""
+TYPES = "['Revolving', 'Mortgage', 'Installment', 'Other', 'Total']"
+
+
+def flagged(component: str, code: str, severity: str, path: str, where: str, source: str = "fx_body") -> str:
+    return f"SELECT pid AS report_id, '{component}' AS component, '{code}' AS code, '{severity}' AS severity, {path} AS path FROM {source} WHERE {where}"
+
+
+HISTORY_ROWS = "(SELECT *, unnest(['balanceHistory', 'scheduledPaymentHistory', 'actualPaymentHistory', 'creditLimitHistory', 'amountPastDueHistory', 'activityDesignatorHistory']) AS h FROM ora_pay_acc) x"
+
+
+@query("v1_payload_validation", " UNION ALL ".join([
+    *(flagged(c, code, "error", f"'components.{c}.{f}'", f"coalesce({at(f'components.{c}.{f}')}, '') = ''") for c, code, f in (
+        ("reportConfirmationDetails", "missing_confirmation_number", "confirmationNumber"), ("reportConfirmationDetails", "missing_report_date", "reportDate"), ("personalInformation", "missing_personal_name", "name"))),
+    *(flagged(c, code, "error", f"'{path}'", f"{jtype(path)} <> 'ARRAY'") for c, code, path in (
+        ("creditAccountsSummary", "invalid_summary_schema", SU), ("accounts", "invalid_accounts_schema", AC), ("publicRecords", "invalid_public_records_schema", "components.publicRecords.records"), ("collections", "invalid_collections_list", CO))),
+    flagged("inquiries", "invalid_inquiry_lists", "error", "'components.inquiries'", f"{jtype('components.inquiries.hardInquiries')} <> 'ARRAY' OR {jtype('components.inquiries.softInquiries')} <> 'ARRAY'"),
+    flagged("creditAccountsSummary", "invalid_row_count", "error", f"'{SU}'", f"{jtype(SU)} = 'ARRAY' AND {jlen(SU)} <> 5"),
+    flagged("creditAccountsSummary", "invalid_row_order", "error", f"'{SU}[' || CAST(n AS string) || '].accountType'", f"coalesce(json_extract_string(body, '$.{SU}[' || CAST(n AS string) || '].accountType'), '~') <> {TYPES}[n + 1]",
+            f"(SELECT *, unnest(range(5)) AS n FROM fx_body WHERE {jtype(SU)} = 'ARRAY') x"),
+    flagged("accounts", "invalid_history_rows", "error", f"'{AC}[' || i || '].' || h", "coalesce(json_type(a, '$.' || h), '') <> 'ARRAY' OR json_array_length(a, '$.' || h) > 3", HISTORY_ROWS),
+    flagged("accounts", "invalid_payment_history_length", "error", f"'{AC}[' || i || '].paymentHistory'", f"{jtype('paymentHistory', 'a')} <> 'ARRAY' OR {jlen('paymentHistory', 'a')} < 12 OR {jlen('paymentHistory', 'a')} % 12 <> 0", "ora_pay_acc")]))
+def v1_payload(b):
+    return checks.validation_issues(found(b))
+
+
+OTHER = "components.otherItemsSummary"
+COUNTED = [("collections", "collectionCount", jlen(CO)), ("publicRecords", "publicRecordCount", jlen("components.publicRecords.records")),
+           ("inquiries", "inquiryCount", f"(coalesce({at('components.inquiries.hardInquiryCount')}::BIGINT, 0) + coalesce({at('components.inquiries.softInquiryCount')}::BIGINT, 0))")]
+
+
+@query("v2_payload_counts", " UNION ALL ".join([
+    flagged("accounts", "cross_component_mismatch", "error", "'components.accounts'", f"{at('totalAccounts', 's')}::BIGINT <> {jlen(AC)}", "(SELECT b.pid, b.body, t.s FROM fx_body b JOIN ora_pay_sum t ON t.pid = b.pid AND " + at("accountType", "t.s") + " = 'Total') x"),
+    *(flagged(c, "cross_component_mismatch", "error", f"'components.{c}'", f"{jtype(f'{OTHER}.{f}')} = 'UBIGINT' AND TRY_CAST({at(f'{OTHER}.{f}')} AS BIGINT) <> {n}") for c, f, n in COUNTED)]))
+def v2_payload(b):
+    return checks.count_issues(found(b))
+
+
+NEWER = "lay = 2"
+SILENT = f"(CASE WHEN {jtype('contact', 'a')} = 'ARRAY' THEN {jlen('contact', 'a')} = 0 ELSE coalesce({at('contact', 'a')}, '') = '' END)"
+NO_DATE = " AND ".join(f"lower(coalesce({at(f, 'a')}, '')) IN ('', '-', 'not reported', 'not available', 'none', 'null')" for f in ("openDate", "dateOpened"))
+ORACLE_VIEWS["ora_pay_part"] = f"""SELECT pid, lay, count(*) AS n, count(*) FILTER (WHERE {SILENT}) AS silent, count(*) FILTER (WHERE coalesce({at('address', 'a')}, '') = '' AND coalesce({at('phoneNumber', 'a')}, '') = '') AS unreached,
+    count(*) FILTER (WHERE {jlen('paymentHistory', 'a')} = 0) AS unpaid, count(*) FILTER (WHERE {NO_DATE}) AS undated FROM ora_pay_acc GROUP BY pid, lay"""
+FOREIGN = "or lender if you have any questions|view detailed information|the tables below show|credit accounts|other items|collections stay on your|page "
+SAME = " AND ".join(f"list(coalesce({at(c, 's')}, '~') ORDER BY n)[2] = list(coalesce({at(c, 's')}, '~') ORDER BY n)[3] AND list(coalesce({at(c, 's')}, '~') ORDER BY n)[3] = list(coalesce({at(c, 's')}, '~') ORDER BY n)[4]"
+                    for c in ("totalAccounts", "open", "withBalance", "totalBalance"))
+FIVE = f"{jtype(SU)} = 'ARRAY' AND {jlen(SU)} = 5"
+
+
+@query("v8_payload_quality", " UNION ALL ".join([
+    *(flagged("reportConfirmationDetails", "required_field_missing", "critical", f"'{R}.{f}'", f"coalesce({at(f'{R}.{f}')}, '') = ''") for f in ("confirmationNumber", "reportDate")),
+    flagged("accounts", "empty_accounts", "critical", f"'{AC}'", f"{jlen(AC)} = 0"),
+    *(flagged("accounts", "missing_contact_information", severity, f"'{AC}[*].{f}'", f"{only} AND {n} > 0 AND {n} {op} n", "ora_pay_part") for only, f, n in ((NEWER, "address", "unreached"), (f"NOT {NEWER}", "contact", "silent")) for severity, op in (("critical", "="), ("warning", "<"))),
+    flagged("accounts", "missing_payment_history", "critical", f"'{AC}[*].paymentHistory'", f"{NEWER} AND unpaid = n", "ora_pay_part"),
+    flagged("accounts", "missing_key_dates", "error", f"'{AC}[*].openDate'", f"NOT {NEWER} AND undated = n", "ora_pay_part"),
+    flagged("summary", "required_field_missing", "error", "'components.summary.accountsWithNegativeInfo'", f"NOT {NEWER} AND {at('components.summary.accountsWithNegativeInfo')} IS NULL"),
+    flagged("summary", "invalid_date", "error", "'components.summary.oldestAccount.openDate'", f"NOT {NEWER} AND {at('components.summary.oldestAccount.openDate')} = 'soon'"),
+    flagged("creditAccountsSummary", "invalid_row_count", "critical", f"'{SU}'", f"NOT {NEWER} AND NOT ({FIVE})"),
+    flagged("creditAccountsSummary", "invalid_row_order", "error", f"'{SU}[' || i || '].accountType'", f"pid IN (SELECT pid FROM fx_body WHERE {FIVE}) AND NOT {NEWER} AND coalesce({at('accountType', 's')}, '') <> {TYPES}[n + 1]", "ora_pay_sum"),
+    flagged("creditAccountsSummary", "count_logic_error", "error", f"'{SU}[' || i || '].withBalance'", f"pid IN (SELECT pid FROM fx_body WHERE {FIVE}) AND NOT {NEWER} AND {at('withBalance', 's')}::BIGINT > {at('totalAccounts', 's')}::BIGINT", "ora_pay_sum"),
+    f"SELECT pid, 'creditAccountsSummary', 'duplicated_rows', 'critical', '{SU}' FROM ora_pay_sum WHERE NOT {NEWER} GROUP BY pid HAVING count(*) = 5 AND {SAME}",
+    flagged("accounts", "contaminated_value", "error", f"'{AC}[' || i || '].accountName'", f"NOT {NEWER} AND regexp_matches(lower(coalesce({at('accountName', 'a')}, '')), '{FOREIGN}')", "ora_pay_acc"),
+    flagged("accounts", "contaminated_value", "error", f"'{AC}[' || i || '].loanType'", f"NOT {NEWER} AND contains(lower(coalesce({at('loanType', 'a')}, '')), 'date closed')", "ora_pay_acc"),
+    flagged("accounts", "contaminated_value", "critical", f"'{AC}[' || i || '].contact[0]'", f"NOT {NEWER} AND lower(coalesce({at('contact[0]', 'a')}, '')) = 'contact'", "ora_pay_acc"),
+    f"SELECT DISTINCT pid, 'collections', 'missing_required_fields', 'error', '{CO}[*].collectionAgency' FROM ora_pay_coll WHERE NOT {NEWER} AND coalesce({at('collectionAgency', 'c')}, '') = ''",
+    flagged("inquiries", "count_mismatch", "critical", "'components.inquiries'", f"NOT {NEWER} AND TRY_CAST(nullif(regexp_replace(coalesce({at(f'{OTHER}.inquiryCount')}, ''), '[^0-9]', '', 'g'), '') AS BIGINT) > 0 "
+            f"AND {jlen('components.inquiries.hardInquiries')} + {jlen('components.inquiries.softInquiries')} = 0"),
+    flagged("summary", "component_failed", "error", "'components.summary'", at("componentStatus.summary.status") + " = 'failed'")]))
+def v8_payload(b):
+    return checks.quality_issues(found(b))
+
+
+# --- nested merge ------------------------------------------------------------------------------------
+
+
+def _nested(x: str, y: str) -> str:
+    """A record of three levels with a list; null columns leave their member out."""
+    deep = obj(text("c", x), member("d", f"CASE WHEN k % 3 = 0 THEN '[]' ELSE '[\"' || coalesce({y}, '') || '\",' || CAST(k % 5 AS string) || ']' END"))
+    return obj(member("a", obj(member("b", deep), text("e", y))), text("f", y), member("g", f"CASE WHEN k % 4 = 0 THEN '{{}}' ELSE '\"' || CAST(k AS string) || '\"' END"))
+
+
+RECORDS = f"SELECT k AS id, CASE WHEN k % 11 = 0 THEN NULL ELSE {_nested('status', 'terms')} END AS base, {_nested('balance', 'high')} AS fallback FROM fx_account"
+ALONE = "k % 11 = 0"
+LEAVES = {
+    "a.b.c": f"CASE WHEN {ALONE} THEN balance ELSE CASE WHEN coalesce(status, '') <> '' THEN status WHEN balance IS NOT NULL THEN balance ELSE status END END",
+    "a.b.d": f"CASE WHEN k % 3 = 0 THEN '[]' WHEN {ALONE} THEN '[\"' || coalesce(high, '') || '\",' || CAST(k % 5 AS string) || ']' ELSE '[\"' || coalesce(terms, '') || '\",' || CAST(k % 5 AS string) || ']' END",
+    "a.e": f"CASE WHEN {ALONE} THEN high ELSE coalesce(terms, high) END", "f": f"CASE WHEN {ALONE} THEN high ELSE coalesce(terms, high) END", "g": "CASE WHEN k % 4 = 0 THEN '{}' ELSE CAST(k AS string) END"}
+
+
+@query("n31_nested_merge", " UNION ALL ".join(f"SELECT k AS id, '{path}' AS path, {sql} AS value FROM fx_account WHERE {sql} IS NOT NULL" for path, sql in LEAVES.items()))
+def n31_nested(b):
+    rows = b.sql(RECORDS).selectExpr("id", "parse_json(base) AS base", "parse_json(fallback) AS fallback")
+    merged = merge.merge_missing(rows)
+    paths = ", ".join(f"struct('{p}' AS path, try_variant_get(merged, '$.{p}', 'string') AS value)" for p in LEAVES)
+    return merged.selectExpr("id", f"inline(array({paths}))").where("value IS NOT NULL")
+
+
+NUMBERED = "CASE WHEN number = '' THEN 'Not reported' ELSE number END"
+
+
+@query("s12_payload_provenance", f"""
+    SELECT pid AS report_id, 'accounts' AS component, name, number, 'status' AS field, NULL AS year, NULL AS month, CAST(k % 3 AS int) AS page, '1.5,2.0,30.0,' || CAST(CAST(k AS double) AS string) AS box,
+           'account:' || lower(name) || '::' || {NUMBERED} || ':field:status' AS provenance_id FROM fx_pay_account WHERE lay = 0 AND k % 3 > 0
+    UNION ALL SELECT pid, 'accounts', name, number, 'dateOpened', NULL, NULL, 5, '1.0,2.0,3.0,4.0', 'own-' || CAST(k AS string) FROM fx_pay_account WHERE lay = 0 AND k % 2 = 0
+    UNION ALL SELECT a.pid, 'accounts', a.name, a.number, x.f, CAST(x.y AS string), x.mon, CAST(x.y % 7 AS int), '0.0,' || CAST(CAST(x.i AS double) AS string) || ',5.0,6.0',
+           'account:' || lower(a.name) || '::' || {NUMBERED.replace('number', 'a.number')} || ':history:' || x.f || ':' || CAST(x.y AS string) || ':' || x.mon
+    FROM (SELECT k, 'paymentHistory' AS f, CAST(floor(m / 12.0) AS int) AS y, CAST(m % 12 AS int) AS i, {MONTHS}[CAST(m % 12 AS int) + 1] AS mon FROM fx_hist WHERE lay IN (0, 2) UNION ALL
+          SELECT k, 'month24:balance', CAST(floor(m / 12.0) AS int), CAST(m % 12 AS int), {MONTHS}[CAST(m % 12 AS int) + 1] FROM fx_hist WHERE lay = 2 AND balance IS NOT NULL) x JOIN fx_pay_account a ON a.k = x.k WHERE x.y % 2 = 0
+    UNION ALL SELECT pid, 'collections', type_text || ' Recovery', {NUMBERED}, '', NULL, NULL, CAST(unnest(list_filter([k % 3, 8], lambda p: p > 0)) AS int), NULL, NULL FROM fx_pay_account WHERE lay = 0 AND k % 5 < 3
+    UNION ALL SELECT pid, 'inquiries', who, CASE WHEN ok % 3 = 0 THEN 'Jan 1900' ELSE day END, 'hardInquiries', NULL, NULL, CAST(unnest(list_filter([ok % 4, 9], lambda p: p > 0)) AS int), NULL, NULL FROM fx_pay_order WHERE lay = 0 AND ok % 2 = 0""")
+def s12_payload(b):
+    return c.provenance(found(b)).withColumn("box", fn.array_join(fn.transform("box", lambda x: x.cast("string")), ","))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tradeglass import vocab
-from tradeglass.functions.text import add, first_meaningful, lit, match_text, norm_text, one_of, page_list, rx, unique_ci
+from tradeglass.functions.text import add, clean_account_number, field_provenance_id, first_meaningful, lit, match_text, month_provenance_id, norm_text, one_of, page_list, rx, unique_ci
 from tradeglass.operators.history import cells_from_dated_entries, cells_from_flat, cells_from_year_rows, label_to_series
 from tradeglass.session import stored
 
@@ -394,6 +394,38 @@ def inquiry_evidence(found: DataFrame) -> DataFrame:
     return rows.selectExpr("report_id", "concat('components.inquiries.', list, '[', i, '].', field) AS path", "value", "explode(pages) AS page")
 
 
+PROVENANCE = ["report_id", "component", "name", "number", "field", "year", "month", "page", "box", "provenance_id"]
+
+
+def provenance(found: DataFrame) -> DataFrame:
+    """PROVENANCE rows: where each account field, month cell, collection and inquiry is printed.
+
+    A field or month has the box of its value and the id the extraction gave it, else one made of name, number and place; a
+    field without box or page is left out, a month without box too. Collections and inquiries have a row a page.
+    """
+    box = "try_variant_get({0}, '$.bbox', 'array<double>')"
+    name, number = "coalesce(trim(try_variant_get(e, '$.accountName', 'string')), '')", "coalesce(trim(try_variant_get(e, '$.accountNumber', 'string')), '')"
+    none, text = "cast(NULL AS array<double>)", "cast(NULL AS string)"
+    fields = found.selectExpr("report_id", f"explode({_list('meta.accountFieldEvidence')}) AS e").selectExpr("report_id", f"{name} AS name", f"{number} AS number", "explode(try_variant_get(e, '$.fields', 'map<string,variant>')) AS (field, d)")
+    fields = add(fields, {"page": "try_variant_get(d, '$.pageNumber', 'int')", "box": box.format("d")}).where("page > 0 AND size(box) > 0")
+    a = fields.selectExpr("report_id", "'accounts' AS component", "name", "number", "field", f"{text} AS year", f"{text} AS month", "page", "box",
+                          f"coalesce({text_at('id', 'd')}, {field_provenance_id('name', 'number', 'field')}) AS provenance_id")
+    rows = found.selectExpr("report_id", f"explode({_list('meta.accountHistoryEvidence')}) AS e").selectExpr("report_id", f"{name} AS name", f"{number} AS number", "explode(try_variant_get(e, '$.fields', 'map<string,variant>')) AS (field, rows)")
+    rows = rows.selectExpr("report_id", "name", "number", "field", f"explode({_list('', 'rows').replace('$.', '$')}) AS r").selectExpr(
+        "report_id", "name", "number", "field", f"{text_at('year', 'r')} AS row_year", "explode(try_variant_get(r, '$.months', 'map<string,variant>')) AS (month, d)")
+    rows = add(rows, {"year": f"coalesce(nullif({text_at('year', 'd')}, ''), row_year, '')", "box": box.format("d")}).where("size(box) > 0")
+    b = rows.selectExpr("report_id", "'accounts' AS component", "name", "number", "field", "year", "month", "try_variant_get(d, '$.pageNumber', 'int') AS page", "box",
+                        f"coalesce({text_at('id', 'd')}, {month_provenance_id('name', 'number', 'field', 'year', 'month')}) AS provenance_id")
+    gathered = found.selectExpr("report_id", f"explode({_list('meta.collectionSources')}) AS e")
+    c = gathered.selectExpr("report_id", "'collections' AS component", f"{norm_text(text_at('collectionAgency', 'e'))} AS name", f"{clean_account_number(text_at('accountNumber', 'e'))} AS number",
+                            f"{norm_text(text_at('originalCreditorName', 'e'))} AS field", f"{text} AS year", f"{text} AS month", f"explode({_pages('pages', 'e')}) AS page", f"{none} AS box", f"{text} AS provenance_id")
+    asked = found.selectExpr("report_id", f"inline(concat(transform({_list('meta.inquiryEvidence.hardInquiries')}, x -> struct('hardInquiries' AS list, x AS e)), "
+                                          f"transform({_list('meta.inquiryEvidence.softInquiries')}, x -> struct('softInquiries' AS list, x AS e))))")
+    d = asked.selectExpr("report_id", "'inquiries' AS component", f"{norm_text(text_at('subscriberName', 'e'))} AS name", f"{norm_text(text_at('inquiryDate', 'e'))} AS number", "list AS field",
+                         f"{text} AS year", f"{text} AS month", f"explode({_pages('pages', 'e')}) AS page", f"{none} AS box", f"{text} AS provenance_id")
+    return a.unionByName(b).unionByName(c).unionByName(d).select(*PROVENANCE)
+
+
 # --- everything else -------------------------------------------------------------------------------
 
 
