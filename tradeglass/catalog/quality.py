@@ -11,6 +11,7 @@ from tradeglass.catalog.registry import ORACLE_VIEWS, query
 from tradeglass.operators import grounding
 from tradeglass.operators import layout as l
 from tradeglass.operators import quality as q
+from tradeglass.operators import regression
 from tradeglass.streaming import incremental as t
 
 COMPONENTS = ["reportConfirmationDetails", "personalInformation", "summary", "creditAccountsSummary", "otherItemsSummary", "accounts", "collections", "inquiries",
@@ -143,6 +144,25 @@ def v10(b):
         "report_id", "kind", "expected", "actual", "cast(pass AS int) AS pass")
 
 
+# four shapes of fixtures: counts, pages, fields and month cells; the expectation has planted differences of each
+SHAPES = """
+    SELECT 'count' AS shape, report_id, CAST(NULL AS string) AS entity_key, kind AS cell, CAST(count(*) AS string) AS value FROM fx_inquiry GROUP BY report_id, kind
+    UNION ALL SELECT DISTINCT 'page', report_id, kind, CAST(page AS string), 'yes' FROM fx_inquiry
+    UNION ALL SELECT 'field', report_id, entity_key, 'status', status FROM fx_account UNION ALL SELECT 'field', report_id, entity_key, 'balance', balance FROM fx_account
+    UNION ALL SELECT 'month', report_id, entity_key, CAST(m AS string), status FROM fx_hist"""
+PLANTED = f"""SELECT shape, report_id, entity_key, CASE WHEN shape = 'page' AND report_id = '7' THEN '9' || cell ELSE cell END AS cell,
+    CASE WHEN shape = 'count' AND report_id = '3' THEN '0' WHEN shape = 'field' AND report_id IN ('5', '6') AND entity_key LIKE '%1' THEN 'Moved' WHEN shape = 'month' AND report_id = '4' AND cell LIKE '%77' AND value = 'OK' THEN '30'
+         WHEN shape = 'field' AND report_id = '8' AND cell = 'balance' THEN NULL ELSE value END AS value FROM ({SHAPES}) s WHERE NOT (shape = 'month' AND report_id = '9' AND cell LIKE '%5')"""
+
+
+@query("v10_fixture_differences", f"""SELECT coalesce(e.shape, a.shape) AS shape, coalesce(e.report_id, a.report_id) AS report_id, coalesce(e.entity_key, a.entity_key) AS entity_key, coalesce(e.cell, a.cell) AS cell,
+    e.value AS expected, a.value AS actual, CASE WHEN e.shape IS NULL THEN 'unexpected' WHEN a.shape IS NULL THEN 'missing' ELSE 'changed' END AS kind
+    FROM ({PLANTED}) e FULL JOIN ({SHAPES}) a ON a.shape = e.shape AND a.report_id = e.report_id AND a.entity_key IS NOT DISTINCT FROM e.entity_key AND a.cell = e.cell
+    WHERE e.shape IS NULL OR a.shape IS NULL OR e.value IS DISTINCT FROM a.value""")
+def v10_differences(b):
+    return regression.differences(b.sql(PLANTED), b.sql(SHAPES))
+
+
 AUDIT = ("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'equifax_old_v1' WHEN 1 THEN 'experian_acr_v1' WHEN 2 THEN 'equifax_new_v1' ELSE 'transunion_acr_v1' END AS profile_id, "
          "text || CASE doc_id % 3 WHEN 0 THEN ' Other Accounts; apartment lease' WHEN 1 THEN ' bankruptcy and credit report messages' ELSE ' soft inquiries' END AS body FROM documents")
 SECTION_ROWS = " UNION ALL ".join(
@@ -319,6 +339,19 @@ def l11(b):
     return l.manifest(b.sql(BUNDLES))
 
 
+BOXED = "SELECT CAST(doc_id % 9 AS string) AS report_id, doc_id AS finding_id, page, x, y, width, height, kind FROM fx_box"
+CITING = "SELECT report_id, finding_id, finding_id AS ord FROM (SELECT DISTINCT CAST(doc_id % 9 AS string) AS report_id, doc_id AS finding_id FROM fx_box) z"
+
+
+@query("l12_box_exhibits", f"""SELECT report_id, page, x, y, width, height, string_agg(exhibit, ',' ORDER BY p) AS exhibits FROM (
+    SELECT DISTINCT b.report_id, b.page, CAST(trunc(b.x) AS int) AS x, CAST(trunc(b.y) AS int) AS y, CAST(trunc(b.width) AS int) AS width, CAST(trunc(b.height) AS int) AS height, i.exhibit, i.p
+    FROM ({BOXED}) b JOIN (SELECT report_id, finding_id, p, {LETTERS} AS exhibit FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY ord) AS p FROM ({CITING}) c) y) i
+      ON i.report_id = b.report_id AND i.finding_id = b.finding_id WHERE b.kind <> 'identity') x GROUP BY ALL""")
+def l12_boxes(b):
+    numbered = l.exhibits(b.sql(CITING))
+    return l.box_exhibits(b.sql(BOXED), numbered).withColumn("exhibits", F.array_join("exhibits", ","))
+
+
 ITEMS = "SELECT report_id, inquiry_ord AS ord, inquiry_ord AS finding_id FROM fx_inquiry"
 
 

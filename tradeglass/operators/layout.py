@@ -175,9 +175,17 @@ def exhibits(items: DataFrame, style: str = "letter") -> DataFrame:
 
 
 def box_exhibits(boxes: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Each drawn rectangle with the exhibits that cite it, one row per pair."""
-    return boxes.where("kind <> 'identity'").join(numbered, ["report_id", "finding_id"]).select(
-        "report_id", "page", "x", "y", "exhibit").distinct()
+    """Each drawn rectangle (in whole pixels) with the labels of the exhibits that cite it, in the order of the exhibits.
+
+    boxes: report_id, finding_id, page, x, y, width, height, kind; numbered: report_id, finding_id, position, exhibit. A label
+    stands once; identity boxes are not drawn. Repeats are folded before a rectangle's labels are gathered.
+    """
+    rect = [f"cast({c} AS int) AS {c}" for c in ("x", "y", "width", "height")]
+    key = ["report_id", "page", "x", "y", "width", "height"]
+    drawn = boxes.where("kind <> 'identity'").selectExpr("report_id", "finding_id", "page", *rect).distinct()
+    cited = drawn.join(numbered.select("report_id", "finding_id", "position", "exhibit"), ["report_id", "finding_id"])
+    first = cited.groupBy(*key, "exhibit").agg(F.min("position").alias("position"))
+    return first.groupBy(*key).agg(F.expr("transform(array_sort(collect_list(struct(position, exhibit))), e -> e.exhibit) AS exhibits"))
 
 
 def keyword_pages(pages: DataFrame, words: list[str], neighbours: bool = True) -> DataFrame:
