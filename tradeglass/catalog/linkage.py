@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tradeglass.catalog.binding import VIEWS
 from tradeglass.catalog.oracle import omissing
 from tradeglass.catalog.registry import query
@@ -84,14 +86,20 @@ WHO = r"trim(regexp_replace(regexp_replace(lower(subscriber), ' promotional inqu
 
 @query("m5_inquiry_merge", f"""
     WITH i AS (SELECT *, {WHO} AS who FROM fx_inquiry), p AS (SELECT * FROM i WHERE source = 'primary'), f AS (SELECT * FROM i WHERE source = 'fallback'),
-    t AS (SELECT f.report_id, f.inquiry_ord, f.purpose, min(p.inquiry_ord) AS po FROM f LEFT JOIN p ON p.report_id = f.report_id AND p.inquiry_date = f.inquiry_date
+    t AS (SELECT f.report_id, f.inquiry_ord, f.inquiry_date, f.who, f.purpose, f.page, min(p.inquiry_ord) AS po FROM f LEFT JOIN p ON p.report_id = f.report_id AND p.inquiry_date = f.inquiry_date
           AND (contains(p.who, f.who) OR contains(f.who, p.who)) GROUP BY ALL),
-    g AS (SELECT po, min(inquiry_ord) FILTER (WHERE purpose <> '') AS bo, min_by(purpose, inquiry_ord) FILTER (WHERE purpose <> '') AS bp, count(*) AS n FROM t WHERE po IS NOT NULL GROUP BY po)
-    SELECT p.report_id, CASE WHEN p.purpose = '' AND bo IS NOT NULL THEN bo ELSE p.inquiry_ord END AS inquiry_ord,
-           CASE WHEN p.purpose = '' AND bo IS NOT NULL THEN bp ELSE p.purpose END AS purpose, CAST(coalesce(n, 0) AS int) AS n_folded
-    FROM p LEFT JOIN g ON g.po = p.inquiry_ord UNION ALL SELECT report_id, inquiry_ord, purpose, 0 FROM t WHERE po IS NULL""".replace("WITH i", "SELECT * FROM (WITH i", 1) + ")")
+    -- names here nest, so the first one kept that matches is the smallest that matches
+    u AS (SELECT a.report_id, a.inquiry_ord, min(b.inquiry_ord) AS po FROM t a JOIN t b ON a.po IS NULL AND b.po IS NULL AND b.report_id = a.report_id AND b.inquiry_date = a.inquiry_date
+          AND (contains(a.who, b.who) OR contains(b.who, a.who)) GROUP BY ALL),
+    r AS (SELECT report_id, inquiry_ord, purpose, page, inquiry_ord AS o FROM p UNION ALL SELECT t.report_id, t.inquiry_ord, t.purpose, t.page, coalesce(t.po, u.po) FROM t LEFT JOIN u ON u.report_id = t.report_id AND u.inquiry_ord = t.inquiry_ord),
+    g AS (SELECT report_id, o, max(purpose) FILTER (inquiry_ord = o) AS own, min(inquiry_ord) FILTER (inquiry_ord <> o AND purpose <> '') AS bo, min_by(purpose, inquiry_ord) FILTER (inquiry_ord <> o AND purpose <> '') AS bp,
+                 count(*) FILTER (inquiry_ord <> o) AS n FROM r GROUP BY report_id, o),
+    q AS (SELECT report_id, o, string_agg(CAST(page AS string), ',' ORDER BY far, first) AS pages FROM (SELECT report_id, o, page, min(CASE WHEN inquiry_ord = o THEN 0 ELSE 1 END) AS far,
+                 min(inquiry_ord) FILTER (WHERE inquiry_ord <> o) AS first FROM r WHERE page > 0 GROUP BY report_id, o, page) z GROUP BY report_id, o)
+    SELECT g.report_id, CASE WHEN own = '' AND bo IS NOT NULL THEN bo ELSE g.o END AS inquiry_ord, CASE WHEN own = '' AND bo IS NOT NULL THEN bp ELSE own END AS purpose, n AS n_folded, coalesce(q.pages, '') AS pages
+    FROM g LEFT JOIN q ON q.report_id = g.report_id AND q.o = g.o""".replace("WITH i", "SELECT * FROM (WITH i", 1) + ")")
 def m5(b):
-    return k.merge_inquiries(b.inquiries())
+    return k.merge_inquiries(b.inquiries().withColumn("pages", F.array("page"))).withColumn("pages", F.array_join("pages", ","))
 
 
 SUMMARY = ("SELECT report_id, type_text AS account_type, k AS ord, CASE k % 2 WHEN 0 THEN 'text' ELSE 'image' END AS source, CAST(k % 2 AS int) AS source_rank, "
@@ -105,6 +113,21 @@ def m6(b):
     return k.best_summary_rows(b.sql(SUMMARY))
 
 
+FILLABLE = ("SELECT x.*, a.balance, a.terms, CASE WHEN a.balance = '' THEN 'blank' WHEN a.balance = 'Not reported' THEN 'explicit_not_reported' WHEN a.balance IS NULL THEN NULL ELSE 'value' END AS balance_state, "
+            "CASE WHEN a.terms IS NULL THEN NULL ELSE 'value' END AS terms_state FROM (" + SUMMARY + ") x JOIN fx_account a ON a.k = x.ord")
+
+
+@query("m6_filled_rows", f"""SELECT report_id, account_type, list(ord ORDER BY rn)[1] AS ord,
+    CASE WHEN coalesce(list(balance ORDER BY rn)[1], '') <> '' OR coalesce(list(balance_state ORDER BY rn)[1] IN ('blank', 'explicit_not_reported'), false) THEN list(balance ORDER BY rn)[1]
+         ELSE coalesce(list(balance ORDER BY rn) FILTER (WHERE coalesce(balance, '') <> '')[1], list(balance ORDER BY rn)[1]) END AS balance,
+    coalesce(list(terms ORDER BY rn)[1], list(terms ORDER BY rn) FILTER (WHERE terms IS NOT NULL)[1]) AS terms
+    FROM (SELECT *, row_number() OVER (PARTITION BY report_id, account_type ORDER BY filled - issues DESC, source_rank, ord) AS rn FROM ({FILLABLE}) f) y GROUP BY report_id, account_type""".replace(
+    "list(balance ORDER BY rn) FILTER (WHERE coalesce(balance, '') <> '')[1]", "(list(balance ORDER BY rn) FILTER (WHERE coalesce(balance, '') <> ''))[1]").replace(
+    "list(terms ORDER BY rn) FILTER (WHERE terms IS NOT NULL)[1]", "(list(terms ORDER BY rn) FILTER (WHERE terms IS NOT NULL))[1]"))
+def m6_filled(b):
+    return k.filled_summary_rows(b.sql(FILLABLE), ["balance", "terms"])
+
+
 IND_ACCOUNTS = ("SELECT report_id, k AS ord, CASE WHEN k % 29 = 0 THEN 'A' ELSE '' END AS indicator, name, number, "
                 "lower(coalesce(status, '') || ' ' || coalesce(legal_category, '')) AS context FROM fx_account")
 IND_RECORDS = "SELECT report_id, record_ord AS ord, record_type, lower(record_type || ' ' || status) AS context FROM fx_public_record"

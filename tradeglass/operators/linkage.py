@@ -16,6 +16,7 @@ from tradeglass.functions.text import (
     number_tail, rx, solid_tail,
 )
 from tradeglass.operators.skew import contains_join, grouped_rank, salted_join
+from tradeglass.session import stored
 
 
 def keep_first(df: DataFrame, key: dict[str, str], ord_: str = "ord") -> DataFrame:
@@ -95,36 +96,77 @@ def union_collections(collections: DataFrame) -> DataFrame:
         "report_id", "agency", "number", "creditor", "amount", "status")})
 
 
+#: Names of one report and day up to which they are compared inside their group; larger groups are joined on grams.
+NAMES_TOGETHER = 64
+
+
+def inquiry_targets(names: DataFrame, together: int = NAMES_TOGETHER) -> DataFrame:
+    """report_id, day, who, primary_ord, fallback_ord: where the inquiries of a name belong.
+
+    names: one row per (report_id, day, who) with p_ord and f_ord, its smallest primary and fallback ordinals. Two
+    names match where one contains the other. primary_ord is the smallest primary of a matching name. Names without
+    one keep to each other: in the order of their ordinals a name joins the first one kept that it
+    matches, or is kept. Groups of few names decide this inside one row; larger ones by a gram join and rounds, in
+    which names with no undecided match before them are kept and take their matches. Both give the same.
+    """
+    key = ["report_id", "day"]
+    sizes = names.groupBy(*key).agg(F.count("*").alias("n_names"))
+    match = "(contains(a.who, b.who) OR contains(b.who, a.who))"
+    small = names.join(sizes.where(f"n_names <= {together}"), key).groupBy(*key).agg(F.expr("collect_list(struct(f_ord, who, p_ord)) AS g"))
+    small = small.selectExpr(
+        *key, f"transform(g, a -> struct(a.f_ord AS f_ord, a.who AS who, array_min(transform(filter(g, b -> {match}), b -> b.p_ord)) AS primary_ord)) AS g")
+    alone = "array_sort(filter(g, x -> x.primary_ord IS NULL))"
+    kept = (f"aggregate({alone}, cast(array() AS array<struct<f_ord:bigint,who:string>>), "
+            f"(k, a) -> if(exists(k, b -> {match}), k, concat(k, array(struct(cast(a.f_ord AS bigint) AS f_ord, a.who AS who)))))")
+    small = add(small, {"kept": kept}).selectExpr(*key, "kept", "inline(g)").selectExpr(
+        *key, "who", "primary_ord", f"if(primary_ord IS NULL, element_at(filter(kept, b -> contains(who, b.who) OR contains(b.who, who)), 1).f_ord, NULL) AS fallback_ord")
+    large = stored(names.join(sizes.where(f"n_names > {together}"), key).drop("n_names"), "crowded-names")
+    return small if large.isEmpty() else small.unionByName(_crowded_targets(large))
+
+
+def _crowded_targets(names: DataFrame) -> DataFrame:
+    key = ["report_id", "day"]
+    inside = contains_join(names.select(*key, "who"), names.select(*key, F.col("who").alias("other")), key, "who", "other")
+    pairs = stored(inside.unionByName(inside.selectExpr(*key, "other AS who", "who AS other")).distinct(), "name-pairs")
+    ords = names.selectExpr(*key, "who AS other", "p_ord AS other_p", "f_ord AS other_f")
+    first = pairs.join(ords, [*key, "other"]).groupBy(*key, "who").agg(F.min("other_p").alias("primary_ord"))
+    known = names.join(first, [*key, "who"])
+    undecided = stored(known.where("primary_ord IS NULL").select(*key, "who", "f_ord"), "undecided")
+    done = known.where("primary_ord IS NOT NULL").selectExpr(*key, "who", "cast(primary_ord AS bigint) AS primary_ord", "cast(NULL AS bigint) AS fallback_ord")
+    while not undecided.isEmpty():
+        near = undecided.join(pairs, [*key, "who"]).join(undecided.selectExpr(*key, "who AS other", "f_ord AS other_f"), [*key, "other"])
+        kept = stored(near.groupBy(*key, "who", "f_ord").agg(F.min("other_f").alias("low")).where("low = f_ord").select(*key, "who", "f_ord"), "kept")
+        taken = stored(kept.selectExpr(*key, "who AS other", "f_ord AS kept_ord").join(pairs, [*key, "other"]).join(undecided.select(*key, "who"), [*key, "who"]).groupBy(*key, "who").agg(F.min("kept_ord").alias("kept_ord")), "taken")
+        done = done.unionByName(taken.selectExpr(*key, "who", "cast(NULL AS bigint) AS primary_ord", "cast(kept_ord AS bigint) AS fallback_ord"))
+        undecided = stored(undecided.join(taken, [*key, "who"], "left_anti"), "undecided")
+    return done
+
+
 def merge_inquiries(inquiries: DataFrame) -> DataFrame:
-    """Fold fallback inquiries into primary ones of the same date whose name equals, contains or is contained.
+    """Fold fallback inquiries into those of the same date whose name equals, contains or is contained.
 
-    A fallback goes to the smallest primary ordinal that matches. The kept row is the
-    primary, or the first matched fallback with a purpose when the primary has none;
-    fallbacks without a match stay as rows of their own.
+    A fallback goes to the smallest primary ordinal that matches, else to the first fallback kept that matches. A kept row
+    without a purpose gives way to its first folded row with one. pages are the distinct positive pages of a kept row
+    and then of its folded ones. Rows without date or name stay as they are.
     """
     key = ["report_id", "day"]
     i = add(inquiries, {"day": match_text("inquiry_date"), "who": canonical_subscriber("subscriber")})
-    named = "day <> '' AND who <> ''"
-    primary, fallback = i.where("source = 'primary'"), i.where("source = 'fallback'")
-    first = primary.where(named).groupBy(*key, "who").agg(F.min("inquiry_ord").alias("primary_ord")) \
-        .withColumnRenamed("who", "primary_who")
-    names = fallback.where(named).select(*key, "who").distinct()
-    inside = contains_join(names, first, key, "who", "primary_who")
-    around = contains_join(first, names, key, "primary_who", "who")
-    pairs = inside.unionByName(around).distinct().join(first, [*key, "primary_who"])
-    target = pairs.groupBy(*key, "who").agg(F.min("primary_ord").alias("primary_ord"))
-    matched = fallback.join(target, [*key, "who"], "left")
-    spoken = f"if({norm_text('purpose')} <> '', inquiry_ord, NULL)"
-    helped = matched.where("primary_ord IS NOT NULL").groupBy("primary_ord").agg(
-        F.expr(f"min({spoken}) AS better_ord"), F.expr(f"min_by(purpose, {spoken}) AS better_purpose"),
-        F.count("*").cast("int").alias("n_folded"))
-    kept = primary.join(helped.withColumnRenamed("primary_ord", "inquiry_ord"), "inquiry_ord", "left")
+    names = stored(i.where("day <> '' AND who <> ''").groupBy(*key, "who").agg(
+        F.expr("min(if(source = 'primary', inquiry_ord, NULL)) AS p_ord"), F.expr("min(if(source = 'fallback', inquiry_ord, NULL)) AS f_ord")), "names")
+    targets = inquiry_targets(names).withColumn("to_ord", F.coalesce("primary_ord", "fallback_ord")).select(*key, "who", "to_ord")
+    placed = i.join(targets, [*key, "who"], "left").selectExpr(
+        "report_id", "inquiry_ord", "purpose", "pages", "if(source = 'fallback', coalesce(to_ord, inquiry_ord), inquiry_ord) AS to_ord")
+    placed = add(placed, {"folded": "to_ord <> inquiry_ord"})
+    spoken = f"if(folded AND {norm_text('purpose')} <> '', inquiry_ord, NULL)"
+    merged = placed.groupBy("report_id", "to_ord").agg(
+        F.expr("max(if(folded, NULL, purpose)) AS purpose"), F.expr(f"min({spoken}) AS better_ord"), F.expr(f"min_by(purpose, {spoken}) AS better_purpose"),
+        F.count_if(F.col("folded")).alias("n_folded"))
+    pages = placed.selectExpr("report_id", "to_ord", "struct(folded, inquiry_ord) AS rank", "explode(pages) AS page").where("page > 0").groupBy("report_id", "to_ord", "page").agg(F.min("rank").alias("rank"))
+    pages = pages.groupBy("report_id", "to_ord").agg(F.expr("transform(array_sort(collect_list(struct(rank, page))), x -> x.page) AS pages"))
     replaced = f"{norm_text('purpose')} = '' AND better_ord IS NOT NULL"
-    out = kept.selectExpr(
-        "report_id", f"if({replaced}, better_ord, inquiry_ord) AS inquiry_ord",
-        f"if({replaced}, better_purpose, purpose) AS purpose", "coalesce(n_folded, 0) AS n_folded")
-    return out.unionByName(matched.where("primary_ord IS NULL").selectExpr(
-        "report_id", "inquiry_ord", "purpose", "0 AS n_folded"))
+    return merged.join(pages, ["report_id", "to_ord"], "left").selectExpr(
+        "report_id", f"if({replaced}, better_ord, to_ord) AS inquiry_ord", f"if({replaced}, better_purpose, purpose) AS purpose", "n_folded",
+        "coalesce(pages, cast(array() AS array<int>)) AS pages")
 
 
 def best_summary_rows(candidates: DataFrame) -> DataFrame:
@@ -134,6 +176,21 @@ def best_summary_rows(candidates: DataFrame) -> DataFrame:
     ).selectExpr("report_id", "account_type", "best.source AS source", "best.ord AS ord", "best.filled - best.issues AS score")
 
 
+def filled_summary_rows(candidates: DataFrame, fields: list[str]) -> DataFrame:
+    """Best candidate per (report, account type), its empty fields filled from the others in their order.
+
+    A field that the best candidate proves blank or explicitly not reported (<field>_state) stays as it is. Each
+    field is an aggregate over the candidates' order, so no candidates are gathered.
+    """
+    rank = "struct(-(filled - issues) AS s, source_rank AS r, ord AS o)"
+
+    def filled(f: str) -> str:
+        own, state, other = f"min_by({f}, {rank})", f"min_by({f}_state, {rank})", f"min_by({f}, if(coalesce({f}, '') <> '', {rank}, NULL))"
+        return f"if(coalesce({own}, '') <> '' OR coalesce({state} IN ('blank', 'explicit_not_reported'), false), {own}, coalesce({other}, {own})) AS {f}"
+
+    return candidates.groupBy("report_id", "account_type").agg(F.expr(f"min_by(ord, {rank}) AS ord"), *(F.expr(filled(f)) for f in fields))
+
+
 def indicators(raw: DataFrame, accounts: DataFrame, records: DataFrame) -> DataFrame:
     """Raw indicators, account-derived ones and bankruptcy public records, deduplicated on four keys."""
     a = raw.selectExpr(
