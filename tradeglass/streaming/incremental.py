@@ -36,26 +36,33 @@ def newest_by_key(rows: DataFrame, key: list[str], version: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.expr(f"max_by(struct(*), {version}) AS r")).select("r.*")
 
 
-def run_changed(arrivals: DataFrame, state_path: str, run: Callable[[DataFrame, int], None], key: list[str],
-                version: str, checkpoint_path: str) -> StreamingQuery:
-    """For every micro-batch keep the newest extraction per key and run a job for the changed keys only.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    The state is a table of latest versions under state_path, one folder per batch; a
-    replayed batch rewrites its own folder, so a retry changes nothing. Late versions
-    older than the state are ignored.
+
+def newest_arrivals(arrivals: DataFrame, key: list[str], version: str) -> DataFrame:
+    """A stream's newest row per key (r) and the batch that last brought the key (touched), as a keyed aggregate.
+
+    Rows of a batch carry its time. Of equal versions the earliest arrival stays. In update mode a batch gives the
+    keys it touched, and a key has changed exactly when its newest row came in that batch.
+    """
+    marked = arrivals.withColumn("_arrived", F.current_timestamp())
+    order = f"struct({version}, -unix_micros(_arrived))"
+    return marked.groupBy(*key).agg(F.expr(f"max_by(struct(*), {order}) AS r"), F.max("_arrived").alias("touched"))
+
+
+def run_changed(arrivals: DataFrame, run: Callable[[DataFrame, int], None], key: list[str], version: str, checkpoint_path: str,
+                name: str | None = None) -> StreamingQuery:
+    """For every micro-batch run a job for the keys whose newest row changed, and for those only.
+
+    The newest row of each key is streaming state in RocksDB, so a batch reads and writes the state of its own
+    keys, however many batches and keys came before. A version no newer than the state is ignored. A replayed
+    batch has the time and state it had, so it gives the same keys again. Rows should be narrow (a key, a
+    version and where the payload is): the state holds one for every key.
     """
+    arrivals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = newest_by_key(batch, key, version)
-        seen = None
-        if batch_id > 0:
-            seen = spark.read.parquet(state_path).where(F.col("batch") < batch_id).groupBy(*key).agg(
-                F.max("version").alias("seen"))
-            newest = newest.join(seen, key, "left").where(
-                F.col("seen").isNull() | (F.col(version) > F.col("seen"))).drop("seen")
-        newest.select(*key, F.col(version).alias("version")).write.mode("overwrite").parquet(
-            f"{state_path}/batch={batch_id}")
-        run(newest, batch_id)
-
-    return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_path).trigger(
-        availableNow=True).start()
+        run(batch.where("r._arrived = touched").select("r.*").drop("_arrived"), batch_id)
+
+    stream = newest_arrivals(arrivals, key, version).writeStream.outputMode("update").foreachBatch(handle).option("checkpointLocation", checkpoint_path)
+    return (stream.queryName(name) if name else stream).trigger(availableNow=True).start()
