@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tradeglass.plans.account_view import entity_key
+from tradeglass.session import stored
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -234,9 +235,10 @@ RAW_KEYS = {
 CELL_SERIES = ["status", "balance", "paid", "scheduled", "past_due", "credit_limit", "last_payment_date", "paid_date"]
 
 
-def with_views(sql: str, dialect: str, extra: dict[str, str] | None = None) -> str:
-    """Prefix a query with the CTEs of every bound view it names, in dependency order."""
+def with_views(sql: str, dialect: str, extra: dict[str, str] | None = None, without: frozenset[str] = frozenset()) -> str:
+    """Prefix a query with the CTEs of every bound view it names, in dependency order, but for those that are tables already."""
     library = {**VIEWS, **{k: v[dialect] for k, v in DIALECT_VIEWS.items()}, **(extra or {})}
+    library = {k: v for k, v in library.items() if k not in without}
     order: list[str] = []
 
     def need(text: str) -> None:
@@ -258,17 +260,32 @@ class Bound:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.written: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str) -> DataFrame:
-        full = with_views(text, "spark")
+        full = with_views(text, "spark", without=frozenset(self.written))
         for name in TABLES:
             if re.search(rf"\b{name}\b", full):
                 self.table(name).createOrReplaceTempView(name)
+        for name, rows in self.written.items():
+            if re.search(rf"\b{name}\b", full):
+                rows.createOrReplaceTempView(name)
         return self.spark.sql(full)
 
+    def share(self, *names: str) -> Bound:
+        """Write views that a query reads more than once, each once, in the given order; they are read from there on."""
+        for name in names:
+            if name not in self.written:
+                self.written[name] = stored(self.view(name), name)
+        return self
+
+    def shared_history(self) -> Bound:
+        """The month, account and history views, which accounts, cells and duplicates of a query all read."""
+        return self.share("fx_month", "fx_account", "fx_hist")
+
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 

@@ -30,6 +30,7 @@ ORACLE_VIEWS["ora_finding"] = f"""
 
 
 def outcomes(b):
+    b.shared_history()
     return rule_outcomes(b.tradelines(), b.cells())
 
 
@@ -239,19 +240,37 @@ def k9(b):
     return f.dispute_groups(found(b)).select(*KEY, "n_findings", "group_no")
 
 
-OBSERVED_SQL = {
-    "number": "number", "address": "address", "phone": "phone", "status": "s", "name": "name", "original_creditor": "original_creditor",
-    "type": "type_text", "responsibility": "responsibility", "date_opened": "opened", "months_reviewed": "months_reviewed",
+# texts of the history that stand in where a field is empty
+ORACLE_VIEWS["ora_text"] = """
+    SELECT c.report_id, c.entity_key, max_by(c.scheduled, CASE WHEN c.sched_amt > 0 THEN c.m END) AS sched_pos, max_by(c.paid, CASE WHEN c.paid_amt > 0 THEN c.m END) AS paid_pos,
+           max_by(c.paid, CASE WHEN c.paid NOT IN ('-', '') THEN c.m END) AS paid_last, max_by(c.lpd, CASE WHEN c.lpd <> '--' THEN c.m END) AS lpd_last,
+           max_by(c.balance, CASE WHEN c.bal IS NOT NULL THEN c.bal * 100000 - c.m END) AS bal_top FROM ora_cell c GROUP BY c.report_id, c.entity_key"""
+BALANCE_SHOWN = "CASE WHEN balance = '' THEN 'Not reported' ELSE balance END"
+CLOSURE = "CASE WHEN is_closed THEN coalesce(nullif(closed, ''), nullif(e_su, ''), e_bu) END"
+# label -> value, for each label of each rule; where a label means different things the rule is named
+SHOWN_SQL = {
+    "number": "number", "status": "s", "balance": f"CASE WHEN balance IS NULL THEN bal_text ELSE {BALANCE_SHOWN} END", "address": "address", "phone": "phone",
     "past_due": "CASE WHEN past_due <> '' THEN past_due WHEN lay = 1 THEN CASE WHEN k % 12 = 2 THEN '$75.00' END ELSE due_text END",
-    "stated_last_payment": "last_payment", "terms": "terms", "duration": "CASE WHEN lay IN (1, 3) THEN coalesce(duration, terms) ELSE duration END",
-    "charge_off": "coalesce(charge_off, CASE WHEN lay <> 2 AND k % 12 = 0 THEN '$1200.00' END)", "first_delinquency": "dofd", "removal": "removal",
-    "date_closed": "closed", "date_reported": "e_rep", "status_updated": "e_su", "balance_updated": "e_bu"}
-
-
-@query("k10_observed_values", "SELECT report_id, entity_key, rule_id, field, coalesce(nullif(v, ''), 'Not reported') AS value FROM (" + " UNION ALL ".join(
-    f"SELECT report_id, entity_key, '{r}' AS rule_id, '{c}' AS field, {OBSERVED_SQL[c]} AS v FROM ora_rule" for r, cs in f.OBSERVED.items() for c in cs) + ") x")
+    "charge_off": "coalesce(charge_off, CASE WHEN lay <> 2 AND k % 12 = 0 THEN '$1200.00' END)", "original_creditor": "original_creditor", "type": "type_text", "responsibility": "responsibility",
+    "comments_shown": "comments", "additional": "additional", "statement": "NULL", "reinvestigation": "NULL", "legal_category": "legal_category", "months_reviewed": "months_reviewed", "date_opened": "opened",
+    "payment_amount": "CASE lay WHEN 0 THEN coalesce(nullif(scheduled, ''), nullif(payment, ''), sched_pos, paid_pos) WHEN 1 THEN coalesce(nullif(scheduled, ''), sched_pos) "
+                      "WHEN 2 THEN coalesce(nullif(payment, ''), nullif(scheduled, ''), paid_pos) ELSE coalesce(nullif(scheduled, ''), sched_pos, nullif(payment, ''), paid_last) END",
+    "terms_shown": "CASE WHEN lay IN (1, 3) THEN coalesce(duration, terms) ELSE coalesce(duration, terms) END", "last_payment": "CASE WHEN lay = 2 THEN coalesce(last_payment, lpd_last) ELSE last_payment END",
+    "recent_payment": "coalesce(nullif(payment, ''), CASE WHEN lay = 2 THEN paid_pos ELSE paid_last END)", "date_reported": "e_rep", "status_updated": "e_su", "balance_updated": "e_bu",
+    "scheduled_shown": "CASE WHEN scheduled = '' THEN 'Not reported' ELSE scheduled END", "payment_shown": "CASE WHEN payment = '' THEN 'Not reported' ELSE payment END", "stated_last_payment": "last_payment",
+    "terms": "terms", "duration": "CASE WHEN lay IN (1, 3) THEN coalesce(duration, terms) ELSE duration END", "closure_timing": CLOSURE,
+    "closure_month": "CASE WHEN is_closed AND clo_m IS NOT NULL THEN substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(clo_m % 12 AS int) * 3 + 1, 3) || ' ' || CAST(CAST(floor(clo_m / 12.0) AS int) AS string) END",
+    "closure_status_shown": "CASE WHEN is_closed THEN upper(clo_code) END", "closure_paid_shown": "CASE WHEN is_closed THEN clo_paid END", "signal_shown": "CASE WHEN pay_rep THEN payment ELSE last_payment END",
+    "high_balance": "coalesce(high, bal_top)", "credit_limit": "CASE WHEN lay = 1 THEN credit_limit ELSE coalesce(credit_limit, limit_text) END", "balance_shown": f"CASE WHEN balance IS NULL THEN 'Missing' ELSE {BALANCE_SHOWN} END",
+    "first_delinquency": "dofd", "removal": "removal", "date_closed": "closed"}
+
+
+@query("k10_observed_values", "SELECT report_id, entity_key, rule_id, label, coalesce(nullif(v, ''), 'Not reported') AS value FROM (" + " UNION ALL ".join(
+    f"SELECT report_id, entity_key, '{r.id}' AS rule_id, '{label}' AS label, {SHOWN_SQL[c]} AS v FROM (SELECT * FROM ora_rule JOIN ora_text USING (report_id, entity_key)) z"
+    for r in RULES for label, c in f.OBSERVED.get(r.id, f.OTHERWISE)) + ") x")
 def k10(b):
-    return f.observed_facts(account_view(b.tradelines(), b.cells(), {n for fields in f.OBSERVED.values() for n in fields}))
+    b.shared_history()
+    return f.observed_facts(account_view(b.tradelines(), b.cells(), f.observed_columns()), [r.id for r in RULES])
 
 
 @query("k11_rollup", """SELECT profile_id, severity, issue_type, CAST(count(*) AS int) AS n_findings FROM (SELECT x.*, r.profile_id FROM ora_finding x JOIN fx_report r USING (report_id)) y

@@ -34,6 +34,7 @@ def words(b) -> DataFrame:
 
 
 def sequence_conflicts(b) -> DataFrame:
+    b.shared_history()
     anchors = with_anchors(b.tradelines(), {"opened_m"}).select(*KEY, "profile_id", "opened_m")
     return packed.conflicts(words(b), anchors)
 
@@ -217,6 +218,7 @@ for _name, _kind in SEQUENCES.items():
     SELECT c.report_id, c.entity_key, c.kind, c.m FROM ora_chain c JOIN ora_rule a USING (report_id, entity_key)
     WHERE c.kind <> 'regression' AND (c.act OR coalesce(c.p_act, false) OR coalesce(abs(c.m - a.lp_m) <= 2, false) OR a.recent_pos)""")
 def h27(b):
+    b.shared_history()
     accounts = account_view(b.tradelines(), b.cells(), {"last_payment_m", "recent_payment"}).select(
         *KEY, "last_payment_m", "recent_payment")
     return h.payment_activity_conflicts(sequence_conflicts(b), accounts).select(*KEY, "kind", "m")

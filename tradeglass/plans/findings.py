@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeglass import vocab
-from tradeglass.functions.text import add, lookup, norm_text, one_of
+from tradeglass.functions.dates import month_label
+from tradeglass.functions.text import add, lookup, names_in, norm_text, one_of
 from tradeglass.operators.history import KEY
 from tradeglass.operators.skew import grouped_rank, salted_join
 
@@ -111,20 +112,74 @@ def dispute_groups(findings: DataFrame) -> DataFrame:
     return grouped_rank(groups, ["report_id"], ["first_rank"], "group_no")
 
 
-OBSERVED = {  # fixed values: fields shown for a rule that did not fire
-    "r02": ["number"], "r03": ["address", "phone"], "r04": ["status"], "r05": ["name", "original_creditor"],
-    "r06": ["name", "type", "original_creditor"], "r07": ["responsibility"], "r08": ["status"], "r09": ["status"],
-    "r13": ["date_opened", "months_reviewed"], "r14": ["type"], "r18": ["past_due"], "r33": ["stated_last_payment"],
-    "r34": ["stated_last_payment"], "r35": ["terms", "duration"], "r42": ["status"], "r44": ["status", "charge_off"],
-    "r46": ["first_delinquency"], "r49": ["first_delinquency", "removal"], "r50": ["date_closed"], "r51": ["date_reported"],
-    "r52": ["status_updated"], "r53": ["balance_updated"],
+# --- fixed values: what is shown beside a rule, by label; a rule without an entry shows the last list -------
+MONTHS_REVIEWED = [("Months reviewed", "months_reviewed")]
+STATUS_AND_COMMENTS = [("Status", "status"), ("Comments", "comments_shown")]
+BALANCE_AND_PAYMENT = [("Current balance", "balance"), ("Payment amount", "payment_amount")]
+CREDITOR_AND_TYPE = [("Original creditor", "original_creditor"), ("Account type", "type")]
+DELINQUENCY_DATES = [("Date of first delinquency", "first_delinquency"), ("Estimated removal", "removal")]
+BALANCE_FIELD = ("Reported current balance field", "balance_shown")
+OBSERVED: dict[str, list[tuple[str, str]]] = {
+    "r01": [("Account number", "number"), ("Status", "status"), ("Balance", "balance")],
+    "r02": [("Account number", "number")],
+    "r03": [("Furnisher address", "address"), ("Furnisher phone", "phone")],
+    "r04": [("Status", "status"), ("Amount past due", "past_due"), ("Charge-off amount", "charge_off")],
+    "r05": CREDITOR_AND_TYPE, "r06": CREDITOR_AND_TYPE,
+    "r07": [("Responsibility", "responsibility")],
+    "r08": [("Status", "status"), ("Comments", "comments_shown"), ("Additional information", "additional"), ("Consumer statement", "statement"),
+            ("Reinvestigation info", "reinvestigation"), ("Legal category", "legal_category")],
+    **{r: MONTHS_REVIEWED for r in ("r09", "r10", "r11", "r17", "r20", "r22", "r23", "r24", "r25", "r26", "r27", "r28")},
+    "r13": [("Date opened", "date_opened"), ("Months reviewed", "months_reviewed")],
+    "r14": [("Account type", "type"), ("Monthly payment", "payment_amount"), ("Terms", "terms_shown")],
+    "r15": [("Last payment date", "last_payment"), ("Recent payment", "recent_payment")],
+    **{r: [("Amount past due", "past_due")] for r in ("r16", "r18", "r19")},
+    "r21": [("Reported last payment date", "last_payment"), ("Recent payment", "recent_payment"), ("Reported date", "date_reported"),
+            ("Status-updated date", "status_updated"), ("Balance-updated date", "balance_updated")],
+    "r29": STATUS_AND_COMMENTS, "r30": STATUS_AND_COMMENTS, "r44": STATUS_AND_COMMENTS, "r45": STATUS_AND_COMMENTS,
+    "r31": [("Last payment date", "last_payment"), ("Recent payment", "recent_payment"), ("Scheduled payment", "scheduled_shown")],
+    "r32": [("Current balance", "balance"), ("Monthly payment", "payment_amount")],
+    "r33": [("Reported last payment date field", "stated_last_payment"), ("Reported scheduled payment amount field", "scheduled_shown")],
+    "r34": [("Reported last payment date field", "stated_last_payment"), ("Reported recent/actual payment amount field", "payment_shown")],
+    "r35": [("Reported scheduled payment amount field", "scheduled_shown"), ("Reported terms field", "terms"), ("Reported term duration field", "duration")],
+    "r36": [("Closure timing", "closure_timing"), ("Closure month", "closure_month"), ("Closure-month payment history", "closure_status_shown"),
+            ("Closure-month actual payment table", "closure_paid_shown"), ("Scalar last-payment signal", "signal_shown")],
+    "r37": [("Closure timing", "closure_timing"), ("Closure month", "closure_month"), ("Scalar actual payment signal", "signal_shown"),
+            ("Closure-month actual payment table", "closure_paid_shown")],
+    "r38": [("High balance", "high_balance"), ("Current balance", "balance")],
+    "r39": BALANCE_AND_PAYMENT, "r40": BALANCE_AND_PAYMENT, "r43": BALANCE_AND_PAYMENT,
+    "r41": [("Credit limit", "credit_limit")],
+    "r42": [("Current balance field", "balance_shown"), ("Status", "status"), ("Amount past due", "past_due"), ("Charge-off amount", "charge_off")],
+    "r46": DELINQUENCY_DATES, "r49": DELINQUENCY_DATES,
+    "r47": [("Status-updated date", "status_updated")], "r52": [("Status-updated date", "status_updated")],
+    "r48": [BALANCE_FIELD, ("Balance-updated date", "balance_updated")], "r53": [BALANCE_FIELD, ("Balance-updated date", "balance_updated")],
+    "r50": [("Reported closed date", "date_closed"), ("Reported status-updated date", "status_updated"), ("Reported balance-updated date", "balance_updated"), ("Reported status", "status")],
+    "r51": [BALANCE_FIELD, ("Reported date", "date_reported")],
 }
+OTHERWISE = [("Status", "status"), ("Balance", "balance")]
+#: What is shown where no column of the account view says it as it is.
+SHOWN = {
+    "comments_shown": "array_join(comments, '; ')",
+    "terms_shown": "coalesce(nullif(duration, ''), terms)",
+    "balance_shown": "if(balance_state.state = 'missing_field', 'Missing', balance_state.value)",
+    "scheduled_shown": "scheduled_state.value",
+    "payment_shown": "payment_state.value",
+    "closure_month": f"if(is_closed, {month_label('closure_m')}, '')",
+    "closure_status_shown": "if(is_closed, closure_status, '')",
+    "closure_paid_shown": "if(is_closed, closure_paid, '')",
+    "signal_shown": "if(payment_reported, payment_state.value, stated_last_payment)",
+}
+
+
+def observed_columns() -> set[str]:
+    """Columns of the account view that the observed values read."""
+    columns = {c for shown in [*OBSERVED.values(), OTHERWISE] for _, c in shown}
+    return (columns - set(SHOWN)) | names_in(SHOWN[c] for c in columns & set(SHOWN))
 
 
-def observed_facts(view: DataFrame) -> DataFrame:
-    """(account, rule, field, value) a passive rule shows; empty values read 'Not reported'."""
-    rows = ", ".join(f"named_struct('rule_id', '{r}', 'field', '{f}', 'value', coalesce(nullif({f}, ''), 'Not reported'))"
-                     for r, fields in OBSERVED.items() for f in fields)
+def observed_facts(view: DataFrame, rules: list[str]) -> DataFrame:
+    """(account, rule, label, value) of what each rule looked at, whether it fired or not; empty values read 'Not reported'."""
+    rows = ", ".join(f"named_struct('rule_id', '{r}', 'label', '{label}', 'value', coalesce(nullif({SHOWN.get(c, c)}, ''), 'Not reported'))"
+                     for r in rules for label, c in OBSERVED.get(r, OTHERWISE))
     return view.selectExpr(*KEY, f"inline(array({rows}))")
 
 
