@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tradeglass.functions import codes, dates, text
+from tradeglass.operators import grounding
 from tradeglass.operators import history as h
 from tradeglass.operators import layout, linkage, quality
 from tradeglass.operators.skew import contains_join, grouped_rank, salted_join
@@ -68,7 +70,7 @@ def test_value_grounding_finds_spellings_and_tokens(spark):
                                   "report_id string, page int, page_text string")
     fields = spark.createDataFrame([("r", "1250.00"), ("r", "West the Bank ACME"), ("r", "acme bank west west north of"), ("s", "ACME"), ("s", "1250.00")],
                                    "report_id string, value string")
-    got = {(r.report_id, r.value): r.page for r in quality.ground_values(fields, pages).collect()}
+    got = {(r.report_id, r.value): r.page for r in grounding.locate(fields.withColumn("monthly", F.lit(False)), pages).collect()}
     assert got == {("r", "1250.00"): 1, ("r", "West the Bank ACME"): 2, ("r", "acme bank west west north of"): 2, ("s", "ACME"): 1}
 
 
@@ -148,7 +150,7 @@ def test_stream_reruns_changed_reports_only(spark, tmp_path):
 
     def drain():
         stream = spark.readStream.schema(schema).parquet(str(src / "*"))
-        q = incremental.run_changed(stream, str(tmp_path / "state"), run, ["report_id"], "version", str(tmp_path / "cp"))
+        q = incremental.run_changed(stream, run, ["report_id"], "version", str(tmp_path / "cp"))
         q.awaitTermination(120)
 
     arrive(1, [("a", 1, "x"), ("a", 2, "y"), ("b", 5, "z")])
@@ -158,6 +160,41 @@ def test_stream_reruns_changed_reports_only(spark, tmp_path):
     assert seen == [[("a", 2), ("b", 5)], [("b", 6), ("c", 1)]]
 
 
+def test_fifty_batches_keep_their_cost_and_replays_change_nothing(spark, tmp_path):
+    src, seen, failed = tmp_path / "src", {}, []
+    schema = "report_id string, version int, path string"
+    for n in range(50):  # each file has three new keys, one newer and one older version of known keys
+        rows = [(f"r{n}-{k}", 5, f"f{n}") for k in range(3)] + [(f"r{n // 2}-0", 100 + n, "newer"), (f"r{n // 3}-1", 1, "late")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / "all"))
+
+    def run(batch, batch_id):
+        got = values(batch.select("report_id", "version"))
+        if batch_id == 20 and not failed:
+            failed.append(got)
+            raise RuntimeError("lost")
+        seen[batch_id] = got
+
+    def drain():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "all"))
+        q = incremental.run_changed(stream, run, ["report_id"], "version", str(tmp_path / "cp"))
+        try:
+            q.awaitTermination(300)
+        except Exception:
+            assert failed
+        return q.recentProgress
+
+    first, second = drain(), drain()
+    assert failed and failed[0] == seen[20] and sorted(seen) == list(range(50))
+    steps = [p for p in [*first, *second] if p.numInputRows]
+    assert {p.numInputRows for p in steps} == {5} and max(p.stateOperators[0].numRowsUpdated for p in steps) <= 5
+    newest = {}
+    for got in seen.values():
+        for report, version in got:
+            assert version > newest.get(report, 0)
+            newest[report] = version
+    assert len(newest) == 150 and sum(v >= 100 for v in newest.values()) == 25
+
+
 def test_stream_session_windows_close(spark, tmp_path):
     rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-01 05:00:00")]
     spark.createDataFrame(rows, "user_id int, ts string").selectExpr("user_id", "cast(ts AS timestamp) AS ts").coalesce(1).write.parquet(str(tmp_path / "e"))
