@@ -7,8 +7,9 @@ solved. Scoring a batch is two matrix products: presence rows with landmark rows
 solved weights.
 
 Only the fit uses a sample, SAMPLE rows at most, shared evenly among the languages (LANGUAGE_ROWS of one at
-most, which Spark keeps per task before any row is shuffled) and chosen by a hash of doc_id: every other
-row, whatever its size, is only scored. A prediction sees the text alone.
+most) and chosen by a hash of doc_id: every other row, whatever its size, is only scored. A share of each
+language that holds SPARE times what is picked is cut out by that hash first, so the window of a language
+never reads more than that. A prediction sees the text alone.
 
 Odd inputs: a null text, or one without any letter, gets `und` with score 0; so does every text when no
 row has a language to learn from. Such texts and rows without doc_id are not learned from. Repeated rows, ties and
@@ -30,6 +31,8 @@ from tradeglass.llm.pieces import _folded
 from tradeglass.llm.words import chunks
 
 FEATURES, LANDMARKS, SAMPLE, LANGUAGE_ROWS, RIDGE, ROWS_AT_ONCE = 1 << 14, 128, 4096, 1000, 1e-3, 64
+#: Rows of a language that are looked at for each one picked.
+SPARE = 4
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
@@ -101,11 +104,16 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """A model from a bounded sample of the rows with text and language; None where there are none."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     named = rows.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    kinds = named.select("lang").distinct().count()
-    if not kinds:
+    counts = {r["lang"]: r["count"] for r in named.groupBy("lang").count().collect()}  # one number per language of the model
+    if not counts:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("doc_id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, min(LANGUAGE_ROWS, SAMPLE // kinds)))
+    most = max(1, min(LANGUAGE_ROWS, SAMPLE // len(counts)))
+    # rows are picked by a hash of their id; those that cannot be among the first are left out before any row is shuffled
+    shares = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, SPARE * most / n)))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
+    near = named.select("doc_id", "lang", chance.alias("chance")).where(F.col("chance") < F.element_at(shares, F.col("lang")))
+    order = Window.partitionBy("lang").orderBy("chance", "doc_id")
+    picked = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("chance")
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
