@@ -283,8 +283,8 @@ class Bound:
         return self
 
     def shared_history(self) -> Bound:
-        """The month, account and history views, which accounts, cells and duplicates of a query all read."""
-        return self.share("fx_month", "fx_account", "fx_hist")
+        """The month, span and account views, which accounts, cells and duplicates of a query all read."""
+        return self.share("fx_month", "fx_span", "fx_account")
 
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
