@@ -334,6 +334,6 @@ scalar("c12_bureau_layout", REPORT_TEXT, {"bureau": classify.bureau_of("t"), "la
                   "WHEN 4 THEN 'experian_acr_v1' END"})
 PRINTED = ("SELECT doc_id, text || CASE doc_id % 5 WHEN 0 THEN ' Credit Accounts and Soft Inquiries' WHEN 1 THEN ' at a glance' WHEN 2 THEN ' Public Records: rental' "
            "WHEN 3 THEN '' ELSE ' medical collections' END AS t FROM documents")
-SECTIONS = [s for s in vocab.SECTION_PATTERNS if s != "additionalInformation"]
+SECTIONS = list(vocab.SECTION_PATTERNS)
 scalar("c13_sections", PRINTED, {f"s_{s}": f"cast({classify.section_present('t', s)} AS int)" for s in SECTIONS},
-       {f"s_{s}": flag(f"regexp_matches(t, '(?i){vocab.SECTION_PATTERNS[s]}')") for s in SECTIONS}, "doc_id")
+       {f"s_{s}": flag(f"regexp_matches(t, '(?i{'m' if vocab.SECTION_PATTERNS[s][0].startswith('^') else ''}){'|'.join(vocab.SECTION_PATTERNS[s])}')") for s in SECTIONS}, "doc_id")

@@ -166,7 +166,7 @@ def v10_differences(b):
 AUDIT = ("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'equifax_old_v1' WHEN 1 THEN 'experian_acr_v1' WHEN 2 THEN 'equifax_new_v1' ELSE 'transunion_acr_v1' END AS profile_id, "
          "text || CASE doc_id % 3 WHEN 0 THEN ' Other Accounts; apartment lease' WHEN 1 THEN ' bankruptcy and credit report messages' ELSE ' soft inquiries' END AS body FROM documents")
 SECTION_ROWS = " UNION ALL ".join(
-    f"SELECT doc_id, profile_id, '{s}' AS section FROM ({AUDIT}) a WHERE regexp_matches(body, '(?i{'m' if p.startswith('^') else ''}){p}')"
+    f"SELECT doc_id, profile_id, '{s}' AS section FROM ({AUDIT}) a WHERE regexp_matches(body, '(?i{'m' if p[0].startswith('^') else ''}){'|'.join(p)}')"
     for s, p in vocab.SECTION_PATTERNS.items())
 COVERED = ", ".join(f"('{p}', '{s}')" for p, sections in vocab.LAYOUT_COVERAGE.items() for s in sections)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from tradeglass import vocab
-from tradeglass.functions.text import contains_any, institution_key, joined, lit, match_text, missing, norm_text, rx
+from tradeglass.functions.text import contains_any, either, institution_key, joined, lit, match_text, missing, norm_text, rx
 
 
 def collection_status(*cols: str) -> str:
@@ -49,8 +49,8 @@ def usable_creditor(original: str, name: str, type_: str, category: str, status:
 
 def display_text_negative(c: str) -> str:
     t = f"lower(trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[_-]+', ' '), {rx('\\s+')}, ' ')))"
-    return (f"({t} RLIKE {rx(vocab.HARD_NEGATIVE)} OR ({t} RLIKE {rx(vocab.SOFT_NEGATIVE)} "
-            f"AND NOT {t} RLIKE {rx(vocab.NEGATIVE_OVERRIDE)}))")
+    return (f"({t} RLIKE {rx(either(vocab.HARD_NEGATIVE))} OR ({t} RLIKE {rx(either(vocab.SOFT_NEGATIVE))} "
+            f"AND NOT {t} RLIKE {rx(either(vocab.NEGATIVE_OVERRIDE))}))")
 
 
 def display_code_negative(c: str) -> str:
@@ -59,19 +59,19 @@ def display_code_negative(c: str) -> str:
 
 
 def account_subtype(context: str) -> str:
-    tests = " ".join(f"WHEN {context} RLIKE {rx(p)} THEN '{label}'" for label, _, p in vocab.SUBTYPES)
+    tests = " ".join(f"WHEN {context} RLIKE {rx(either(p))} THEN '{label}'" for label, _, p in vocab.SUBTYPES)
     return f"CASE {tests} END"
 
 
 def legal_category(context: str) -> str:
     """Category of the first subtype that matches, else bankruptcy when the context says so."""
-    tests = " ".join(f"WHEN {context} RLIKE {rx(p)} THEN {lit(legal) if legal else 'NULL'}"
+    tests = " ".join(f"WHEN {context} RLIKE {rx(either(p))} THEN {lit(legal) if legal else 'NULL'}"
                      for _, legal, p in vocab.SUBTYPES)
-    return f"coalesce(CASE {tests} END, if({context} RLIKE {rx(vocab.BANKRUPTCY_CONTEXT)}, 'bankruptcy', NULL))"
+    return f"coalesce(CASE {tests} END, if({context} RLIKE {rx(either(vocab.BANKRUPTCY_CONTEXT))}, 'bankruptcy', NULL))"
 
 
 def reporting_category(context: str) -> str:
-    return f"if({context} RLIKE {rx(vocab.COLLECTION_CONTEXT)}, 'collection', 'tradeline')"
+    return f"if({context} RLIKE {rx(either(vocab.COLLECTION_CONTEXT))}, 'collection', 'tradeline')"
 
 
 def bureau_of(text: str) -> str:
@@ -89,27 +89,20 @@ def layout_of(text: str) -> str:
     def all_of(*words: str) -> str:
         return "(" + " AND ".join(f"contains({t}, '{w}')" for w in words) + ")"
 
-    transunion = " OR ".join([
-        all_of("personal credit report for:", "visit transunion.com/dispute"),
-        all_of("personal credit report for:", "annualcreditreport.transunion.com/dss/disclosure.page"),
-        all_of("transunion", "credit report date", "file number:", "personal information"),
-    ])
-    experian = f"{all_of('annual credit report - experian')} OR {all_of('experian', 'at a glance', 'hard inquiries')}"
-    new_form = all_of("equifax", "your credit report", "consumer file notices", "confirmation #")
-    return (f"CASE WHEN {transunion} THEN 'transunion_acr_v1' WHEN {experian} THEN 'experian_acr_v1' "
-            f"WHEN {new_form} THEN 'equifax_new_v1' WHEN {all_of('equifax')} THEN 'equifax_old_v1' END")
+    tests = " ".join(f"WHEN {' OR '.join(all_of(*words) for words in ways)} THEN '{layout}'" for layout, ways in vocab.LAYOUT_PHRASES)
+    return f"CASE {tests} END"
 
 
-def _literal_cores(pattern: str) -> list[str]:
+def _literal_cores(patterns: list[str]) -> list[str]:
     """A literal every match of each alternative must contain, in lower case; [] when one has none."""
-    cores = [re.split(r".\?|[(\[^$*+]", alt.replace(r"\b", ""))[0].strip().lower() for alt in pattern.split("|")]
+    cores = [re.split(r".\?|[(\[^$*+]", alt.replace(r"\b", ""))[0].strip().lower() for alt in patterns]
     return cores if all(cores) else []
 
 
 def section_present(text: str, section: str) -> str:
     """Section heading test; plain substring tests run first, so most texts never meet the pattern."""
-    pattern = vocab.SECTION_PATTERNS[section]
-    flags = "(?im)" if pattern.startswith("^") else "(?i)"
-    cores = _literal_cores(pattern) or ["additional information"]
+    patterns = vocab.SECTION_PATTERNS[section]
+    flags = "(?im)" if patterns[0].startswith("^") else "(?i)"
+    cores = _literal_cores(patterns) or ["additional information"]
     maybe = " OR ".join(f"contains(lower({text}), {lit(c)})" for c in cores)
-    return f"(({maybe}) AND {text} RLIKE {rx(flags + pattern)})"
+    return f"(({maybe}) AND {text} RLIKE {rx(flags + either(patterns))})"

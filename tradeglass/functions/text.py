@@ -62,6 +62,11 @@ def names_in(expressions) -> set[str]:
     return {word for sql in expressions for word in re.findall(r"\w+", sql)}
 
 
+def either(patterns: list[str]) -> str:
+    """One regular expression for any of several."""
+    return "|".join(patterns)
+
+
 def norm_text(c: str) -> str:
     """Whitespace runs (including no-break space) become one space; null becomes ''."""
     return f"trim(regexp_replace(coalesce({c}, ''), {rx('(?U)\\s+')}, ' '))"

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tradeglass import vocab
 from tradeglass.functions.text import (
-    account_number_key, add, canonical_subscriber, first_meaningful, identity_key, is_missing, match_text, norm_text,
+    account_number_key, add, canonical_subscriber, either, first_meaningful, identity_key, is_missing, match_text, norm_text,
     number_tail, rx, solid_tail,
 )
 from tradeglass.operators.skew import contains_join, grouped_rank, salted_join
@@ -73,10 +73,9 @@ def collection_score(fields: list[str]) -> str:
 
 def dedup_collections(collections: DataFrame, expected: DataFrame, scored: list[str]) -> DataFrame:
     """Drop contaminated or thin rows, merge by identity, keep the best expected_count per report."""
-    suspicious = r"(?i)collections?\s+stay\s+on\s+your|view detailed information|how to dispute"
     agency = norm_text("agency")
     good = collections.where(
-        f"NOT coalesce(agency, '') RLIKE r'{suspicious}' AND ({agency} = '' OR {agency} RLIKE '[A-Za-z]{{3,}}') "
+        f"NOT coalesce(agency, '') RLIKE {rx('(?i)' + either(vocab.NOT_AN_AGENCY))} AND ({agency} = '' OR {agency} RLIKE '[A-Za-z]{{3,}}') "
         f"AND {collection_score(scored)} >= 2")
     keyed = add(good, {"agency_key": match_text("agency"),
                        "second_key": match_text("coalesce(nullif(number, ''), creditor)")})
@@ -197,7 +196,7 @@ def indicators(raw: DataFrame, accounts: DataFrame, records: DataFrame) -> DataF
         "report_id", "1 AS src", "ind_ord AS ord", f"{first_meaningful('code')} AS code",
         f"coalesce({first_meaningful('description', 'code')}, 'Consumer information indicator') AS description",
         f"{first_meaningful('linked_name')} AS linked_name", f"{first_meaningful('linked_number')} AS linked_number")
-    b = accounts.where(f"NOT {is_missing('indicator')} OR context RLIKE r'{vocab.BANKRUPTCY_CONTEXT}'").selectExpr(
+    b = accounts.where(f"NOT {is_missing('indicator')} OR context RLIKE {rx(either(vocab.BANKRUPTCY_CONTEXT))}").selectExpr(
         "report_id", "2 AS src", "ord", f"{first_meaningful('indicator')} AS code",
         f"coalesce({first_meaningful('indicator')}, 'Bankruptcy-related account condition') AS description",
         f"{first_meaningful('name')} AS linked_name", f"{first_meaningful('number')} AS linked_number")

@@ -17,6 +17,7 @@ from tradeglass.functions.text import contains_any, lit, missing, names_in, one_
 from tradeglass.operators.history import KEY, count_runs, latest_balance
 from tradeglass.operators.skew import salted_join
 from tradeglass.plans.account_view import account_view, money_state, with_anchors
+from tradeglass.vocab import RULE_NAMES
 
 
 @dataclass(frozen=True)
@@ -94,128 +95,108 @@ HIGH, MED, LOW = "high", "medium", "low"
 
 
 RULES = [
-    Rule("r01", "duplicate_conflicting_tradeline", "Conflicting tradeline reporting", ID, HIGH, "duplicate_conflict"),
-    Rule("r02", "missing_account_number", "Incomplete account identifier", ID, HIGH, "incomplete_number"),
-    Rule("r03", "missing_furnisher_identification", "Incomplete furnisher identification", ID, MED,
+    Rule("r01", *RULE_NAMES["r01"], ID, HIGH, "duplicate_conflict"),
+    Rule("r02", *RULE_NAMES["r02"], ID, HIGH, "incomplete_number"),
+    Rule("r03", *RULE_NAMES["r03"], ID, MED,
          f"{lacks('address')} AND {lacks('phone')}"),
-    Rule("r04", "missing_account_status", "Account status is incomplete", ID, MED,
+    Rule("r04", *RULE_NAMES["r04"], ID, MED,
          f"{lacks('status')} AND (collection OR past_due_pos_flag OR charge_off_pos OR n_der > 0)", "negative"),
-    Rule("r05", "incomplete_original_creditor_identity", "Original creditor identity is incomplete", ID, MED,
+    Rule("r05", *RULE_NAMES["r05"], ID, MED,
          "collection AND NOT usable_creditor", "collection"),
-    Rule("r06", "student_loan_lender_identity_mismatch", "Student-loan lender identity is incomplete", ID, MED,
+    Rule("r06", *RULE_NAMES["r06"], ID, MED,
          "student_loan AND NOT usable_creditor", "student_loan"),
-    Rule("r07", "responsibility_requires_special_handling", "Responsibility designation requires review", ID, LOW,
+    Rule("r07", *RULE_NAMES["r07"], ID, LOW,
          RESPONSIBLE, RESPONSIBLE, has("responsibility")),
-    Rule("r08", "account_in_litigation", "Account is reported in litigation", LEGAL, HIGH, "litigation", "litigation"),
-    Rule("r09", "missing_payment_history", "Payment history is missing", HIST, HIGH,
+    Rule("r08", *RULE_NAMES["r08"], LEGAL, HIGH, "litigation", "litigation"),
+    Rule("r09", *RULE_NAMES["r09"], HIST, HIGH,
          f"NOT present AND {OPEN} AND NOT coalesce(anchor_m - opened_m < 2, false)", OPEN),
-    Rule("r10", "derogatory_status_without_monthly_support", "Derogatory reporting lacks monthly support", HIST, HIGH,
+    Rule("r10", *RULE_NAMES["r10"], HIST, HIGH,
          "derogatory_status AND NOT present", "negative"),
-    Rule("r11", "payment_history_missing_months", "Payment history has missing months", HIST, MED,
+    Rule("r11", *RULE_NAMES["r11"], HIST, MED,
          f"present AND {listed(MISSING_MONTHS)}", evaluable=CELLS, runs=count_runs(MISSING_MONTHS)),
-    Rule("r12", "payment_history_activity_before_table_coverage",
-         "Derogatory history predates supporting table coverage", HIST, HIGH,
+    Rule("r12", *RULE_NAMES["r12"], HIST, HIGH,
          " OR ".join(uncovered(s) for s in ("balance", "past_due", "paid", "scheduled")), evaluable=CELLS),
-    Rule("r13", "payment_history_incomplete_since_open_date", "Payment history from date opened is incomplete",
-         HIST, MED, "coalesce(first_seen_m > expected_m, false)", evaluable=f"{CELLS} AND {has('date_opened')}"),
-    Rule("r14", "monthly_payment_missing_for_open_installment", "Monthly payment is incomplete", HIST, MED,
+    Rule("r13", *RULE_NAMES["r13"], HIST, MED, "coalesce(first_seen_m > expected_m, false)", evaluable=f"{CELLS} AND {has('date_opened')}"),
+    Rule("r14", *RULE_NAMES["r14"], HIST, MED,
          f"{OPEN_INSTALLMENT} AND {lacks('payment_amount')}", OPEN_INSTALLMENT),
-    Rule("r15", "recent_payment_missing_when_history_implies_payment", "Recent payment details are incomplete",
-         HIST, MED, f"{OPEN} AND {RECENT_CURRENT} AND {lacks('recent_payment')} AND {lacks('last_payment')}",
+    Rule("r15", *RULE_NAMES["r15"], HIST, MED, f"{OPEN} AND {RECENT_CURRENT} AND {lacks('recent_payment')} AND {lacks('last_payment')}",
          f"{OPEN} AND {RECENT_CURRENT}", CELLS),
-    Rule("r16", "payment_history_24_month_past_due_conflict", "Payment history conflicts with past-due history",
-         HIST, HIGH, f"{NEW_FORM} AND {listed('past_due_conflict_months')}", NEW_FORM,
+    Rule("r16", *RULE_NAMES["r16"], HIST, HIGH, f"{NEW_FORM} AND {listed('past_due_conflict_months')}", NEW_FORM,
          f"n_past_due_cells > 0 AND {CELLS}", count_runs("past_due_conflict_months")),
-    Rule("r17", "payment_history_24_month_activity_conflict",
-         "Payment history is incomplete relative to 24 month history", HIST, MED,
+    Rule("r17", *RULE_NAMES["r17"], HIST, MED,
          f"{NEW_FORM} AND {listed('activity_conflict_months')}", NEW_FORM, f"{SECTION_CELLS} AND {CELLS}",
          count_runs("activity_conflict_months")),
-    Rule("r18", "past_due_without_monthly_support", "Past-due reporting lacks monthly support", HIST, HIGH,
+    Rule("r18", *RULE_NAMES["r18"], HIST, HIGH,
          f"past_due_pos_flag AND present AND only_current AND NOT {listed('past_due_conflict_months')}",
          "past_due_pos_flag", CELLS),
-    Rule("r19", "amount_past_due_history_conflict", "Past-due history conflicts with payment history", HIST, HIGH,
+    Rule("r19", *RULE_NAMES["r19"], HIST, HIGH,
          "n_der = 0 AND coalesce(past_due_max > 0, false)", evaluable=f"n_past_due_cells > 0 AND {CELLS}"),
-    Rule("r20", "delinquency_progression_inconsistency", "Delinquency progression is inconsistent", HIST, HIGH,
+    Rule("r20", *RULE_NAMES["r20"], HIST, HIGH,
          "n_regression > 0", evaluable=CELLS),
-    Rule("r21", "thirty_day_late_without_full_30_day_interval",
-         "30-day late does not reflect a full 30-day interval", HIST, HIGH,
+    Rule("r21", *RULE_NAMES["r21"], HIST, HIGH,
          "n_short_intervals > 0", "n_30 > 0", "n_interval_months > 0"),
-    Rule("r22", "severe_delinquency_jump_without_predecessor_support",
-         "Severe delinquency jump lacks predecessor support", HIST, HIGH, "n_severe_jump > 0", evaluable=CELLS),
-    Rule("r23", "reaging_jump_after_current_reset", "Delinquency jumps after a current reset", HIST, HIGH,
+    Rule("r22", *RULE_NAMES["r22"], HIST, HIGH, "n_severe_jump > 0", evaluable=CELLS),
+    Rule("r23", *RULE_NAMES["r23"], HIST, HIGH,
          "n_reaging > 0", evaluable=CELLS),
-    Rule("r24", "first_30_day_late_without_prior_reporting_support",
-         "First 30-day late lacks prior reporting support", HIST, HIGH,
+    Rule("r24", *RULE_NAMES["r24"], HIST, HIGH,
          "n_first_30 > 0", evaluable=f"{CELLS} AND {has('date_opened')}"),
-    Rule("r25", "first_derogatory_month_without_prior_reporting_support",
-         "First derogatory month lacks prior reporting support", HIST, HIGH,
+    Rule("r25", *RULE_NAMES["r25"], HIST, HIGH,
          "n_first_severe > 0", evaluable=f"{CELLS} AND {has('date_opened')}"),
-    Rule("r26", "blank_gap_before_derogatory_month", "Blank gap appears before a derogatory month", HIST, HIGH,
+    Rule("r26", *RULE_NAMES["r26"], HIST, HIGH,
          "n_blank_gap > 0", evaluable=CELLS),
-    Rule("r27", "retroactive_derogatory_backfill_after_reporting_gap", "Derogatory reporting appears after a long gap",
-         HIST, HIGH, "n_backfill > 0", evaluable=CELLS),
-    Rule("r28", "charge_off_or_collection_without_monthly_build_up",
-         "Charge-off or collection reporting lacks monthly buildup", HIST, HIGH, "n_no_build_up > 0", evaluable=CELLS),
-    Rule("r29", "payment_plan_or_forbearance_context_without_history",
-         "Payment-plan or forbearance context lacks history", HIST, HIGH, "plan AND NOT present", "plan"),
-    Rule("r30", "payment_plan_or_forbearance_context_with_derogatory_conflict",
-         "Payment-plan or forbearance context conflicts with derogatory reporting", HIST, HIGH,
+    Rule("r27", *RULE_NAMES["r27"], HIST, HIGH, "n_backfill > 0", evaluable=CELLS),
+    Rule("r28", *RULE_NAMES["r28"], HIST, HIGH, "n_no_build_up > 0", evaluable=CELLS),
+    Rule("r29", *RULE_NAMES["r29"], HIST, HIGH, "plan AND NOT present", "plan"),
+    Rule("r30", *RULE_NAMES["r30"], HIST, HIGH,
          "plan AND present AND n_chain > 0", "plan", CELLS),
-    Rule("r31", "payment_activity_conflicts_with_delinquency_progression",
-         "Payment activity conflicts with delinquency progression", HIST, HIGH,
+    Rule("r31", *RULE_NAMES["r31"], HIST, HIGH,
          ACTIVITY_CONFLICT, evaluable=f"{CELLS} AND {ANY_ACTIVITY}"),
-    Rule("r32", "balance_reduction_conflicts_with_worsening_delinquency",
-         "Balance reduction conflicts with worsening delinquency", HIST, HIGH,
+    Rule("r32", *RULE_NAMES["r32"], HIST, HIGH,
          "n_seq_balance_drop > 0", evaluable=f"{CELLS} AND {BALANCE_CELLS}"),
-    Rule("r33", "last_payment_date_without_scheduled_payment_amount",
-         "Last payment date lacks scheduled payment amount", HIST, MED,
+    Rule("r33", *RULE_NAMES["r33"], HIST, MED,
          f"{has('stated_last_payment')} AND NOT scheduled_reported", has("stated_last_payment")),
-    Rule("r34", "last_payment_date_without_payment_amount", "Last payment date lacks payment amount", HIST, MED,
+    Rule("r34", *RULE_NAMES["r34"], HIST, MED,
          f"{has('stated_last_payment')} AND NOT payment_reported", has("stated_last_payment")),
-    Rule("r35", "scheduled_payment_amount_without_terms", "Scheduled payment amount lacks terms", HIST, MED,
+    Rule("r35", *RULE_NAMES["r35"], HIST, MED,
          f"scheduled_reported AND {lacks('terms')} AND {lacks('duration')}", "scheduled_reported"),
-    Rule("r36", "closed_account_final_month_reporting_incomplete",
-         "Closed account final-month reporting is incomplete", HIST, HIGH,
+    Rule("r36", *RULE_NAMES["r36"], HIST, HIGH,
          f"is_closed AND closure_m IS NOT NULL AND ({CLOSURE_BLANK} OR ({PAYMENT_SIGNAL} AND NOT {CLOSURE_ACTIVITY}))",
          "is_closed", "closure_m IS NOT NULL"),
-    Rule("r37", "closed_account_actual_payment_conflicts_with_closure_month_history",
-         "Closed account actual payment conflicts with closure month", HIST, HIGH,
+    Rule("r37", *RULE_NAMES["r37"], HIST, HIGH,
          f"is_closed AND {CLOSURE_AMOUNT} AND {CLOSURE_DIFFERS}", "is_closed", CLOSURE_AMOUNT),
-    Rule("r38", "high_balance_not_supported_by_history", "High balance is not supported by history", BAL, MED,
+    Rule("r38", *RULE_NAMES["r38"], BAL, MED,
          above("high_balance_amt", "observed_balance_max"), "coalesce(high_balance_amt > 0, false)", BALANCE_CELLS),
-    Rule("r39", "payment_history_balance_history_conflict", "Balance history conflicts with payment activity",
-         BAL, HIGH, "installment AND NOT revolving AND n_flat_drop > 0", "NOT is_closed AND installment",
+    Rule("r39", *RULE_NAMES["r39"], BAL, HIGH, "installment AND NOT revolving AND n_flat_drop > 0", "NOT is_closed AND installment",
          f"{BALANCE_CELLS} AND n_paid_cells > 0"),
-    Rule("r40", "balance_history_monthly_gap_conflict", "Balance history has unexplained monthly gaps", BAL, MED,
+    Rule("r40", *RULE_NAMES["r40"], BAL, MED,
          f"coalesce(size({BALANCE_GAPS}) >= 2, false)", evaluable=f"{BALANCE_CELLS} AND {CELLS}",
          runs=count_runs(BALANCE_GAPS)),
-    Rule("r41", "credit_limit_not_supported_by_history", "Credit limit is not supported by history", BAL, MED,
+    Rule("r41", *RULE_NAMES["r41"], BAL, MED,
          above("credit_limit_amt", "credit_limit_max"), "coalesce(credit_limit_amt > 0, false)",
          "n_credit_limit_cells > 0"),
-    Rule("r42", "missing_current_balance_field", "Current balance field is missing", BAL, HIGH,
+    Rule("r42", *RULE_NAMES["r42"], BAL, HIGH,
          "derogatory_status AND balance_state.state = 'missing_field'", "negative"),
-    Rule("r43", "insufficient_balance_history", "Balance history is incomplete", BAL, MED,
+    Rule("r43", *RULE_NAMES["r43"], BAL, MED,
          "derogatory_status AND present AND balance_max IS NULL", "negative"),
-    Rule("r44", "charge_off_without_chargeoff_history", "Charge-off reporting lacks charge-off history", CO, HIGH,
+    Rule("r44", *RULE_NAMES["r44"], CO, HIGH,
          f"{CHARGE_OFF} AND present AND only_current AND n_co = 0", CHARGE_OFF, CELLS),
-    Rule("r45", "collection_payment_activity_conflict", "Collection tradeline reflects payment activity", CO, HIGH,
+    Rule("r45", *RULE_NAMES["r45"], CO, HIGH,
          "collection AND present AND n_cur > 0 AND NOT plan", "collection", CELLS),
-    Rule("r46", "date_of_first_delinquency_conflict", "Date of first delinquency conflicts with payment history",
-         DATE, HIGH, f"coalesce({STATED_YEAR} <> '' AND cast(floor(first_der_m / 12) AS string) <> {STATED_YEAR}, false)",
+    Rule("r46", *RULE_NAMES["r46"], DATE, HIGH, f"coalesce({STATED_YEAR} <> '' AND cast(floor(first_der_m / 12) AS string) <> {STATED_YEAR}, false)",
          has("first_delinquency"), CELLS),
-    Rule("r47", "status_updated_timeline_conflict", "Status-updated date conflicts with timeline", DATE, MED,
+    Rule("r47", *RULE_NAMES["r47"], DATE, MED,
          "coalesce(last_seen_m - status_updated_m > 2, false)", has("status_updated"), CELLS),
-    Rule("r48", "balance_updated_timeline_conflict", "Balance-updated date conflicts with timeline", DATE, MED,
+    Rule("r48", *RULE_NAMES["r48"], DATE, MED,
          "coalesce(last_balance_m - balance_updated_m > 2, false)", has("balance_updated"), BALANCE_CELLS),
-    Rule("r49", "on_record_until_conflict", "On-record-until date conflicts with delinquency date", DATE, HIGH,
+    Rule("r49", *RULE_NAMES["r49"], DATE, HIGH,
          f"coalesce({REMOVAL_GAP} < 78 OR {REMOVAL_GAP} > 96, false)", BOTH_DATES, BOTH_DATES),
-    Rule("r50", "closed_account_missing_closure_timing", "Closed account lacks closure timing", DATE, MED,
+    Rule("r50", *RULE_NAMES["r50"], DATE, MED,
          f"is_closed AND {lacks('closure_timing')}", "is_closed"),
-    Rule("r51", "missing_reporting_date", "Reporting date is incomplete", DATE, MED,
+    Rule("r51", *RULE_NAMES["r51"], DATE, MED,
          f"(negative OR balance_reported) AND {lacks('date_reported')}", "negative OR balance_reported"),
-    Rule("r52", "missing_status_updated_date", "Status-updated date is incomplete", DATE, MED,
+    Rule("r52", *RULE_NAMES["r52"], DATE, MED,
          f"negative AND {lacks('status_updated')}", "negative"),
-    Rule("r53", "missing_balance_updated_date", "Balance-updated date is incomplete", DATE, MED,
+    Rule("r53", *RULE_NAMES["r53"], DATE, MED,
          f"balance_reported AND {lacks('balance_updated')}", "balance_reported"),
 ]
 BY_ID = {r.id: r for r in RULES}

@@ -77,45 +77,169 @@ PURPOSE_PHRASES = ["id report", "direct to consumer report", "promotional inquir
                    "account review inquiry", "credit report"]
 
 # --- fixed values: display-level negative words (regular expressions) --------
-HARD_NEGATIVE = (r"\bcharged? off\b|\bcollection\b|\bbankruptcy\b|\brepossession\b|\bforeclosure\b"
-                 r"|\bpast due\b|\bpublic record\b")
-SOFT_NEGATIVE = r"\blate\b|\bdelinquen\w*\b|\bderogatory\b|\badverse\b"
-NEGATIVE_OVERRIDE = (r"\b(?:no|never|not) late\b|\b(?:no|never|not) delinquen\w*\b"
-                     r"|\b(?:no|not) derogatory\b|\b(?:no|not) adverse\b"
-                     r"|\bpaid as agreed\b|\bcurrent account\b")
+HARD_NEGATIVE = [
+    r"\bcharge(?:d)? off\b",
+    r"\bcollection\b",
+    r"\bbankruptcy\b",
+    r"\brepossession\b",
+    r"\bforeclosure\b",
+    r"\bpast due\b",
+    r"\bpublic record\b",
+]
+SOFT_NEGATIVE = [
+    r"\blate\b",
+    r"\bdelinquen\w*\b",
+    r"\bderogatory\b",
+    r"\badverse\b",
+]
+NEGATIVE_OVERRIDE = [
+    r"\bno late\b",
+    r"\bnever late\b",
+    r"\bnot late\b",
+    r"\bno delinquen\w*\b",
+    r"\bnever delinquen\w*\b",
+    r"\bnot delinquen\w*\b",
+    r"\bno derogatory\b",
+    r"\bnot derogatory\b",
+    r"\bno adverse\b",
+    r"\bnot adverse\b",
+    r"\bpaid as agreed\b",
+    r"\bcurrent account\b",
+]
 
 # --- fixed values: account subtypes in order of precedence -------------------
 SUBTYPES = [
-    ("Auto Lease", None, r"\bauto lease\b|\bvehicle lease\b"),
-    ("Child Support", "child_support", r"\bchild support\b"),
-    ("Family Support", "family_support", r"\bfamily support\b|\balimony\b|\bspousal support\b"),
-    ("Medical Debt", "medical_debt", r"\bmedical\b|\bhospital\b|\bclinic\b|\bhealth\b|\bphysician\b|\bdoctor\b"),
-    ("Rental Agreement", "rental_obligation",
-     r"\brental agreement\b|\brent(?:track|report|reporting)?\b|\brental history\b|\blandlord\b"
-     r"|\bproperty management\b|\bapartment\b"),
+    ("Auto Lease", None, [
+        r"\bauto lease\b",
+        r"\bvehicle lease\b",
+    ]),
+    ("Child Support", "child_support", [
+        r"\bchild support\b",
+    ]),
+    ("Family Support", "family_support", [
+        r"\bfamily support\b",
+        r"\balimony\b",
+        r"\bspousal support\b",
+    ]),
+    ("Medical Debt", "medical_debt", [
+        r"\bmedical\b",
+        r"\bhospital\b",
+        r"\bclinic\b",
+        r"\bhealth\b",
+        r"\bphysician\b",
+        r"\bdoctor\b",
+    ]),
+    ("Rental Agreement", "rental_obligation", [
+        r"\brental agreement\b",
+        r"\brent(?:track|report|reporting)?\b",
+        r"\brental history\b",
+        r"\blandlord\b",
+        r"\bproperty management\b",
+        r"\bapartment\b",
+    ]),
+]
+#: Texts that are no collection agency.
+NOT_AN_AGENCY = [
+    r"collections?\s+stay\s+on\s+your",
+    r"view detailed information",
+    r"how to dispute",
+]
+COLLECTION_CONTEXT = [
+    r"\bcollection\b",
+    r"\bdebt collector\b",
+]
+BANKRUPTCY_CONTEXT = [
+    r"\bbankruptcy\b",
+    r"included in bankruptcy",
 ]
-COLLECTION_CONTEXT = r"\bcollection\b|\bdebt collector\b"
-BANKRUPTCY_CONTEXT = r"\bbankruptcy\b|included in bankruptcy"
 
 # --- fixed values: layouts ----------------------------------------------------
 LAYOUTS = ["equifax_old_v1", "experian_acr_v1", "equifax_new_v1", "transunion_acr_v1"]
+#: Layouts in the order they are tried, each with the sets of phrases that name it.
+LAYOUT_PHRASES = [
+    ("transunion_acr_v1", [
+        ["personal credit report for:", "visit transunion.com/dispute"],
+        ["personal credit report for:", "annualcreditreport.transunion.com/dss/disclosure.page"],
+        ["transunion", "credit report date", "file number:", "personal information"],
+    ]),
+    ("experian_acr_v1", [
+        ["annual credit report - experian"],
+        ["experian", "at a glance", "hard inquiries"],
+    ]),
+    ("equifax_new_v1", [
+        ["equifax", "your credit report", "consumer file notices", "confirmation #"],
+    ]),
+    ("equifax_old_v1", [
+        ["equifax"],
+    ]),
+]
 SECTION_PATTERNS = {
-    "accounts": r"\bcredit accounts\b|\baccounts with adverse information\b|\bsatisfactory accounts\b|\baccounts\b",
-    "otherAccounts": r"\bother accounts\b",
-    "collections": r"\bcollections\b|\bcollection accounts?\b|\bcollection agency\b|\boriginal creditor\b",
-    "publicRecords": r"\bpublic records\b|\bno public records reported\b",
-    "consumerInformationIndicators": r"\bconsumer information indicators?\b",
-    "hardInquiries": r"\bhard inquiries\b|\binquiry type\b",
-    "softInquiries": r"\bsoft inquiries\b",
-    "accountReviewInquiries": r"\baccount review inquiries\b",
-    "creditReportMessages": r"\bcredit report messages\b",
-    "additionalInformation": r"^\s*(?:\d+\.\s*)?additional information\b\s*$",
-    "personalInformation": r"\bpersonal information\b|\bnames\b|\baddresses\b",
-    "summary": r"\bsummary\b|\bat a glance\b|\bcredit file status\b",
-    "bankruptcySignals": r"\bbankruptcy\b|\bincluded in bankruptcy\b",
-    "supportObligationSignals": r"\bchild support\b|\bfamily support\b|\balimony\b",
-    "rentalSignals": r"\brental\b|\bapartment\b|\blease\b",
-    "medicalSignals": r"\bmedical\b",
+    "accounts": [
+        r"\bcredit accounts\b",
+        r"\baccounts with adverse information\b",
+        r"\bsatisfactory accounts\b",
+        r"\baccounts\b",
+    ],
+    "otherAccounts": [
+        r"\bother accounts\b",
+    ],
+    "collections": [
+        r"\bcollections\b",
+        r"\bcollection accounts?\b",
+        r"\bcollection agency\b",
+        r"\boriginal creditor\b",
+    ],
+    "publicRecords": [
+        r"\bpublic records\b",
+        r"\bno public records reported\b",
+    ],
+    "consumerInformationIndicators": [
+        r"\bconsumer information indicator\b",
+        r"\bconsumer information indicators\b",
+    ],
+    "hardInquiries": [
+        r"\bhard inquiries\b",
+        r"\binquiry type\b",
+    ],
+    "softInquiries": [
+        r"\bsoft inquiries\b",
+    ],
+    "accountReviewInquiries": [
+        r"\baccount review inquiries\b",
+    ],
+    "creditReportMessages": [
+        r"\bcredit report messages\b",
+    ],
+    "additionalInformation": [
+        r"^\s*(?:\d+\.\s*)?additional information\b\s*$",
+    ],
+    "personalInformation": [
+        r"\bpersonal information\b",
+        r"\bnames\b",
+        r"\baddresses\b",
+    ],
+    "summary": [
+        r"\bsummary\b",
+        r"\bat a glance\b",
+        r"\bcredit file status\b",
+    ],
+    "bankruptcySignals": [
+        r"\bbankruptcy\b",
+        r"\bincluded in bankruptcy\b",
+    ],
+    "supportObligationSignals": [
+        r"\bchild support\b",
+        r"\bfamily support\b",
+        r"\balimony\b",
+    ],
+    "rentalSignals": [
+        r"\brental\b",
+        r"\bapartment\b",
+        r"\blease\b",
+    ],
+    "medicalSignals": [
+        r"\bmedical\b",
+    ],
 }
 LAYOUT_COVERAGE = {
     "equifax_old_v1": [
@@ -264,3 +388,60 @@ EXPORT_SOURCES = ["layout", "inferred_gap", "pdf", "inferred_blank"]
 FACT_DATE_PATTERN = (r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|sept|oct|nov|dec)"
                      r"[a-z]*[\s,.-]+\d{1,2}(?:[\s,.-]+\d{2,4})?)\b")
 MASKED_NUMBER_PATTERN = r"(?i)(?:x|#|\*){2,}[-\s]?(?:x|#|\*){2,}[-\s]?(\d{2,6})"
+
+# --- fixed values: rules with their issue types and labels -------------------
+RULE_NAMES = {
+    "r01": ("duplicate_conflicting_tradeline", "Conflicting tradeline reporting"),
+    "r02": ("missing_account_number", "Incomplete account identifier"),
+    "r03": ("missing_furnisher_identification", "Incomplete furnisher identification"),
+    "r04": ("missing_account_status", "Account status is incomplete"),
+    "r05": ("incomplete_original_creditor_identity", "Original creditor identity is incomplete"),
+    "r06": ("student_loan_lender_identity_mismatch", "Student-loan lender identity is incomplete"),
+    "r07": ("responsibility_requires_special_handling", "Responsibility designation requires review"),
+    "r08": ("account_in_litigation", "Account is reported in litigation"),
+    "r09": ("missing_payment_history", "Payment history is missing"),
+    "r10": ("derogatory_status_without_monthly_support", "Derogatory reporting lacks monthly support"),
+    "r11": ("payment_history_missing_months", "Payment history has missing months"),
+    "r12": ("payment_history_activity_before_table_coverage", "Derogatory history predates supporting table coverage"),
+    "r13": ("payment_history_incomplete_since_open_date", "Payment history from date opened is incomplete"),
+    "r14": ("monthly_payment_missing_for_open_installment", "Monthly payment is incomplete"),
+    "r15": ("recent_payment_missing_when_history_implies_payment", "Recent payment details are incomplete"),
+    "r16": ("payment_history_24_month_past_due_conflict", "Payment history conflicts with past-due history"),
+    "r17": ("payment_history_24_month_activity_conflict", "Payment history is incomplete relative to 24 month history"),
+    "r18": ("past_due_without_monthly_support", "Past-due reporting lacks monthly support"),
+    "r19": ("amount_past_due_history_conflict", "Past-due history conflicts with payment history"),
+    "r20": ("delinquency_progression_inconsistency", "Delinquency progression is inconsistent"),
+    "r21": ("thirty_day_late_without_full_30_day_interval", "30-day late does not reflect a full 30-day interval"),
+    "r22": ("severe_delinquency_jump_without_predecessor_support", "Severe delinquency jump lacks predecessor support"),
+    "r23": ("reaging_jump_after_current_reset", "Delinquency jumps after a current reset"),
+    "r24": ("first_30_day_late_without_prior_reporting_support", "First 30-day late lacks prior reporting support"),
+    "r25": ("first_derogatory_month_without_prior_reporting_support", "First derogatory month lacks prior reporting support"),
+    "r26": ("blank_gap_before_derogatory_month", "Blank gap appears before a derogatory month"),
+    "r27": ("retroactive_derogatory_backfill_after_reporting_gap", "Derogatory reporting appears after a long gap"),
+    "r28": ("charge_off_or_collection_without_monthly_build_up", "Charge-off or collection reporting lacks monthly buildup"),
+    "r29": ("payment_plan_or_forbearance_context_without_history", "Payment-plan or forbearance context lacks history"),
+    "r30": ("payment_plan_or_forbearance_context_with_derogatory_conflict", "Payment-plan or forbearance context conflicts with derogatory reporting"),
+    "r31": ("payment_activity_conflicts_with_delinquency_progression", "Payment activity conflicts with delinquency progression"),
+    "r32": ("balance_reduction_conflicts_with_worsening_delinquency", "Balance reduction conflicts with worsening delinquency"),
+    "r33": ("last_payment_date_without_scheduled_payment_amount", "Last payment date lacks scheduled payment amount"),
+    "r34": ("last_payment_date_without_payment_amount", "Last payment date lacks payment amount"),
+    "r35": ("scheduled_payment_amount_without_terms", "Scheduled payment amount lacks terms"),
+    "r36": ("closed_account_final_month_reporting_incomplete", "Closed account final-month reporting is incomplete"),
+    "r37": ("closed_account_actual_payment_conflicts_with_closure_month_history", "Closed account actual payment conflicts with closure month"),
+    "r38": ("high_balance_not_supported_by_history", "High balance is not supported by history"),
+    "r39": ("payment_history_balance_history_conflict", "Balance history conflicts with payment activity"),
+    "r40": ("balance_history_monthly_gap_conflict", "Balance history has unexplained monthly gaps"),
+    "r41": ("credit_limit_not_supported_by_history", "Credit limit is not supported by history"),
+    "r42": ("missing_current_balance_field", "Current balance field is missing"),
+    "r43": ("insufficient_balance_history", "Balance history is incomplete"),
+    "r44": ("charge_off_without_chargeoff_history", "Charge-off reporting lacks charge-off history"),
+    "r45": ("collection_payment_activity_conflict", "Collection tradeline reflects payment activity"),
+    "r46": ("date_of_first_delinquency_conflict", "Date of first delinquency conflicts with payment history"),
+    "r47": ("status_updated_timeline_conflict", "Status-updated date conflicts with timeline"),
+    "r48": ("balance_updated_timeline_conflict", "Balance-updated date conflicts with timeline"),
+    "r49": ("on_record_until_conflict", "On-record-until date conflicts with delinquency date"),
+    "r50": ("closed_account_missing_closure_timing", "Closed account lacks closure timing"),
+    "r51": ("missing_reporting_date", "Reporting date is incomplete"),
+    "r52": ("missing_status_updated_date", "Status-updated date is incomplete"),
+    "r53": ("missing_balance_updated_date", "Balance-updated date is incomplete"),
+}
