@@ -210,3 +210,16 @@ def test_nested_merge_equals_recursion(spark, depth):
 def test_nested_merge_of_null_records(spark):
     df = spark.createDataFrame([(1, None, '{"a":1}'), (2, '{"a":1}', None), (3, None, None)], "id int, a string, b string").selectExpr("id", "parse_json(a) AS base", "parse_json(b) AS fallback")
     assert {r.id: r.j for r in merge.merge_missing(df).selectExpr("id", "to_json(merged) AS j").collect()} == {1: '{"a":1}', 2: '{"a":1}', 3: "null"}
+
+
+def test_public_records_from_fields_and_lines(spark):
+    entries = [{"type": "Lien", "court": "Kent  County Court AB-1234", "details": ["Court Name: other", "Status | Paid", "status: late", "Amount $5", "paid date", "kept line", "Lien", "Liability:  joint "], "sourcePages": [2, 2, 0]},
+               {"lines": ["Reference number 77", "Type: Judgment"], "fileNumber": "not reported"}, "  a plain   text ", "", 7, {"court": "Court 12", "summary": "none"}, {}]
+    rows = {r.record_ord: r for r in c.public_records(found(spark, body("equifax_old_v1", {"publicRecords": {"records": entries}}, pageWindows={"publicRecords": [9, 9]}))).collect()}
+    assert sorted(rows) == [0, 1, 2, 5, 6]
+    a, b, t, d, e = (rows[i] for i in (0, 1, 2, 5, 6))
+    assert (a.record_type, a.court, a.reference_number, a.status, a.amount, a.date_paid, a.liability) == ("Lien", "Kent County Court", "AB-1234", "Paid", "$5", None, "joint")
+    assert (a.summary, a.details, a.source_pages) == ("kept line", ["kept line"], [2])
+    assert (b.record_type, b.reference_number, b.summary, b.details, b.source_pages) == ("Judgment", "77", "Reference number 77", ["Reference number 77"], [9])
+    assert (t.summary, t.details, t.record_type) == ("a plain text", ["a plain text"], None)
+    assert (d.court, d.reference_number, e.summary, e.details) == ("Court 12", None, "Public record", ["Public record"])

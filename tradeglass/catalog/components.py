@@ -12,7 +12,6 @@ from tradeglass.operators import grounding
 from tradeglass.sources import checks
 from tradeglass.sources import components as c
 from tradeglass.sources import merge
-from tradeglass.sources import payloads as s
 
 MONTHS = [m.lower() for m in vocab.MONTHS]
 
@@ -64,7 +63,7 @@ VIEWS["fx_pay_order"] = f"""
         SELECT o_custkey AS k, CAST(o_orderkey AS bigint) AS ok, {mon('CAST(o_orderdate AS date)')} AS day, o_orderpriority AS priority,
                CASE o_custkey % 4 WHEN 0 THEN 'Capital One Bank' WHEN 1 THEN 'Capital One' WHEN 2 THEN 'Discover' ELSE '' END AS who,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'Chapter 7 Bankruptcy 20441' WHEN '2' THEN 'Civil Judgment' ELSE NULL END AS record_type,
-               CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'Court ' || CAST(o_orderkey % 7 AS string) END AS court,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 6 = 1 THEN 'Dover Court 10443-B' ELSE 'Court ' || CAST(o_orderkey % 7 AS string) END AS court,
                CASE WHEN o_orderkey % 6 = 1 THEN NULL ELSE 'REF-' || CAST(o_orderkey % 500 AS string) END AS reference
         FROM orders) o ON o.k = a.k"""
 
@@ -151,7 +150,8 @@ def payload_view(dialect: str) -> str:
             {agg(dialect, sources, 'a.ord', 'a.k % 2 = 0')} AS sources, {agg(dialect, evidence, 'a.ord')} AS evidence,
             {agg(dialect, located, 'a.ord')} AS located, {agg(dialect, gathered_at, 'a.ord', 'a.k % 5 < 3')} AS gathered_at, {agg(dialect, collection, 'a.ord', 'a.k % 5 < 3')} AS collections, {agg(dialect, indicator, 'a.ord')} AS indicators
         FROM fx_pay_account a JOIN fx_pay_hist h ON h.k = a.k GROUP BY a.pid, a.lay"""
-    record = obj(text("recordType", "o.record_type"), text("court", "o.court"), text("referenceNumber", "o.reference"), member("details", strings("'Filed in person'", "'Status: ' || o.priority")))
+    record = obj(text("recordType", "o.record_type"), text("court", "o.court"), text("referenceNumber", "o.reference"), member("details", "'[\"Filed in person\",\"filed IN person\",\"Status: ' || o.priority || '\",\"Court type\"' || CASE WHEN o.ok % 3 = 0 THEN ',\"Amount $' || CAST(o.ok % 90 AS string) || '.50\"' ELSE '' END "
+                 "|| CASE WHEN o.ok % 5 = 0 THEN ',\"Filed Date | ' || o.day || '\",\"date filed: Jan 1900\"' ELSE '' END || CASE WHEN o.ok % 7 = 0 THEN ',\"On record until:Jan 2010\"' ELSE '' END || ']'"))
     hard = "CASE o.lay " + " ".join(f"WHEN {i} THEN {_inquiry(i, chr(39) + 'Hard' + chr(39))}" for i in range(4)) + " END"
     soft = "CASE o.lay " + " ".join(f"WHEN {i} THEN {_inquiry(i, chr(39) + 'account review' + chr(39))}" for i in range(4)) + " END"
     asked = obj(text("subscriberName", "o.who"), text("inquiryDate", "CASE WHEN o.ok % 3 = 0 THEN 'Jan 1900' ELSE o.day END"), member("pages", "'[' || CAST(o.ok % 4 AS string) || ',9]'"))
@@ -334,14 +334,13 @@ def s4_inquiries(b):
     return c.inquiries(found(b))
 
 
-RECORD_REF = "coalesce(reference, CASE WHEN substr(priority, 1, 1) = '1' THEN '20441' END, '')"
-
-
-@query("s4_public_records", f"""SELECT pid AS report_id, CAST(row_number() OVER (PARTITION BY pid ORDER BY ok) - 1 AS int) AS record_ord,
-    CASE substr(priority, 1, 1) WHEN '1' THEN 'Chapter 7 Bankruptcy' WHEN '2' THEN 'Civil Judgment' ELSE '' END AS record_type, {RECORD_REF} AS reference_number, coalesce(court, '') AS court, priority AS status,
-    'Filed in person' AS details FROM fx_pay_order""")
+@query("s4_public_records", """SELECT pid AS report_id, CAST(row_number() OVER (PARTITION BY pid ORDER BY ok) - 1 AS int) AS record_ord, record_type,
+    CASE WHEN reference IS NULL AND ok % 6 = 1 AND ok % 4 <> 0 THEN '10443-B' ELSE reference END AS reference_number, CASE WHEN ok % 4 = 0 THEN 'type' WHEN ok % 6 = 1 THEN 'Dover Court' ELSE court END AS court, priority AS status,
+    CASE ok % 3 WHEN 0 THEN '$' || CAST(ok % 90 AS string) || '.50' END AS amount, CASE WHEN ok % 5 = 0 THEN day END AS date_filed, CASE WHEN ok % 7 = 0 THEN 'Jan 2010' END AS estimated_removal,
+    coalesce(record_type, 'Filed in person') AS summary, 'Filed in person' AS details, CASE lay WHEN 2 THEN '8,9' ELSE '' END AS pages FROM fx_pay_order""")
 def s4_public_records(b):
-    return s.public_records(c.public_records(found(b))).select("report_id", "record_ord", "record_type", "reference_number", "court", "status", "details")
+    return c.public_records(found(b)).select("report_id", "record_ord", "record_type", "reference_number", "court", "status", "amount", "date_filed", "estimated_removal", "summary",
+                                             fn.array_join("details", "|").alias("details"), fn.array_join("source_pages", ",").alias("pages"))
 
 
 @query("s4_indicators", """SELECT pid AS report_id, ord + 1 AS ind_ord, CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'D' END AS code,

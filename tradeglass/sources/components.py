@@ -13,6 +13,7 @@ where a list is asked for).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tradeglass import vocab
 from tradeglass.functions.text import add, clean_account_number, field_provenance_id, first_meaningful, lit, match_text, month_provenance_id, norm_text, one_of, page_list, rx, unique_ci
@@ -107,6 +108,10 @@ def _size(path: str, v: str = "body") -> str:
     return f"coalesce(size(try_variant_get({v}, '$.{path}', 'array<variant>')), 0)"
 
 
+def _is_list(path: str, v: str = "body") -> str:
+    return f"(try_variant_get({v}, '$.{path}', 'array<variant>') IS NOT NULL)"
+
+
 def _whole(path: str, v: str = "body") -> str:
     return f"try_variant_get({v}, '$.{path}', 'bigint')"
 
@@ -316,14 +321,49 @@ def inquiries(found: DataFrame) -> DataFrame:
     return rows.selectExpr("report_id", "kind", "ord", *(f"{sql} AS {name}" for name, sql in fields.items()), f"{_by_layout(lines)} AS contact")
 
 
+#: Keys of an entry that say a field outright, before its printed lines do.
+RECORD_KEYS = {
+    "record_type": ["recordType", "type"], "court": ["court"], "reference_number": ["referenceNumber", "fileNumber"], "status": ["status"], "amount": ["amount"],
+    "date_filed": ["dateFiled", "filedDate"], "date_resolved": ["dateResolved", "resolvedDate"], "date_paid": ["datePaid"], "address": ["address"], "phone": ["phoneNumber"],
+    "court_type": ["courtType"], "date_updated": ["dateUpdated"], "estimated_removal": ["estimatedRemoval"], "plaintiff_attorney": ["plaintiffAttorney"],
+    "responsibility": ["responsibility"], "liability": ["liability"],
+}
+#: A court's name with the identifier that trails it.
+COURT_AND_NUMBER = r"(?i)^(.*?\bcourt\b.*?)\s+([A-Z0-9-]*\d[A-Z0-9-]{3,})$"
+
+
 def public_records(found: DataFrame) -> DataFrame:
-    """report_id, record_ord, details (lines) and pages of each public record; labelled fields come before the printed lines."""
-    rows = found.selectExpr("report_id", "body", f"posexplode({_list('components.publicRecords.records')}) AS (record_ord, r)")
-    own = [("Type", "recordType"), ("Court", "court"), ("Reference number", "referenceNumber"), ("Date filed", "dateFiled"), ("Status", "status")]
-    given = f"array_compact(array({', '.join(f'concat({lit(label + ": ")}, nullif({norm_text(text_at(p, "r"))}, {lit("")}))' for label, p in own)}))"
-    lines = f"concat({given}, if(size({texts_at('details', 'r')}) > 0, {texts_at('details', 'r')}, {texts_at('lines', 'r')}))"
-    section = section_pages("publicRecords")
-    return rows.selectExpr("report_id", "record_ord", f"{lines} AS details", f"if(size({_pages('sourcePages', 'r')}) > 0, {_pages('sourcePages', 'r')}, {section}) AS source_pages")
+    """One row per public record: its fields, summary, the printed lines that say none of them, and pages.
+
+    A field is what the entry says, else what its first line with a label of the field says; the label ends at a colon
+    or bar, or at a space. The number that trails a court's name is the reference where there is none. An
+    entry may be a text, which is its own summary; entries that are neither text nor object are left out.
+    """
+    rows = found.selectExpr("report_id", "profile_id", "body", f"posexplode({_list('components.publicRecords.records')}) AS (record_ord, r)")
+    rows = add(rows, {"is_text": "schema_of_variant(r) = 'STRING'", "whole": norm_text("try_variant_get(r, '$', 'string')")})
+    rows = rows.where("(is_text AND whole <> '') OR try_variant_get(r, '$', 'map<string,variant>') IS NOT NULL")
+    known = f"{text_at('details', 'r')} IS NOT NULL"
+    lines = unique_texts(f"if({known}, {texts_at('details', 'r')}, {texts_at('lines', 'r')})")
+    rows = add(rows, {"details": f"transform(if(is_text, array(whole), {lines}), d -> {norm_text('d')})"})
+    labels = ", ".join(f"struct({lit(label)} AS label, {lit(field)} AS field)" for label, field in vocab.PUBLIC_RECORD_LABELS)
+    rest = "substring(d, length(l.label) + 1)"
+    marked = rx(r"^\s*[|:]\s*\S")
+    value = (f"CASE WHEN NOT startswith(lower(d), l.label) THEN NULL WHEN {rest} RLIKE {marked} THEN trim(regexp_replace({rest}, {rx(r'^\s*[|:]\s*')}, '')) "
+             f"WHEN {rest} RLIKE {rx(r'^ [^|: ]')} THEN trim({rest}) END")
+    said = f"transform(details, d -> get(filter(transform(array({labels}), l -> struct(l.field AS field, {value} AS value)), x -> x.value IS NOT NULL), 0))"
+    rows = add(rows, {"said": f"if(is_text, NULL, filter({said}, x -> x IS NOT NULL))"})
+    fields = {f: first_meaningful(*(text_at(p, "r") for p in keys), f"get(filter(said, x -> x.field = '{f}'), 0).value") for f, keys in RECORD_KEYS.items()}
+    rows = add(rows, {f: f"if(is_text, NULL, {sql})" for f, sql in fields.items()})
+    split = f"reference_number IS NULL AND court RLIKE {rx(COURT_AND_NUMBER)}"
+    rows = rows.withColumns({"reference_number": F.expr(f"if({split}, regexp_extract(court, {rx(COURT_AND_NUMBER)}, 2), reference_number)"),
+                             "court": F.expr(f"if({split}, trim(regexp_extract(court, {rx(COURT_AND_NUMBER)}, 1)), court)")})
+    structured = f"array_compact(array({', '.join(f'lower({f})' for f in RECORD_KEYS)}))"
+    names = ", ".join(lit(label) for label, _ in vocab.PUBLIC_RECORD_LABELS)
+    labelled = f"exists(array({names}), l -> lower(d) = l OR startswith(lower(d), concat(l, ' ')) OR startswith(lower(d), concat(l, ':')))"
+    rows = add(rows, {"left_over": f"if(is_text, details, filter(details, d -> NOT array_contains({structured}, lower(d)) AND NOT {labelled}))"})
+    rows = add(rows, {"summary": f"coalesce(if(is_text, whole, {first_meaningful(text_at('summary', 'r'), text_at('recordType', 'r'), 'get(left_over, 0)', 'get(details, 0)')}), 'Public record')"})
+    pages = f"if(is_text OR NOT {_is_list('sourcePages', 'r')}, {section_pages('publicRecords')}, {_pages('sourcePages', 'r')})"
+    return rows.selectExpr("report_id", "record_ord", *RECORD_KEYS, "summary", "if(size(left_over) > 0, left_over, array(summary)) AS details", f"{pages} AS source_pages")
 
 
 def indicators(found: DataFrame) -> DataFrame:
@@ -353,8 +393,6 @@ def component_windows(found: DataFrame) -> DataFrame:
 
 
 def _both() -> list:
-    from pyspark.sql import functions as F
-
     part = "coalesce(max(if(component = '{0}', pages, NULL)), cast(array() AS array<int>))"
     return [F.expr("bool_or(component = 'accounts' AND size(pages) > 0) AS given"),
             F.expr(f"array_distinct(concat({part.format('adverseAccounts')}, {part.format('satisfactoryAccounts')})) AS pages")]

@@ -389,6 +389,36 @@ FACT_DATE_PATTERN = (r"(?i)\b(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}|(?:jan|feb|mar|apr
                      r"[a-z]*[\s,.-]+\d{1,2}(?:[\s,.-]+\d{2,4})?)\b")
 MASKED_NUMBER_PATTERN = r"(?i)(?:x|#|\*){2,}[-\s]?(?:x|#|\*){2,}[-\s]?(\d{2,6})"
 
+# --- fixed values: printed labels of public-record details, in the order they are tried ---
+PUBLIC_RECORD_LABELS = [
+    ("record type", "record_type"),
+    ("type", "record_type"),
+    ("court name", "court"),
+    ("court", "court"),
+    ("reference number", "reference_number"),
+    ("file number", "reference_number"),
+    ("status", "status"),
+    ("amount", "amount"),
+    ("date filed", "date_filed"),
+    ("filed date", "date_filed"),
+    ("date resolved", "date_resolved"),
+    ("resolved date", "date_resolved"),
+    ("date paid", "date_paid"),
+    ("paid date", "date_paid"),
+    ("address", "address"),
+    ("phone number", "phone"),
+    ("phone", "phone"),
+    ("court type", "court_type"),
+    ("date updated", "date_updated"),
+    ("estimated month and year that this item will be removed", "estimated_removal"),
+    ("estimated month and year this item will be removed", "estimated_removal"),
+    ("estimated removal", "estimated_removal"),
+    ("on record until", "estimated_removal"),
+    ("plaintiff attorney", "plaintiff_attorney"),
+    ("responsibility", "responsibility"),
+    ("liability", "liability"),
+]
+
 # --- fixed values: rules with their issue types and labels -------------------
 RULE_NAMES = {
     "r01": ("duplicate_conflicting_tradeline", "Conflicting tradeline reporting"),
