@@ -6,8 +6,10 @@ correction factor f = <code / sqrt(d), rotated vector>. For two unit vectors o a
 ERRORS * sqrt((1 - f^2) / f^2 / (d - 1)) * sqrt(1 - <o, q>^2), up to about 1e-6. A pair whose estimate plus that
 bound stays under the threshold is passed over; every other pair is computed again in double precision.
 
-Pairs meet in TABLES tables keyed by BITS code bits each (BITS * TABLES distinct bits), under the same
-label. A pair at cosine 0.98 misses all tables with a probability of 5e-7. Buckets of any size are cut
+Pairs meet in tables keyed by code bits, under the same label. A label of n vectors has about log2(n / BLOCK) bits
+a table (BITS at least, MOST_BITS at most), so a bucket stays near a block however large the label, and as
+many tables as keep the probability that a pair at the threshold misses all of them at MISSED (20 tables of
+10 bits, 63 of 24, at cosine 0.98). Every table takes bits of its own. Buckets of any size are cut
 into cells of two blocks, and a pair counts in the first of its tables only. Equal vectors of a label
 are one node with a weight, so copies cost nothing.
 
@@ -19,6 +21,7 @@ gives no rows. A row without vec_id has no component and is not kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,13 @@ from tradeglass.llm.components import cells, connected
 from tradeglass.llm.grouped import by_cell, emit, roots
 from tradeglass.session import stored
 
-BITS, TABLES, BLOCK, ERRORS = 10, 20, 512, 5.0
+BITS, MOST_BITS, MISSED, BLOCK, ERRORS = 10, 24, 5e-7, 512, 5.0
+
+
+def tables_of(bits: int, threshold: float) -> int:
+    """Fewest tables of so many bits that miss a pair at the threshold with probability MISSED at most."""
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if same >= 1 else max(1, math.ceil(math.log(MISSED) / math.log(1 - same)))
 
 
 def rotations(d: int, bits: int) -> np.ndarray:
@@ -50,14 +59,14 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def encode(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def encode(units: np.ndarray, bits: int = BITS, threshold: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signs +-1 of the first rotation, correction factors, table keys) of unit vectors."""
-    d = units.shape[1]
-    rotated = units @ rotations(d, BITS * TABLES).T
+    d, tables = units.shape[1], tables_of(bits, threshold)
+    rotated = units @ rotations(d, bits * tables).T
     signs = np.where(rotated[:, :d] >= 0, 1.0, -1.0)
     factor = (signs * rotated[:, :d]).sum(1) / np.sqrt(d)
-    bits = (rotated[:, :BITS * TABLES] >= 0).reshape(len(units), TABLES, BITS)
-    return signs, factor, bits @ (1 << np.arange(BITS))
+    own = (rotated[:, :bits * tables] >= 0).reshape(len(units), tables, bits)
+    return signs, factor, own @ (1 << np.arange(bits))
 
 
 _CODED = pa.schema([("node", pa.int64()), ("label", pa.string()), ("weight", pa.int64()), ("d", pa.int32()), ("vector", pa.binary()),
@@ -65,19 +74,22 @@ _CODED = pa.schema([("node", pa.int64()), ("label", pa.string()), ("weight", pa.
 _CODED_DDL = "node long, label string, weight long, d int, vector binary, code binary, factor double, keys array<int>"
 
 
-def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        values = batch.column("vector")
-        sizes = np.diff(values.offsets.to_numpy())
-        flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        starts = np.cumsum(sizes) - sizes
-        for d in np.unique(sizes).tolist():
-            for at in np.array_split(np.flatnonzero(sizes == d), max(1, int((sizes == d).sum()) // 4096)):
-                x = flat[starts[at][:, None] + np.arange(d)]
-                signs, factor, keys = encode(unit(x))
-                own = batch.take(pa.array(at))
-                yield emit(_CODED, own.column("node"), own.column("label"), own.column("weight"), np.full(len(at), d, np.int32), [r.tobytes() for r in x],
-                           [r.tobytes() for r in np.packbits(signs > 0, axis=1)], factor, keys.astype(np.int32).tolist())
+def _coded(threshold: float):
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("vector")
+            sizes = np.diff(values.offsets.to_numpy())
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts, bits = np.cumsum(sizes) - sizes, batch.column("bits").to_numpy()
+            for d, b in np.unique(np.stack([sizes, bits]), axis=1).T.tolist():
+                alike = np.flatnonzero((sizes == d) & (bits == b))
+                for at in np.array_split(alike, max(1, len(alike) // 4096)):
+                    x = flat[starts[at][:, None] + np.arange(d)]
+                    signs, factor, keys = encode(unit(x), b, threshold)
+                    own = batch.take(pa.array(at))
+                    yield emit(_CODED, own.column("node"), own.column("label"), own.column("weight"), np.full(len(at), d, np.int32), [r.tobytes() for r in x],
+                               [r.tobytes() for r in np.packbits(signs > 0, axis=1)], factor, keys.astype(np.int32).tolist())
+    return coded
 
 
 _FOUND = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -121,7 +133,7 @@ def _pairs(left: np.ndarray, right: np.ndarray, units: np.ndarray, signs: np.nda
     d = units.shape[1]
     if d > 1:
         # a common rotation of signs and vectors changes no product, so the code is turned back instead of the vectors
-        turned = signs[left] @ rotations(d, BITS * TABLES)[:d]
+        turned = signs[left] @ rotations(d, d)[:d]
         estimate = turned @ units[right].T / (np.sqrt(d) * factor[left][:, None])
         f = factor[left]
         slack = ERRORS * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / (d - 1)) * np.sqrt(max(0.0, 1 - threshold * threshold)) + 1e-9
@@ -143,7 +155,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     marked = rows.withColumn("key", F.when(sound, F.sha2(F.concat_ws(",", F.col("label"), F.transform("vector", lambda x: F.hex(x.cast("string")))), 256)))
     alike = marked.where("key IS NOT NULL").groupBy("key").agg(F.min("vec_id").alias("node"), F.first("label").alias("label"), F.count("*").alias("weight"), F.first("vector").alias("vector"))
     nodes = stored(alike, "vectors")
-    coded = stored(nodes.select("node", "label", "weight", "vector").mapInArrow(_coded, _CODED_DDL), "codes")
+    bits = F.least(F.lit(MOST_BITS), F.greatest(F.lit(BITS), F.ceil(F.log2(F.count("*") / BLOCK))))
+    sizes = stored(nodes.groupBy("label").agg(bits.cast("int").alias("bits")), "label-bits")
+    sized = nodes.join(sizes, "label").select("node", "label", "weight", "vector", "bits")
+    coded = stored(sized.mapInArrow(_coded(threshold), _CODED_DDL), "codes")
     tables = coded.select("*", F.posexplode("keys").alias("place", "bits"))
     narrow = tables.select("label", "d", "place", "bits", "node")
     dealt = cells(narrow, ["label", "d", "place", "bits"], "node", BLOCK).drop("label", "d", "bits").join(coded, "node")
