@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tradeglass.llm.pieces import document_ids, library_table
 
 BLOCK, PERCENTILE, SEGMENT_IDS = 256, 90, 1 << 20
+#: Bytes of the texts of a part file.
+PART_BYTES = 512 << 20
 _HEAD = struct.Struct("<4sIQIQQ")
 _INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("width", "u1"), ("extra", "<u2")])
 
@@ -133,7 +135,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode texts, append end_id to each, and write part files in ascending doc_id order.
 
     Rows are dealt by ranges of doc_id, and the part number follows the range, so reading the parts in
-    the order of their numbers gives all documents in order.
+    the order of their numbers gives all documents in order. There are as many ranges as keep a part's texts
+    near PART_BYTES, so a part can be read back whole; rows of one doc_id, or of none, spread over ranges by
+    the order they were read in.
     """
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = library_table(tokenizer_path)
@@ -151,9 +155,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if held:
             yield pa.record_batch([pa.array([write_segment(names, held)], pa.binary())], ["value"])
 
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    if partitions is None:
+        in_all = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+        least = -(-in_all // PART_BYTES)
+        partitions = least if least > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
     number = [] if partitions is None else [partitions]
-    dealt = narrow.repartitionByRange(*number, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
+    dealt = narrow.repartitionByRange(*number, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # Spark's text writer stores the bytes as they are, on any file system that Spark knows.
     dealt.mapInArrow(segments, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
 
