@@ -334,6 +334,33 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [10, 14, 24])
+def test_tables_follow_the_bits(bits):
+    tables = embeddings.tables_of(bits, 0.98)
+    same = (1 - math.acos(0.98) / math.pi) ** bits
+    assert (1 - same) ** tables <= embeddings.MISSED < (1 - same) ** (tables - 1)
+    rng = np.random.default_rng(bits)
+    a = embeddings.unit(rng.standard_normal((500, 32)))
+    noise = rng.standard_normal(a.shape)
+    noise -= (noise * a).sum(1, keepdims=True) * a
+    b = 0.981 * a + np.sqrt(1 - 0.981**2) * embeddings.unit(noise)
+    one, two = (embeddings.encode(x, bits)[2] for x in (a, b))
+    assert one.shape == (500, tables) and (one == two).any(1).all() and one.max() < 1 << bits
+
+
+def test_large_labels_take_more_bits(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 2)
+    monkeypatch.setattr(embeddings, "BITS", 2)
+    rng = np.random.default_rng(4)
+    hub = rng.standard_normal(16)
+    rows = [(i, [float(x) for x in (hub + 0.03 * rng.standard_normal(16) if i % 3 == 0 else rng.standard_normal(16))], "big" if i < 150 else f"small{i % 9}") for i in range(200)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    units = embeddings.unit(np.array([v for _, v, _ in rows]))
+    close = units @ units.T >= 0.98
+    want = {i: sum(close[i, j] and rows[i][2] == rows[j][2] and i != j for j in range(200)) for i in range(200)}
+    assert got == want and max(want.values()) > 10
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(6)
     a = embeddings.unit(rng.standard_normal((3000, 64)))
