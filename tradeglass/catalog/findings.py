@@ -42,11 +42,11 @@ def found(b):
 
 
 def payload_lines(b):
-    """Payloads as JSON lines, several versions per file."""
+    """Payloads as JSON lines, several versions per file; a payload holds accounts of forty keys, so none grows."""
     accounts = "collect_list(struct(account_ord AS accountOrd, account_name AS accountName, account_number AS accountNumber, raw, comments, source_pages AS sourcePages))"
-    grouped = b.tradelines().selectExpr("*", "cast(account_ord % 20 AS string) AS chunk").groupBy(
+    grouped = b.tradelines().selectExpr("*", "cast(floor(account_ord / 40) AS string) AS chunk").groupBy(
         "report_id", "profile_id", "report_date", "chunk").agg(F.expr(f"{accounts} AS accounts"))
-    envelope = ("named_struct('profile', 'unknown', 'fileName', concat(report_id, '-', cast(chunk AS int) % 10, '.pdf'), 'sourceFile', if(chunk = '7', '', 'a.pdf'), "
+    envelope = ("named_struct('profile', 'unknown', 'fileName', concat(report_id, '-', cast(chunk AS int) % 10, '.pdf'), 'sourceFile', if(cast(chunk AS int) % 20 = 7, '', 'a.pdf'), "
                 "'pageImages', array('1.png'), 'version', timestamp_seconds(1700000000 + cast(chunk AS int) * 60), 'result', "
                 "named_struct('reportId', report_id, 'profile', profile_id, 'reportDate', report_date, 'accounts', accounts))")
     return grouped.selectExpr(f"to_json({envelope}) AS value")
@@ -57,8 +57,8 @@ def s1(b):
     return s.tradelines(s.parse_results(payload_lines(b))).select("report_id", "profile_id", "account_ord", "entity_key", "report_date")
 
 
-@query("s2_latest_versions", """SELECT profile_id, file_name, max(CAST(chunk AS int)) AS chunk FROM (SELECT profile_id, report_id || '-' || CAST(k % 10 AS string) || '.pdf' AS file_name,
-    k % 20 AS chunk FROM fx_account) x WHERE chunk <> 7 GROUP BY profile_id, file_name""")
+@query("s2_latest_versions", """SELECT profile_id, file_name, max(CAST(chunk AS int)) AS chunk FROM (SELECT profile_id, report_id || '-' || CAST(c % 10 AS string) || '.pdf' AS file_name,
+    c AS chunk FROM (SELECT *, CAST(floor(k / 40.0) AS int) AS c FROM fx_account) a) x WHERE chunk % 20 <> 7 GROUP BY profile_id, file_name""")
 def s2(b):
     return s.latest_versions(s.parse_results(payload_lines(b))).selectExpr(
         "profile_id", "file_name", "cast((unix_seconds(version) - 1700000000) / 60 AS int) AS chunk")
