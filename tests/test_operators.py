@@ -39,6 +39,21 @@ def test_grouped_rank_numbers_a_hot_group(spark):
         assert [seen[(g, a, b)] for a, b in ordered] == list(range(1, len(ordered) + 1))
 
 
+def test_grouped_rank_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(0, 300, numPartitions=4).selectExpr("if(id % 50 = 0, NULL, id % 3) AS g", "id AS a").mapInArrow(count, "g long, a long")
+    got = {(r.g, r.a): r["rank"] for r in grouped_rank(rows, ["g"], ["a"], partitions=5).collect()}
+    for g in (None, 0, 1, 2):
+        assert [got[k] for k in sorted(k for k in got if k[0] == g)] == list(range(1, 1 + sum(k[0] == g for k in got)))
+    assert seen.value == 300
+
+
 def test_salted_join_keeps_every_row_of_a_hot_key(spark):
     big = spark.createDataFrame([("hot" if i % 3 else f"g{i}", i) for i in range(300)], "k string, i int")
     small = spark.createDataFrame([("hot", 1), ("g0", 2)], "k string, v int")
