@@ -60,6 +60,26 @@ def test_words_give_the_conflicts_of_the_month_grid(spark, cells, anchors):
     assert values(packed.blank_runs(words).select(*KEY, "first_m", "last_m", "n_months")) == values(runs)
 
 
+def test_printed_rows_give_the_facts_of_the_month_grid(spark, cells, anchors):
+    odd = [("r", "odd", s, m, v, st, src, o) for s, m, v, st, src, o in (
+        ("status", 24001, "30", "", "", 0), ("status", 24030, "CO", "", "", 0), ("status", 24030, "OK", "", "", 1), ("balance", 24002, "$1,200", "", "", 0), ("balance", 24014, "$9", "", "", 0),
+        ("paid", 24001, "-", "", "", 0), ("paid", 24003, "", "", "", 0), ("past_due", 24026, "$5", "", "", 0), ("gap_slot", 24004, "", "missing_slot", "projected_gap_slot", 0),
+        ("gap_slot", 24016, "", "missing_slot", "projected_gap_slot", 0), ("paid", None, "$3", "", "", 0), ("last_payment_date", 24002, "01/05/2000", "", "", 0))]
+    odd += [("r", "none", "status", None, "30", "", "", 0), ("r", "none", "balance", None, "$4", "", "", 0), ("r", "empty", "balance", 24000, "$4", "", "", 0)]
+    schema = "report_id string, entity_key string, series string, m int, value_text string, state string, source string, ord int"
+    both = cells.selectExpr(*(f"cast({f.split()[0]} AS {f.split()[1]}) AS {f.split()[0]}" for f in schema.split(", "))).unionByName(spark.createDataFrame(odd, schema))
+    more = spark.createDataFrame([("r", "odd", "experian_acr_v1", 23990, 24011), ("r", "none", "equifax_new_v1", 1, None), ("r", "empty", None, None, 24000)], "report_id string, entity_key string, profile_id string, opened_m int, closure_m int")
+    known = anchors.selectExpr("report_id", "entity_key", "profile_id", "opened_m", "cast(opened_m + 30 AS int) AS closure_m").unionByName(more)
+    dense = h.history_facts(h.anchored_features(both, known)).localCheckpoint()
+    printed = h.account_facts(both, known)
+    plan, printed = printed._jdf.queryExecution().optimizedPlan().toString().lower(), printed.localCheckpoint()
+    assert printed.columns == dense.columns and printed.dtypes == dense.dtypes
+    for c in dense.columns[2:]:
+        shown = f"array_sort({c})" if c == "cell_pay_days" else c
+        assert values(printed.selectExpr(*KEY, shown)) == values(dense.selectExpr(*KEY, shown)), c
+    assert "explode" not in plan
+
+
 def test_words_of_no_cells(spark, cells, anchors):
     words = packed.month_words(cells.limit(0))
     assert packed.conflicts(words, anchors).count() == packed.blank_runs(words).count() == packed.neighbours(words).count() == 0
