@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tradeglass.catalog import QUERIES
 from tradeglass.functions import codes, dates, text
 from tradeglass.operators import grounding
 from tradeglass.operators import history as h
@@ -80,6 +81,31 @@ def test_box_clusters_equal_connected_components(spark):
     assert got == label
 
 
+def test_phrase_search_joins_boxes_not_words(spark):
+    words = spark.createDataFrame([(1, 1, 1, i + 1, t, 40.0 * i, 12.0 + i % 2, 10.0 * (i + 1), 10.0) for i, t in enumerate(["to", "be", "or", "to", "be", "tobe"])],
+                                  "doc_id long, page int, line_no int, word_no int, token string, x double, y double, width double, height double")
+    found = layout.phrase_matches(words, spark.createDataFrame([(1, "a", ["to", "be"])], "doc_id long, anchor_id string, tokens array<string>"))
+    assert values(found.select("page", "anchor_id", "line_no", "x", "y", "width", "height", "position")) == [
+        (1, "a", 1, 0.0, 12.0, 60.0, 11.0, 1), (1, "a", 1, 120.0, 12.0, 90.0, 11.0, 2), (1, "a", 1, 200.0, 13.0, 60.0, 10.0, 3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join Inner"):]
+    assert "phrase" in joined and "[0].line_no" not in plan[:plan.index("Join Inner")]
+
+
+def test_written_findings_share_their_history():
+    class Bound:
+        shared = False
+
+        def shared_history(self):
+            self.shared = True
+
+        def tradelines(self):
+            raise LookupError(self.shared)
+
+    with pytest.raises(LookupError, match="True"):
+        QUERIES["s8_written_findings"](Bound())
+
+
 def test_value_grounding_finds_spellings_and_tokens(spark):
     pages = spark.createDataFrame([("r", 1, "Balance $1,250.00 on Mar 5, 2020"), ("r", 2, "ACME Bank of the West, account open"), ("s", 1, "acme")],
                                   "report_id string, page int, page_text string")
